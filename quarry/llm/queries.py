@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules
+from . import pii, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
+    "op9_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
