@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_classifier, quality_rules, toxicity
+from . import pii, quality_classifier, quality_rules, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
+    "op8_sentencepiece": sentencepieces.query,
     "op9_pii": pii.query,
 }
 
