@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 #: Fixed values of the public model format: the field numbers that are read here and the kinds of pieces.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -58,6 +58,7 @@ class PieceModel:
         """Pieces that text can become, with their ids."""
         return {p: k for k, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED)}
 
+    @cached_property
     def splits_before_mark(self) -> bool:
         """Whether no piece has the white space mark after another character, so that a text can be cut there."""
         return not any(MARK in p.lstrip(MARK) for p in self.plain())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_classifier, quality_rules, sentencepieces, toxicity
+from . import pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality_rules.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_pii": pii.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -51,7 +51,7 @@ def build(data: bytes) -> Tokenizer:
         steps += [normalizers.Strip(left=True, right=True), normalizers.Replace(Regex(" {2,}"), " ")]
     steps += [normalizers.Prepend(MARK)] if model.dummy_prefix else []
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    if model.splits_before_mark():  # then words can be looked up in the library's cache
+    if model.splits_before_mark:  # then words can be looked up in the library's cache
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
     out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return out
@@ -69,7 +69,7 @@ def _core(data: bytes) -> tuple[Tokenizer, dict[str, tuple[int, ...]]]:
     bare = Tokenizer.from_str(build(data).to_str())
     bare.normalizer = normalizers.Sequence([])
     bare.pre_tokenizer = pre_tokenizers.Sequence([])
-    return bare, {} if model.splits_before_mark() else None
+    return bare, {} if model.splits_before_mark else None
 
 
 #: Words whose ids a task remembers; beyond it starts anew, so its memory stays bounded.
