@@ -140,3 +140,12 @@ class Scratch:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A side of at most so many rows of two numbers is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table of narrow rows, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
+from . import minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_dedup": minhash_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
