@@ -77,8 +77,9 @@ REMEMBERED = 200_000
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode(texts: list[str], data: bytes) -> list[list[int]]:
-    """Ids of each text. Where no piece reaches over a white space mark, a text is cut into words and the library's threads encode each distinct new word once; otherwise they encode whole texts."""
+def encode(texts: list[str], data: bytes, verify: bool = False) -> tuple[list[list[int]], list[bool]]:
+    """Ids of each text, and whether the original library gives the same (true where `verify` is not asked for). Where no piece reaches over a white space mark, neither library joins anything across one: a
+    text is cut into words, and each distinct new word is encoded, and compared, once. Otherwise whole texts are."""
     bare, known = _core(data)
     model, whole = piece_model.parse(data), build(data)
     if model.charsmap or model.squeeze:
@@ -86,17 +87,32 @@ def encode(texts: list[str], data: bytes) -> list[list[int]]:
     else:
         normal = [((MARK if model.dummy_prefix else "") + t if t else "").replace(" ", MARK) for t in texts]
     out: list[list[int]] = []
+    same: list[bool] = []
     for a, b in chunks([t.encode() for t in texts], 1 << 20):
         if known is None:
             out += [e.ids for e in bare.encode_batch_fast(normal[a:b], add_special_tokens=False)]
+            same += [not verify or list(x) == y for x, y in zip(original(data).encode(texts[a:b], num_threads=1) if verify else out[a:b], out[a:b], strict=True)]
             continue
         cut = [SEGMENT.findall(t) for t in normal[a:b]]
         if len(known) > REMEMBERED:
             known.clear()
+            _differing(data).clear()
         new = list({w for words in cut for w in words}.difference(known))
-        known.update(zip(new, (tuple(e.ids) for e in bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        ids = [tuple(e.ids) for e in bare.encode_batch_fast(new, add_special_tokens=False)]
+        known.update(zip(new, ids, strict=True))
+        if verify:
+            theirs = original(data).encode([w[1:] if model.dummy_prefix else w for w in new], num_threads=1)
+            _differing(data).update(w for w, x, y in zip(new, theirs, ids, strict=True) if tuple(x) != y and w != MARK)
+        wrong = _differing(data)
         out += [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-    return out
+        same += [not wrong or wrong.isdisjoint(words) for words in cut]
+    return out, same
+
+
+@lru_cache(maxsize=4)
+def _differing(data: bytes) -> set[str]:
+    """Of the words met so far, those that the two libraries encode differently."""
+    return set()
 
 
 def decode(ids: list[list[int]], data: bytes) -> list[str]:
@@ -111,7 +127,7 @@ def tokenised(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else t.decode("utf-8", "replace") for t in batch["text"].cast(pa.binary()).to_pylist()]
-        ids = iter(encode([t for t in texts if t is not None], data))
+        ids = iter(encode([t for t in texts if t is not None], data)[0])
         out = pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "token_ids"])
 
@@ -125,9 +141,8 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.decode("utf-8", "replace") for t in batch["text"].to_pylist()]
-        ids = encode(texts, data)
+        ids, same = encode(texts, data, verify=True)
         back = decode(ids, data)
-        same = [list(a) == b for a, b in zip(original(data).encode(texts, num_threads=1), ids, strict=True)]
         sums = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
         columns = [batch["doc_id"].cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sums, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()), pa.array(same, pa.bool_())]
         return pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
