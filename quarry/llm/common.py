@@ -68,15 +68,17 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of exactly size words."""
+    out = np.full(max(0, len(hashes) - size + 1), size, np.uint64)
+    for k in range(size):
+        out = mix(out * STEP + hashes[k : k + len(out)])
+    return out
+
+
 def shingle_hashes(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     """The hash of each window of size words, in text order; fewer words make one window; no words, none."""
-    if not len(hashes):
-        return hashes
-    n = max(1, len(hashes) - size + 1)
-    out = np.full(n, min(len(hashes), size), np.uint64)
-    for k in range(min(size, len(hashes))):
-        out = mix(out * STEP + hashes[k : k + n])
-    return out
+    return windows(hashes, min(size, len(hashes))) if len(hashes) else hashes
 
 
 def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
