@@ -25,7 +25,8 @@ INDEX_WORDS = 1_000_000
 
 
 def item_words(text: bytes) -> np.ndarray:
-    return word_hashes(text.lower().split())
+    """Hashes of the words in lower case; case is folded beyond A-Z too, as texts in capitals hold benchmark passages."""
+    return word_hashes((text if text.isascii() else text.decode("utf-8", "replace").lower().encode()).lower().split())
 
 
 def fingerprint_bits(words: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def item_blocks(benchmark: DataFrame, words: int = INDEX_WORDS) -> Iterator[list
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity: for each document and benchmark item, the best similarity of a window of the document with as many words as the item has, where that is at least 0.75.
 
-    Words are runs without ASCII white space, A-Z in lower case. An item of fewer than five words is one shingle. Null and empty texts and items hold nothing; rows without id are left out, as they can't be
+    Words are runs without ASCII white space, in lower case. An item of fewer than five words is one shingle. Null and empty texts and items hold nothing; rows without id are left out, as they can't be
     named; repeated rows give one result; further columns are ignored; an empty table gives no rows. Every item is searched for in every whole text, with the items in blocks of bounded size."""
     arrow_ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).where("doc_id is not null")
