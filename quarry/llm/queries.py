@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
+from . import decontamination, html_extraction, minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_html_extraction": html_extraction.query,
     "op6_quality_rules": quality_rules.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_pii": pii.query,
