@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, token_counts, toxicity
+from . import decontamination, html_extraction, minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality_classifier.query,
     "op5_html_extraction": html_extraction.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_pii": pii.query,
     "op10_token_counts": token_counts.query,
