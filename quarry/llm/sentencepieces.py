@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -62,57 +64,84 @@ def original(data: bytes) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
-@lru_cache(maxsize=4)
-def _core(data: bytes) -> tuple[Tokenizer, dict[str, tuple[int, ...]]]:
-    """The bare model for words that are normalised already, and the ids of the words met so far."""
-    model = piece_model.parse(data)
-    bare = Tokenizer.from_str(build(data).to_str())
-    bare.normalizer = normalizers.Sequence([])
-    bare.pre_tokenizer = pre_tokenizers.Sequence([])
-    return bare, {} if model.splits_before_mark else None
-
-
 #: Words whose ids a task remembers; beyond it starts anew, so its memory stays bounded.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode(texts: list[str], data: bytes, verify: bool = False) -> tuple[list[list[int]], list[bool]]:
-    """Ids of each text, and whether the original library gives the same (true where `verify` is not asked for). Where no piece reaches over a white space mark, neither library joins anything across one: a
-    text is cut into words, and each distinct new word is encoded, and compared, once. Otherwise whole texts are."""
-    bare, known = _core(data)
-    model, whole = piece_model.parse(data), build(data)
-    if model.charsmap or model.squeeze:
-        normal = [whole.normalizer.normalize_str(t) for t in texts]
-    else:
-        normal = [((MARK if model.dummy_prefix else "") + t if t else "").replace(" ", MARK) for t in texts]
-    out: list[list[int]] = []
-    same: list[bool] = []
-    for a, b in chunks([t.encode() for t in texts], 1 << 20):
-        if known is None:
-            out += [e.ids for e in bare.encode_batch_fast(normal[a:b], add_special_tokens=False)]
-            same += [not verify or list(x) == y for x, y in zip(original(data).encode(texts[a:b], num_threads=1) if verify else out[a:b], out[a:b], strict=True)]
-            continue
-        cut = [SEGMENT.findall(t) for t in normal[a:b]]
-        if len(known) > REMEMBERED:
-            known.clear()
-            _differing(data).clear()
-        new = list({w for words in cut for w in words}.difference(known))
-        ids = [tuple(e.ids) for e in bare.encode_batch_fast(new, add_special_tokens=False)]
-        known.update(zip(new, ids, strict=True))
+class Words:
+    """What a task knows of the words it has met: their ids as little-endian 32-bit numbers, and which of them the original library encodes differently or decoding doesn't give back."""
+
+    def __init__(self, data: bytes):
+        self.data, self.model, self.whole = data, piece_model.parse(data), build(data)
+        self.bare = Tokenizer.from_str(self.whole.to_str())
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+        self.ids: dict[str, bytes] = {}
+        self.differing: set[str] = set()
+        self.lossy: set[str] = set()
+
+    def cut(self, text: str) -> list[str]:
+        """A text's words, each with the white space marks before it."""
+        if self.model.charsmap or self.model.squeeze:
+            normal = self.whole.normalizer.normalize_str(text)
+        else:
+            normal = ((MARK if self.model.dummy_prefix else "") + text if text else "").replace(" ", MARK)
+        if not self.model.splits_before_mark:
+            return [normal] * bool(normal)
+        if normal[:1] == MARK and normal[-1] != MARK and MARK + MARK not in normal:
+            return normal[1:].split(MARK)  # the usual case: one mark before each word, which is then left out
+        return [x[1:] if len(x) > 1 and x[0] == MARK != x[1] else MARK + x for x in SEGMENT.findall(normal)]
+
+    def learn(self, words: list[list[str]], verify: bool) -> None:
+        """Encodes the distinct words that are new, by the threads of the library; compares and decodes each of them once."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear(), self.differing.clear(), self.lossy.clear()
+        new = list(set().union(*words).difference(self.ids))
+        # a word that isn't preceded by just one mark has a further mark in front to tell it by
+        full = [w[1:] if w[:1] == MARK else MARK + w for w in new] if self.model.splits_before_mark else new
+        ids = [e.ids for e in self.bare.encode_batch_fast(full, add_special_tokens=False)]
+        self.ids.update(zip(new, (array("I", x).tobytes() for x in ids), strict=True))
         if verify:
-            theirs = original(data).encode([w[1:] if model.dummy_prefix else w for w in new], num_threads=1)
-            _differing(data).update(w for w, x, y in zip(new, theirs, ids, strict=True) if tuple(x) != y and w != MARK)
-        wrong = _differing(data)
-        out += [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-        same += [not wrong or wrong.isdisjoint(words) for words in cut]
-    return out, same
+            plain = [f[1:] if self.model.dummy_prefix and f[:1] == MARK else f for f in full]
+            theirs = original(self.data).encode(plain, num_threads=1)
+            self.differing.update(w for w, p, x, y in zip(new, plain, theirs, ids, strict=True) if x != y and p)
+            self.lossy.update(new[k] for k in self.not_given_back(ids, plain))
+
+
+    def not_given_back(self, ids: list[list[int]], plain: list[str], together: int = 256) -> list[int]:
+        """Places of the words that decoding doesn't give back. Words are decoded many at a time; only where the whole differs, one by one."""
+        wrong = []
+        for a in range(0, len(ids), together):
+            own = range(a, min(a + together, len(ids)))
+            if self.model.splits_before_mark and self.model.dummy_prefix:
+                whole = self.whole.decode(list(chain.from_iterable(ids[k] for k in own)), skip_special_tokens=False)
+                if whole == " ".join(plain[k] for k in own).replace(MARK, " "):
+                    continue
+            wrong += [k for k in own if self.whole.decode(ids[k], skip_special_tokens=False) != plain[k].replace(MARK, " ")]
+        return wrong
 
 
 @lru_cache(maxsize=4)
-def _differing(data: bytes) -> set[str]:
-    """Of the words met so far, those that the two libraries encode differently."""
-    return set()
+def words_of(data: bytes) -> Words:
+    return Words(data)
+
+
+def encoded(texts: list[str], data: bytes, verify: bool = False) -> Iterator[tuple[bytes, bool, bool]]:
+    """Of each text: its ids as little-endian 32-bit numbers, whether the original library gives the same, and whether decoding gives the text back (both true where `verify` is not asked for).
+
+    Where no piece reaches over a white space mark, nothing in either library joins over one: a text is then cut into words, and each distinct word is encoded, compared and decoded once."""
+    known = words_of(data)
+    for a, b in chunks([t.encode() for t in texts], 1 << 20):
+        cut = [known.cut(t) for t in texts[a:b]]
+        known.learn(cut, verify)
+        same, whole = not known.differing, not known.lossy
+        for text, words in zip(texts[a:b], cut, strict=True):
+            plain = MARK not in text and not known.model.charsmap and not known.model.squeeze
+            yield b"".join(map(known.ids.__getitem__, words)), same or known.differing.isdisjoint(words), plain and (whole or known.lossy.isdisjoint(words))
+
+
+def encode(texts: list[str], data: bytes) -> list[list[int]]:
+    return [np.frombuffer(x, "<u4").tolist() for x, *_ in encoded(texts, data)]
 
 
 def decode(ids: list[list[int]], data: bytes) -> list[str]:
@@ -127,7 +156,7 @@ def tokenised(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else t.decode("utf-8", "replace") for t in batch["text"].cast(pa.binary()).to_pylist()]
-        ids = iter(encode([t for t in texts if t is not None], data)[0])
+        ids = iter(encode([t for t in texts if t is not None], data))
         out = pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "token_ids"])
 
@@ -135,16 +164,16 @@ def tokenised(docs: DataFrame, data: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, data: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text back) and parity (the original library gives the same ids) of each row.
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text back; a text that holds the white space mark itself has none) and parity (the original
+    library gives the same ids) of each row.
     A null or empty text has no tokens; bytes that aren't UTF-8 count as the replacement character; repeated rows each give a row; further columns are ignored."""
     arrow_ready(docs.sparkSession, 128)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.decode("utf-8", "replace") for t in batch["text"].to_pylist()]
-        ids, same = encode(texts, data, verify=True)
-        back = decode(ids, data)
-        sums = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-        columns = [batch["doc_id"].cast(pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sums, pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()), pa.array(same, pa.bool_())]
+        found = list(encoded(texts, data, verify=True))
+        sums = [hashlib.sha256(x).hexdigest() for x, *_ in found]
+        columns = [batch["doc_id"].cast(pa.int64()), pa.array([len(x) // 4 for x, *_ in found], pa.int64()), pa.array(sums, pa.string()), pa.array([r for *_, r in found], pa.bool_()), pa.array([p for _, p, _ in found], pa.bool_())]
         return pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
 
     return map_batches(docs.select("doc_id", as_bytes().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
