@@ -41,5 +41,5 @@ def limiter_slots(calls: DataFrame, host: str, micros: str, gap: int) -> DataFra
     """The time at which each call may go, `gap` microseconds after the one before it at least: slot(i) = max(t(i), slot(i-1) + gap), which a running maximum of t(i) - gap * i gives without a loop."""
     w = Window.partitionBy(host).orderBy(micros, "event_id")
     ranked = calls.withColumn("i", F.row_number().over(w))
-    running = F.max(F.col(micros) - F.col("i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("slot", running + F.col("i") * gap).withColumn("wait", F.col("slot") - F.col(micros)).drop("i")
+    running = F.max(F.col(micros) - F.col("i") * F.lit(gap).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("slot", running + F.col("i") * F.lit(gap).cast("long")).withColumn("wait", F.col("slot") - F.col(micros)).drop("i")
