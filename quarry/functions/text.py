@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 MOST_TEXT, MOST_RESUME, MOST_LINE = 20_000, 100_000, 300
 #: Characters that are taken out of untrusted text (controls but tab and line feed, zero width, direction marks).
@@ -39,16 +40,16 @@ def strip_html(c: Column) -> Column:
     for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(mark), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.when(c.contains("<") | c.contains("&"), F.trim(F.regexp_replace(t, r"\n{2,}", "\n"))).otherwise(F.trim(c))
+    return F.when(c.contains("<") | c.contains("&"), F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^\s+|\s+$", "")).otherwise(F.trim(c))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(c: pd.Series) -> pd.Series:
     """All character references, which Spark has no function for."""
     return c.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def compatible(c: pd.Series) -> pd.Series:
     """Compatibility normal form (NFKC), which Spark has no function for."""
     return c.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -356,8 +356,8 @@ def word_windows(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(text.word_windows(F.col("text"))).alias("windows"))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), ' ' )) AS text_md5 FROM pages""")
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages""")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.md5(text.strip_html(F.col("html")).cast("binary")).alias("text_md5"))
 
