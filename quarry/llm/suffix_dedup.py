@@ -175,11 +175,30 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
+def _joined(parts: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to ones of about limit bytes, as each one that is sent costs time of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += part.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for text, d, t, s in zip(*(batch[k].to_pylist() for k in ("text", "d", "t", "start")), strict=True):
-        n = len(text) - LENGTH + 1
-        w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + LENGTH]) for k in range(n)), np.int64).reshape(n, 2)
-        yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array([s] * n, pa.int32()), pa.array(s + np.arange(n), pa.int32())], ["w", "x", "d", "t", "first", "at"])
+    """Each window of each context: 128 bits of hash, the context's place and its own."""
+    for a in range(0, len(batch), 64):
+        part = batch.slice(a, 64)
+        texts = part["text"].to_pylist()
+        n = np.fromiter((len(x) - LENGTH + 1 for x in texts), np.int64, len(texts))
+        w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[k : k + LENGTH]) for x in texts for k in range(len(x) - LENGTH + 1)), np.int64).reshape(-1, 2)
+        d, t, first = (np.repeat(part[k].to_numpy(), n) for k in ("d", "t", "start"))
+        at = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(d), pa.array(t), pa.array(first.astype(np.int32)), pa.array(at.astype(np.int32))], ["w", "x", "d", "t", "first", "at"])
 
 
 def _large(texts: DataFrame) -> DataFrame:
@@ -200,11 +219,12 @@ def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select(*_place())
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for value in batch["text"]:
-            for h, *_ in contexts(value.as_py()):
-                yield pa.record_batch([pa.array(h.view(np.int64))], ["h"])
+        yield from _joined(pa.record_batch([pa.array(h.view(np.int64))], ["h"]) for value in batch["text"] for h, *_ in contexts(value.as_py()))
 
     def starts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from _joined(all_starts(batch))
+
+    def all_starts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for value, d, t in zip(batch["text"], batch["d"].to_pylist(), batch["t"].to_pylist(), strict=True):
             for h, first, n in contexts(value.as_py()):
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["h", "d", "t", "start", "n"])
@@ -220,6 +240,9 @@ def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow()["h"].to_numpy()))  # at most SENT numbers
 
         def pick(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield from _joined(known_ones(batch))
+
+        def known_ones(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             all_ = known.value
             if not len(all_):
                 return
@@ -235,8 +258,8 @@ def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = map_batches(rows, starts, "h long, d long, t long, start int, n int").join(shared, "h").groupBy("d", "t").agg(F.collect_set(F.struct("start", "h", "n")).alias("own"))
 
     def take(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for value, d, t, own in zip(batch["text"], batch["d"].to_pylist(), batch["t"].to_pylist(), batch["own"].to_pylist(), strict=True):
-            yield cut(value.as_py(), d, t, *(np.array([x[k] for x in own], np.int64) for k in ("h", "start", "n")))
+        rows = zip(batch["text"], batch["d"].to_pylist(), batch["t"].to_pylist(), batch["own"].to_pylist(), strict=True)
+        yield from _joined(cut(value.as_py(), d, t, *(np.array([x[k] for x in own], np.int64) for k in ("h", "start", "n"))) for value, d, t, own in rows)
 
     return map_batches(rows.join(found, ["d", "t"]), take, out)
 
