@@ -18,6 +18,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 
 import sentencepiece  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql.types import ArrayType, IntegerType  # noqa: E402
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers  # noqa: E402
 
 from . import piece_model  # noqa: E402
@@ -152,7 +153,7 @@ def tokenised(docs: DataFrame, data: bytes) -> DataFrame:
     """The rows of docs with token_ids, the ids of their text: null for a null text, empty for an empty one."""
     arrow_ready(docs.sparkSession, 128)
     columns = [c for c in docs.columns if c.lower() != "token_ids"]
-    schema = docs.select(*columns).schema.add("token_ids", "array<int>")
+    schema = docs.select(*columns).schema.add("token_ids", ArrayType(IntegerType()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else t.decode("utf-8", "replace") for t in batch["text"].cast(pa.binary()).to_pylist()]
