@@ -100,78 +100,83 @@ def long_matches(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
     return order, ends[1:n]
 
 
-def repeats(block: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
-    """For each context (bytes, document, tie-break, start) of a block, which of its windows are equal to one that comes earlier, by document, tie-break and place."""
-    texts = [b for b, *_ in block]
+def repeats(texts: list[bytes], d: np.ndarray, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of contexts, given with the document, tie-break and place of each one's first occurrence: the context and the byte spans (in the document) of the windows that are equal to one which comes
+    earlier, by document, tie-break and place."""
     flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    starts = np.cumsum(sizes + 1) - sizes - 1
     flat[starts + sizes] = 0
     order, apart = long_matches(flat)
-    rank = {d: k for k, d in enumerate(sorted({(d, t) for _, d, t, _ in block}))}
-    windows = sizes - LENGTH + 1
-    key = np.full(len(flat), np.iinfo(np.int64).max)
-    place = np.arange(windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-    owner = np.repeat(np.arange(len(block)), windows)
-    spot = starts[owner] + place
-    first = np.array([(rank[d, t] << 40) + s for _, d, t, s in block], np.int64)
-    key[spot] = first[owner] + place
+    by_place = np.lexsort((t, d))
+    rank = np.empty(len(d), np.int64)
+    rank[by_place] = np.cumsum(np.concatenate([[0], (np.diff(d[by_place]) != 0) | (np.diff(t[by_place]) != 0)]))
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    place = np.arange(len(flat)) - starts[owner]
+    key = np.where(place + LENGTH <= sizes[owner], (rank[owner] << 40) + first[owner] + place, np.iinfo(np.int64).max)
     sorted_keys = key[order]
     group = np.flatnonzero(np.concatenate([[True], apart]))
     least = np.repeat(np.minimum.reduceat(sorted_keys, group), np.diff(np.append(group, len(order))))
-    dup = np.zeros(len(flat), bool)
-    dup[order] = sorted_keys > least
-    return [dup[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)]
+    dup = np.zeros(len(flat) + 1, np.int8)
+    dup[order] = (sorted_keys > least) & (sorted_keys < np.iinfo(np.int64).max)
+    edge = np.flatnonzero(np.diff(dup, prepend=np.int8(0)))  # a context's last places start no window, so no run reaches over its end
+    low, high = edge[::2], edge[1::2]
+    of = owner[low]
+    return of, first[of] + low - starts[of], first[of] + high - starts[of] - 1 + LENGTH
 
 
-def spans_of(dup: np.ndarray, start: int) -> list[list[int]]:
-    """Byte spans that runs of windows cover."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
-    return [[start + int(a), start + int(b) - 1 + LENGTH] for a, b in zip(edge[::2], edge[1::2], strict=True)]
+PARTS = "d long, t long, first int, own boolean, a int, b int"
 
 
-PARTS = "d long, t long, first int, spans array<array<int>>"
+def _parts(d: np.ndarray, t: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    n = len(d)
+    return pa.record_batch([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(first.astype(np.int32)), pa.array(np.ones(n, bool)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["d", "t", "first", "own", "a", "b"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams contexts sorted by minimizer; whole minimizers are put into blocks. For each context's first place, the spans that are repeats."""
-    block: list[tuple[bytes, int, int, int]] = []
-    group: list[tuple[bytes, int, int, int]] = []
-    of, size = None, 0
+    """Streams contexts sorted by minimizer; whole minimizers are put into blocks. For each context's first place: a mark (a = b = 0), and the spans that are repeats."""
+    texts: list[bytes] = []
+    rows: list[np.ndarray] = []
+    size = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal texts, rows, size
+        if texts:
+            d, t, first = np.concatenate(rows, axis=1)
+            of, a, b = repeats(texts, d, t, first)
+            yield _parts(d[of], t[of], first[of], a, b)
+        texts, rows, size = [], [], 0
 
-    def emit(rows: list, dups: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([spans_of(x, r[3]) for r, x in zip(rows, dups, strict=True)], pa.list_(pa.list_(pa.int32())))], ["d", "t", "first", "spans"])
+    group: list[pa.RecordBatch] = []
 
     def close() -> Iterator[pa.RecordBatch]:
         """Ends the current minimizer, and the block if it is full. A context on its own, or its first place, repeats nothing."""
-        nonlocal block, group, size
-        if len(group) == 1:
-            alone.append(group[0])
-        else:
-            block += group
-            size += sum(len(b) + 1 for b, *_ in group)
+        nonlocal group, size
+        if sum(map(len, group)) > 1:
+            for part in group:
+                own = part["text"].to_pylist()
+                texts.extend(own)
+                rows.append(np.stack([part[k].to_numpy().astype(np.int64) for k in ("d", "t", "start")]))
+                size += sum(map(len, own)) + len(own)
         group = []
-        if size >= LARGE or len(alone) >= 4096:
+        if size >= LARGE:
             yield from done()
 
-    def done() -> Iterator[pa.RecordBatch]:
-        nonlocal block, size
-        if alone:
-            yield emit(alone, [np.zeros(0, bool)] * len(alone))
-            alone.clear()
-        if block:
-            yield emit(block, repeats(block))
-        block, size = [], 0
-
-    alone: list[tuple[bytes, int, int, int]] = []
+    of = None
     for batch in batches:
-        for h, text, d, t, s in zip(*(batch[k].to_pylist() for k in ("h", "text", "d", "t", "start")), strict=True):
-            if h != of and group:
+        if not len(batch):
+            continue
+        zero = np.zeros(len(batch), np.int32)
+        yield _parts(batch["d"].to_numpy(), batch["t"].to_numpy(), batch["start"].to_numpy(), zero, zero)
+        h = batch["h"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist() + [len(h)]
+        for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if (k or h[0] != of) and group:
                 yield from close()
-            of = h
-            group.append((text, d, t, s))
-    if group:
-        yield from close()
+            if y - x > 1 or x == 0 or y == len(h):  # a minimizer within a batch that has one context is settled
+                group.append(batch.slice(x, y - x))
+        of = h[-1]
+    yield from close()
     yield from done()
 
 
@@ -205,8 +210,29 @@ def _large(texts: DataFrame) -> DataFrame:
     """The same for minimizers with more text than a block holds: each window of their distinct contexts by 128 bits of hash, its first place aggregated before the shuffle and joined back."""
     windows = map_batches(texts, _windows, "w long, x long, d long, t long, first int, at int")
     least = windows.groupBy("w", "x").agg(F.min(F.struct("d", "t", "at")).alias("least"))
-    joined = windows.join(least, ["w", "x"]).withColumn("dup", F.struct("d", "t", "at") > F.col("least"))
-    return joined.groupBy("d", "t", "first").agg(F.filter(F.collect_list(F.when(F.col("dup"), F.array("at", F.col("at") + LENGTH))), lambda x: x.isNotNull()).alias("spans"))
+    later = windows.join(least, ["w", "x"]).where(F.struct("d", "t", "at") > F.col("least"))
+    spans = later.select("d", "t", "first", F.lit(True).alias("own"), F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+    return spans.unionByName(texts.select("d", "t", F.col("start").alias("first"), F.lit(True).alias("own"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+
+
+def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The removed spans of each document, as one sorted list of starts and ends. Places that aren't a context's first are repeats as a whole."""
+    lists = batch["all"]
+    offsets = lists.offsets.to_numpy()
+    rows = lists.flatten()
+    first, own, a, b = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "own", "a", "b"))
+    of = np.repeat(np.arange(len(batch)), np.diff(offsets))
+    keys = (of << 32) + first
+    use = (b > 0) & ((own == 1) | ~np.isin(keys, keys[own == 1]))
+    low, high = ((of[use] << 32) + x[use] for x in (a, b))
+    order = np.argsort(low)
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.concatenate([[True], low[1:] > reach[:-1]])[: len(low)]
+    ends = reach[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)] if len(low) else reach
+    spans = np.stack([low[new], ends], 1)
+    count = np.bincount(spans[:, 0] >> 32, minlength=len(batch))
+    flat = pa.array((spans & 0xFFFFFFFF).ravel().astype(np.int32))
+    return pa.record_batch([batch["d"], batch["t"], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * count)]).astype(np.int32)), flat)], ["d", "t", "spans"])
 
 
 def _place() -> list[Column]:
@@ -278,34 +304,18 @@ def deduplicated(docs: DataFrame, large: int = LARGE) -> DataFrame:
         big = scratch.keep(merged.groupBy("h").agg(F.sum(F.length("text") + 1).alias("size")).where(F.col("size") >= large).select("h"))
         rest = merged.join(sized(big), "h", "left_anti").repartition("h").sortWithinPartitions("h")
         firsts = rest.mapInArrow(_settled, PARTS).unionByName(_large(merged.join(sized(big), "h", "left_semi")))
-        # a context's first place has its own spans, every other place is a repeat as a whole
-        places = found.select("d", "t", F.col("start").alias("first"), F.array(F.array(F.col("start"), F.col("start") + F.col("n") - 1 + LENGTH)).alias("spans"), F.lit(0).alias("own"))
-        each = places.unionByName(firsts.withColumn("own", F.lit(1))).groupBy("d", "t").agg(F.collect_list(F.struct("first", "own", "spans")).alias("all"))
-
-        def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for rows in batch["all"].to_pylist():
-                own = {r["first"] for r in rows if r["own"]}
-                spans = sorted(tuple(s) for r in rows if r["own"] or r["first"] not in own for s in r["spans"])
-                flat: list[list[int]] = []
-                for a, b in spans:
-                    if flat and a <= flat[-1][1]:
-                        flat[-1][1] = max(flat[-1][1], b)
-                    else:
-                        flat.append([a, b])
-                out.append(flat)
-            return pa.record_batch([batch["d"], batch["t"], pa.array(out, pa.list_(pa.list_(pa.int32())))], ["d", "t", "spans"])
-
-        gone = checkpoint(map_batches(each, settle, "d long, t long, spans array<array<int>>").where(F.size("spans") > 0))
+        places = found.select("d", "t", F.col("start").alias("first"), F.lit(False).alias("own"), F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b"))
+        each = places.unionByName(firsts).groupBy("d", "t").agg(F.collect_list(F.struct("first", "own", "a", "b")).alias("all"))  # of one document
+        gone = checkpoint(map_batches(each, _merged, "d long, t long, spans array<int>").where(F.size("spans") > 0))
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, removed, spans = [], [], []
         for value, own in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
             text, own = value.as_py(), own or []
-            edges = [0, *(x for s in own for x in s), len(text)]
+            edges = [0, *own, len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             removed.append(len(text) - len(kept[-1]))
-            spans.append(len(own))
+            spans.append(len(own) // 2)
         sums = [hashlib.sha256(k).hexdigest() for k in kept]
         columns = [batch["doc_id"].cast(pa.int64()), pa.array([len(t.as_py()) for t in batch["text"]], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.binary())]
         return pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
