@@ -69,11 +69,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of exactly size words."""
+    """The hash of each window of exactly size words: a polynomial of the words' hashes, mixed."""
     out = np.full(max(0, len(hashes) - size + 1), size, np.uint64)
     for k in range(size):
-        out = mix(out * STEP + hashes[k : k + len(out)])
-    return out
+        out *= STEP
+        out += hashes[k : k + len(out)]
+    return mix(out)
 
 
 def shingle_hashes(hashes: np.ndarray, size: int = 5) -> np.ndarray:

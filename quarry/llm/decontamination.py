@@ -22,6 +22,8 @@ SIZE, LEAST = 5, 0.75
 RADIUS, BLOCKS = 23, 8
 #: Items are searched for in blocks of at most so many words, each with an index of bounded size that is sent to the tasks.
 INDEX_WORDS = 1_000_000
+#: Bits of a shingle's hash that look it up in a bitmap before the exact search.
+FILTER_BITS = 22
 
 
 def item_words(text: bytes) -> np.ndarray:
@@ -46,32 +48,48 @@ def similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class Index:
-    """Of a block of items: ids, word counts, shingle bags, fingerprints, all shingles, and for each block of bits and value the items near it."""
+    """Of a block of items: ids, word counts, shingle bags, fingerprints, all shingles, and a bitmap of them, and for each size, block of bits and value the items near it."""
 
     ids: np.ndarray
     sizes: np.ndarray
     bags: list[Counter]
     prints: np.ndarray
     shingles: np.ndarray
-    near: list[list[np.ndarray]]
+    seen: np.ndarray
+    near: dict[int, list[tuple[np.ndarray, np.ndarray]]]
 
 
 def index(items: list[tuple[int, np.ndarray]]) -> Index:
     prints = np.array([packed(fingerprint_bits(w).sum(0, keepdims=True))[0] for _, w in items], np.uint64)
     bags = [Counter(shingle_hashes(w, SIZE).tolist()) for _, w in items]
+    sizes = np.array([len(w) for _, w in items], np.int64)
     values = np.arange(256, dtype=np.uint8)
-    near = []
-    for b in range(BLOCKS):
-        own = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.uint8)
-        close = np.bitwise_count(values[:, None] ^ own[None, :]) <= RADIUS // BLOCKS
-        near.append([np.flatnonzero(row) for row in close])
-    return Index(np.array([i for i, _ in items], np.int64), np.array([len(w) for _, w in items], np.int64), bags, prints, np.unique(np.concatenate([np.fromiter(x, np.uint64, len(x)) for x in bags])), near)
-
-
-def candidates(fingerprint: int, ix: Index) -> np.ndarray:
-    """All items whose fingerprint is within the radius."""
-    found = np.unique(np.concatenate([ix.near[b][(fingerprint >> (8 * b)) & 255] for b in range(BLOCKS)]))
-    return found[np.bitwise_count(ix.prints[found] ^ np.uint64(fingerprint)) <= RADIUS]
+    near: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        near[size] = []
+        for b in range(BLOCKS):
+            block = ((prints[own] >> np.uint64(8 * b)) & np.uint64(255)).astype(np.uint8)
+            value, item = np.nonzero(np.bitwise_count(values[:, None] ^ block[None, :]) <= RADIUS // BLOCKS)
+            near[size].append((np.searchsorted(value, np.arange(257)), own[item]))
+    shingles = np.unique(np.concatenate([np.fromiter(x, np.uint64, len(x)) for x in bags]))
+    seen = np.zeros(1 << FILTER_BITS, bool)
+    seen[shingles >> np.uint64(64 - FILTER_BITS)] = True
+    return Index(np.array([i for i, _ in items], np.int64), sizes, bags, prints, shingles, seen, near)
+
+
+def candidates(prints: np.ndarray, size: int, ix: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a window and an item of its size whose fingerprints are within the radius: all of them, as each agrees nearly in one of the blocks."""
+    windows, items = [], []
+    for b, (edges, own) in enumerate(ix.near[size]):
+        value = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
+        n = edges[value + 1] - edges[value]
+        windows.append(np.repeat(np.arange(len(prints)), n))
+        items.append(own[np.repeat(edges[value] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    pairs = np.unique((np.concatenate(windows) << 32) | np.concatenate(items))
+    window, item = pairs >> 32, pairs & 0xFFFFFFFF
+    close = np.bitwise_count(prints[window] ^ ix.prints[item]) <= RADIUS
+    return window[close], item[close]
 
 
 def leaks(words: np.ndarray, ix: Index) -> dict[int, float]:
@@ -81,8 +99,9 @@ def leaks(words: np.ndarray, ix: Index) -> dict[int, float]:
     if not n:
         return best
     grams = shingle_hashes(words, SIZE)
-    at = np.minimum(np.searchsorted(ix.shingles, grams), len(ix.shingles) - 1)
-    hit = ix.shingles[at] == grams
+    hit = ix.seen[grams >> np.uint64(64 - FILTER_BITS)]
+    maybe = np.flatnonzero(hit)
+    hit[maybe] = ix.shingles[np.minimum(np.searchsorted(ix.shingles, grams[maybe]), len(ix.shingles) - 1)] == grams[maybe]
     short = np.unique(ix.sizes[(ix.sizes < SIZE) & (ix.sizes <= n)])
     if not hit.any() and not len(short):
         return best
@@ -104,15 +123,15 @@ def leaks(words: np.ndarray, ix: Index) -> dict[int, float]:
         for a in range(0, len(starts), 4096):
             part = starts[a : a + 4096]
             prints = packed(sums[part + size] - sums[part])
-            for start, f in zip(part.tolist(), prints.tolist(), strict=True):
-                bag = None
-                for k in candidates(f, ix).tolist():
-                    if ix.sizes[k] != size or best.get(k, 0) == 1:
-                        continue
-                    bag = bag if bag is not None else Counter(own[start : start + width].tolist())
-                    s = similarity(bag, ix.bags[k])
-                    if s >= LEAST and s > best.get(k, 0):
-                        best[k] = s
+            bags: dict[int, Counter] = {}
+            for w, k in zip(*(x.tolist() for x in candidates(prints, int(size), ix)), strict=True):
+                if best.get(k, 0) == 1:
+                    continue
+                if w not in bags:
+                    bags[w] = Counter(own[part[w] : part[w] + width].tolist())
+                s = similarity(bags[w], ix.bags[k])
+                if s >= LEAST and s > best.get(k, 0):
+                    best[k] = s
     return best
 
 
