@@ -17,7 +17,7 @@ MOST_FLAGS, MOST_SKILLS, HEADING = 8, 25, 60
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n"), F.trim), lambda s: F.size(F.split(s, r"\s+")) >= 3)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x)), lambda s: F.size(F.split(s, r"\s+")) >= 3)
 
 
 def flagged(drafts: DataFrame, vocabulary: dict[str, str] | None = None) -> DataFrame:

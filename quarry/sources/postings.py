@@ -147,7 +147,7 @@ def hiring_comments(spark: SparkSession, path: str, now: Column, story: str | No
 
 def pasted(frame: DataFrame, now: Column) -> DataFrame:
     """Postings that were pasted as text: typed fields (title, company, location, url) win over guesses from the first lines (`Company · Place · age`) of text."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n"), lambda x: F.trim(x)), lambda x: x != "")
     middle = F.try_element_at(F.filter(lines, lambda x: x.contains(" · ")), F.lit(1))
     dots = F.split(middle, r"\s+·\s+")
     body = F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?s)About the job\s*\n(.*)", 1)), F.lit("")), F.col("text"))
