@@ -66,7 +66,7 @@ def original(data: bytes) -> sentencepiece.SentencePieceProcessor:
 
 
 #: Words whose ids a task remembers; beyond it starts anew, so its memory stays bounded.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 

@@ -16,7 +16,7 @@ from .sentencepieces import MODEL_PATH, SEGMENT, build
 #: Longer words, rare, are scored one by one: a level of the trie with a single node gains nothing from arrays.
 LONGEST = 64
 #: Words whose counts a task remembers (beyond it starts anew) and cells of a trie's arrays at once.
-REMEMBERED, CELLS = 500_000, 2 << 20
+REMEMBERED, CELLS = 250_000, 2 << 20
 FILTER_BITS = 22
 
 
