@@ -1,7 +1,7 @@
 """Operator 2: near-duplicate documents by MinHash with tensored banding.
 
 Two collections of M band values are made, A and B, each value from R minhashes. A table's key joins one value of A with one of B, so 2 * M * R minhashes serve M * M tables of 2 * R minhashes each.
-Within a table, documents are linked to a leader and every proposed link is confirmed on the full shingle sets.
+Within a table, documents are first linked to a leader, which brings near copies together at little cost. Then every pair of a table key whose nodes are still in different components is compared. Every link is confirmed on the full shingle sets.
 
 At similarity 0.75, M = 25 and R = 4, a pair shares no table with probability 2 * (1 - 0.75**4)**25 = 1.5e-4, and fewer than one in 1e7 at 0.9.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 BLOCK = 1 << 15
+#: A table key with at most so many open pairs makes them as rows; those of a key with more are compared in blocks of so many nodes and shingles a side, by tables of so many shingles.
+OPEN_PAIRS, BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 1 << 12, 1024, 500_000, 2048
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -105,13 +108,9 @@ def _stars(keys: DataFrame, roots: DataFrame | None, lead: Column) -> DataFrame:
     return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose full sets reach the similarity. Sketches first set aside those that are far below it; sets are made anew from the texts of the nodes that are left."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (_differing("sa", "sb") <= MOST_DIFFERENT)).select("a", "b")
-    near = scratch.keep(near)
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.keep(wanted.join(nodes.select("node", "doc_id", "holder"), "node").select("doc_id", "holder", "node"))
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, set of the wanted nodes, made anew from their texts."""
+    wanted = scratch.keep(wanted.distinct().join(nodes.select("node", "doc_id", "holder"), "node").select("doc_id", "holder", "node"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch["node"], pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch["text"]], pa.list_(pa.int64()))], ["node", "set"])
@@ -121,7 +120,15 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scr
     texts = texts.withColumn("holder", F.xxhash64("text"))
     chosen = texts.join(sized(wanted.where("doc_id is not null")), ["doc_id", "holder"]).select("node", "text")
     lost = texts.where("doc_id is null").join(wanted.where("doc_id is null").drop("doc_id"), "holder").select("node", "text")
-    made = scratch.keep(map_batches(chosen.unionByName(lost), sets, "node long, set array<long>").dropDuplicates(["node"]))
+    return scratch.keep(map_batches(chosen.unionByName(lost), sets, "node long, set array<long>").dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs whose full sets reach the similarity. Sketches first set aside those that are far below it; sets are made anew from the texts of the nodes that are left."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (_differing("sa", "sb") <= MOST_DIFFERENT)).select("a", "b")
+    near = scratch.keep(near)
+    made = _sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), nodes, docs, scratch)
 
     def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -135,9 +142,72 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scr
     return map_batches(both, similar, "a long, b long")
 
 
+def _compared(table: pa.Table) -> pa.Table:
+    """The pairs (a, b) that reach the similarity, of the left and the right nodes of a block, in different components. Shared shingles are counted by products of tables of ones."""
+    sides = []
+    for side in (True, False):
+        part = table.filter(pc.equal(table["left"], side)).combine_chunks()
+        sets = [x.values.to_numpy().view(np.uint64) for x in part["set"]]
+        sides.append((part["node"].to_numpy(), part["root"].to_numpy(), np.array([*map(len, sets)], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)])))
+    (a, ra, na, xs), (b, rb, nb, ys) = sides
+    words = np.intersect1d(xs, ys)
+
+    def places(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, known = np.repeat(np.arange(len(sizes)), sizes), np.isin(values, words)
+        rows, columns = rows[known], np.searchsorted(words, values[known])
+        order = np.argsort(columns, kind="stable")
+        return rows[order], columns[order]
+
+    (xr, xc), (yr, yc) = places(xs, na), places(ys, nb)
+    both = np.zeros((len(a), len(b)), np.float32)  # counts below 2**24 are exact
+    for low in range(0, len(words), COLUMNS):
+        ones = []
+        for rows, columns, n in ((xr, xc, len(a)), (yr, yc, len(b))):
+            start, end = np.searchsorted(columns, [low, low + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(words) - low)), np.float32)
+            m[rows[start:end], columns[start:end] - low] = 1
+            ones.append(m)
+        both += ones[0] @ ones[1].T
+    both = both.astype(np.int64)
+    i, j = np.nonzero((100 * both >= 75 * (na[:, None] + nb[None, :] - both)) & (ra[:, None] != rb[None, :]))
+    return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+
+def _rest(keys: DataFrame, roots: DataFrame, done: DataFrame | None, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links of all pairs of nodes that share a table key and are in different components. In a key, each node outside its largest component is compared with all nodes of other components. A key with many such pairs is compared in blocks, together with
+    all nodes that have its value of A, so that a large group is gone through once for each value of A and not for each table. Keys of two nodes need nothing more when leaders were compared (`done` are the pairs that were)."""
+    own = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    sizes = scratch.keep(sizes.where((F.col("top") < F.col("n")) & (F.col("n") > (1 if done is None else 2))))
+    few = F.col("n") * (F.col("n") - F.col("top")) <= OPEN_PAIRS
+    small = own.join(sizes.where(few).select("key", "most"), "key")
+    minor = small.where("root <> most").select("key", F.col("node").alias("leader"), F.col("root").alias("leads"), F.col("brief").alias("of_leader"))
+    pairs = small.join(minor, "key").where((F.col("root") != F.col("leads")) & ((F.col("root") == F.col("most")) | (F.col("node") < F.col("leader"))) & (_differing("brief", "of_leader", BRIEF) <= MOST_BRIEF))
+    pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    links = _confirmed(scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")), nodes, docs, scratch)
+    large = sizes.where(~few).select("key")
+    if large.isEmpty():
+        return links
+    values = scratch.keep(own.join(large, "key", "left_semi").select("slot", "value").distinct())
+    banded = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_shingles", F.posexplode(F.slice("bands", 1, M)).alias("slot", "value"))
+    members = scratch.keep(banded.join(values, ["slot", "value"]))
+    per = members.groupBy("slot", "value", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    per = per.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("top"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    per = per.select("slot", "value", F.col("top.root").alias("most"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rows"), blocks(F.col("n"), F.col("w")).alias("columns"))
+    dealt = members.join(per, ["slot", "value"])
+    at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = dealt.where("root <> most").select("slot", "value", at("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "node", "root")
+    rights = dealt.select("slot", "value", every("rows").alias("i"), at("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "root")
+    made = _sets(members.select("node"), nodes, docs, scratch)
+    found = lefts.unionByName(rights).join(made, "node").groupBy("slot", "value", "i", "j").applyInArrow(lambda t: _compared(t), "a long, b long")
+    return links.unionByName(scratch.keep(found.distinct()))
+
+
 def classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row. Rows with the same shingle set are one node from the start. First the M tables (A[i], B[i]) link nodes to leaders; then, for nodes that still share
-    band values across components, all M * M tables do so, each with a leader of its own choice by hash, `rounds` times or until nothing new is found.
+    band values across components, all M * M tables do so, each with a leader of its own choice by hash, `rounds` times or until nothing new is found. Last, all pairs that share a key of any table across components are compared.
 
     A null or empty text has no shingles and is alone. A row without id takes the least id of its component and is kept only if there is none. Repeated rows each give the same row. Further columns are ignored."""
     spark = docs.sparkSession
@@ -149,18 +219,27 @@ def classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
         first = nodes.select("node", brief, F.explode(F.array(*(F.xxhash64(F.lit(i * M + i), F.col("bands")[i], F.col("bands")[M + i]) for i in range(M)))).alias("key"))
         links = scratch.keep(_confirmed(scratch.keep(_stars(first, None, F.col("node"))), nodes, docs, scratch))
         roots = scratch.keep(components(links))
-        for turn in range(rounds):
+
+        def open_keys() -> DataFrame:
             banded = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("slot", "value"))
             shared = banded.groupBy("slot", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot", "value")
             open_ = banded.select("node", "slot", "value").join(shared, ["slot", "value"]).groupBy("node").agg(F.collect_set(F.struct("slot", "value")).alias("v"))  # at most 2 * M
             sides = open_.select("node", F.filter("v", lambda x: x["slot"] < M).alias("a"), F.filter("v", lambda x: x["slot"] >= M).alias("b"))
             keys = sides.join(nodes.select("node", brief), "node").select("node", "brief", "b", F.explode("a").alias("a")).select("node", "brief", "a", F.explode("b").alias("b"))
-            keys = keys.select("node", "brief", F.xxhash64(F.col("a.slot") * M + F.col("b.slot") - M, "a.value", "b.value").alias("key"))
-            fresh = scratch.keep(_confirmed(scratch.keep(_stars(keys, roots, F.xxhash64("node", "key", F.lit(turn)))), nodes, docs, scratch))
+            return keys.select("node", "brief", "a.slot", "a.value", F.xxhash64(F.col("a.slot") * M + F.col("b.slot") - M, "a.value", "b.value").alias("key"))
+
+        done = None
+        for turn in range(rounds):
+            pairs = scratch.keep(_stars(open_keys().drop("slot", "value"), roots, F.xxhash64("node", "key", F.lit(turn))))
+            fresh = scratch.keep(_confirmed(pairs, nodes, docs, scratch))
+            done = pairs if done is None else done.unionByName(pairs)
             if fresh.isEmpty():
                 break
             links = links.unionByName(fresh)
             roots = scratch.keep(components(links))
+        fresh = scratch.keep(_rest(open_keys(), roots, done, nodes, docs, scratch))
+        if not fresh.isEmpty():
+            roots = scratch.keep(components(links.unionByName(fresh)))
         named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         of = scratch.keep(named.join(least, "root").select("node", "component_id"))

@@ -53,6 +53,19 @@ def test_near_duplicates(table):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("open_pairs, block", [(minhash_dedup.OPEN_PAIRS, minhash_dedup.BLOCK_NODES), (0, 50)])
+def test_template_and_hub(table, monkeypatch, open_pairs, block):
+    """Documents below the similarity to each other that one nearly bare copy of their template links."""
+    monkeypatch.setattr(minhash_dedup, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_NODES", block)
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", 64)
+    template = " ".join(f"t{k}" for k in range(94))
+    rows = [(k, template + "".join(f" d{k}w{j}" for j in range(4 if k == 77 else 20))) for k in range(300)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.classes(table(rows)).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, c in got.values()}) == 1
+
+
 def test_near_duplicate_edges(table):
     got = minhash_dedup.classes(table(ODD)).collect()
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == sorted(
