@@ -1,8 +1,8 @@
 """Operator 5: main text of web pages by nearest-URL page differencing.
 
 Pages of a host are put in the order of their URL paths, each is paired with the neighbour whose path is more like its own, the text lines of the two are aligned by longest common subsequence, and lines that
-they share are deleted. Differencing alone can't tell right: menus and adverts may differ from page to page, and articles may quote the same passage. So marked elements come first: furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) is never text, what is inside a marked article always is, and shared lines are deleted from the pages that mark no article.
+they share are deleted. Differencing alone can't tell right: menus and adverts may differ from page to page, and articles may quote the same passage. So marks veto and protect: furniture (menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts, styles) is never text, what is inside a marked article always is, and differencing decides all other lines of all pages.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SELF_CLOSING = frozenset("p li dt dd td th tr".split())
 #: Pages that share more than this share of their lines are copies of each other; nothing is deleted from them.
 COPY = 0.8
-HASH = "page_id long, of long, host string, path string, marked boolean, lines array<long>"
+HASH = "page_id long, of long, host string, path string, lines array<long>"
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -143,13 +143,13 @@ def _alike(a: str, b: str) -> int:
 
 
 PAIRED = HASH + ", open boolean, shared array<int>, edge boolean"
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("of", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("marked", pa.bool_()), ("lines", pa.list_(pa.int64())), ("open", pa.bool_()), ("shared", pa.list_(pa.int32())), ("edge", pa.bool_())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("of", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("open", pa.bool_()), ("shared", pa.list_(pa.int32())), ("edge", pa.bool_())])
 
 
 def _shared(left: dict | None, row: dict, right: dict | None) -> list[int]:
     """What is to be deleted from a page, given the pages before and after it in URL order."""
     near = [x for x in (left, right) if x and x["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
-    if row["marked"] or not row["lines"] or not near:
+    if not row["lines"] or not near:
         return []
     found = shared_lines(row["lines"], max(near, key=lambda x: _alike(x["path"], row["path"]))["lines"])
     return found if len(found) <= COPY * len(row["lines"]) else []
@@ -198,20 +198,14 @@ def differences(pages: DataFrame, scratch: Scratch) -> DataFrame:
     arrow_ready(pages.sparkSession, 256)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, marked = [], []
-        for value in batch["html"]:
-            texts, inside = blocks(value.as_py().decode("utf-8", "replace"))
-            marked.append(any(inside))
-            lines.append(_hashes(texts))
-        return pa.record_batch([batch["page_id"], batch["of"], batch["host"], batch["path"], pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.int64()))], ["page_id", "of", "host", "path", "marked", "lines"])
+        lines = [_hashes(blocks(value.as_py().decode("utf-8", "replace"))[0]) for value in batch["html"]]
+        return pa.record_batch([batch["page_id"], batch["of"], batch["host"], batch["path"], pa.array(lines, pa.list_(pa.int64()))], ["page_id", "of", "host", "path", "lines"])
 
     url = F.coalesce("url", F.lit(""))
     keyed = pages.withColumns({"host": F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)})
     rows = map_batches(keyed.select("page_id", "of", "host", "path", "html"), run, HASH)
     order = ["host", "path", "page_id", "of"]
-    if not (kept := scratch.keep(rows)).where("not marked").limit(1).count():
-        return kept.select("page_id", "of", F.array().cast("array<int>").alias("shared")).limit(0)
-    ranged = kept.dropDuplicates(["page_id", "of"]).withColumn("open", F.lit(False)).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = scratch.keep(rows).dropDuplicates(["page_id", "of"]).withColumn("open", F.lit(False)).repartitionByRange(*order).sortWithinPartitions(*order)
     first = scratch.keep(ranged.mapInArrow(_paired(False), PAIRED))
     ends = first.where("edge").drop("shared", "edge").coalesce(1).sortWithinPartitions(*order)  # at most four pages of each partition
     second = ends.mapInArrow(_paired(True), PAIRED)
@@ -231,7 +225,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for value, shared in zip(batch["html"], batch["shared"].to_pylist(), strict=True):
             texts, inside = blocks(value.as_py().decode("utf-8", "replace"))
             drop = set(shared or ())
-            keep = inside if any(inside) else [k not in drop for k in range(len(texts))]
+            keep = [marked or k not in drop for k, marked in enumerate(inside)]
             out.append("\n".join(t for t, k in zip(texts, keep, strict=True) if k))
         return pa.record_batch([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

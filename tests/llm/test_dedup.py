@@ -153,6 +153,12 @@ def test_page_differences(spark):
     assert {r.page_id: r.text for r in got} == {k: f"text {k} one\ntext {k} two" for k in range(40)}
 
 
+def test_page_differences_beside_articles(spark):
+    rows = [(k, f"http://h.com/a/{k:02d}", f"<body><div>Home</div><article><p>Teaser</p></article><div>body {k}</div><div>Copyright</div></body>") for k in range(10)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Teaser\nbody {k}" for k in range(10)}
+
+
 def test_shared_lines():
     assert html_extraction.shared_lines([1, 2, 3, 4, 5], [1, 9, 3, 8, 5]) == [0, 2, 4]
     assert html_extraction.shared_lines([1, 2], []) == []
