@@ -35,8 +35,6 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = frozenset("p li dt dd td th tr".split())
-#: Pages that share more than this share of their lines are copies of each other; nothing is deleted from them.
-COPY = 0.8
 HASH = "page_id long, of long, host string, path string, lines array<long>"
 
 
@@ -147,12 +145,12 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("of", pa.int64()), ("host", pa.st
 
 
 def _shared(left: dict | None, row: dict, right: dict | None) -> list[int]:
-    """What is to be deleted from a page, given the pages before and after it in URL order."""
+    """What is to be deleted from a page, given the pages before and after it in URL order. A neighbour that leaves it no line of its own has a copy of it: then the other one is asked."""
     near = [x for x in (left, right) if x and x["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
-    if not row["lines"] or not near:
-        return []
-    found = shared_lines(row["lines"], max(near, key=lambda x: _alike(x["path"], row["path"]))["lines"])
-    return found if len(found) <= COPY * len(row["lines"]) else []
+    for x in sorted(near, key=lambda x: -_alike(x["path"], row["path"])):
+        if len(found := shared_lines(row["lines"], x["lines"])) < len(row["lines"]):
+            return found
+    return []
 
 
 def _paired(last_pass: bool):
@@ -194,7 +192,7 @@ def _paired(last_pass: bool):
 
 
 def differences(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """page_id, of (hash of url and html), shared: line numbers to delete."""
+    """page_id, of (hash of url and html), shared: line numbers to delete. Pages of a host with equal lines are copies: the first in URL order is paired for all of them, with pages that aren't."""
     arrow_ready(pages.sparkSession, 256)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -205,15 +203,18 @@ def differences(pages: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = pages.withColumns({"host": F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)})
     rows = map_batches(keyed.select("page_id", "of", "host", "path", "html"), run, HASH)
     order = ["host", "path", "page_id", "of"]
-    ranged = scratch.keep(rows).dropDuplicates(["page_id", "of"]).withColumn("open", F.lit(False)).repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = scratch.keep(rows.where("host <> '' and size(lines) > 0").withColumn("copy", F.xxhash64("lines")))
+    one = kept.groupBy("host", "copy").agg(F.min_by(F.struct("page_id", "of", "path", "lines"), F.struct("path", "page_id", "of")).alias("r")).select("r.page_id", "r.of", "host", "r.path", "r.lines")
+    ranged = one.withColumn("open", F.lit(False)).repartitionByRange(*order).sortWithinPartitions(*order)
     first = scratch.keep(ranged.mapInArrow(_paired(False), PAIRED))
     ends = first.where("edge").drop("shared", "edge").coalesce(1).sortWithinPartitions(*order)  # at most four pages of each partition
     second = ends.mapInArrow(_paired(True), PAIRED)
-    return first.where("not edge").unionByName(second).select("page_id", "of", "shared")
+    found = first.where("not edge").unionByName(second).select("host", F.xxhash64("lines").alias("copy"), "shared")
+    return kept.select("page_id", "of", "host", "copy").distinct().join(found, ["host", "copy"]).select("page_id", "of", "shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page. Null or empty html gives an empty text; a page without a URL has no neighbours; repeated rows each give a row and aren't neighbours of each other; further
+    """page_id, url, text, n_chars of each page. Null or empty html gives an empty text; a page without a URL has no neighbours; repeated rows each give a row and aren't neighbours of each other; pages that share all their lines lose none; further
     columns are ignored. Blocks are joined in page order by a line feed."""
     arrow_ready(pages.sparkSession, 256)
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("of", F.xxhash64("url", "html"))

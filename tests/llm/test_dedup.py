@@ -159,6 +159,14 @@ def test_page_differences_beside_articles(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Teaser\nbody {k}" for k in range(10)}
 
 
+def test_page_differences_long_templates_and_copies(spark):
+    menu = "".join(f"<div>menu {j}</div>" for j in range(15))
+    rows = [(k, f"http://h.com/a/{k:02d}", f"<body>{menu}" + "".join(f"<p>text {k // 3} {j}</p>" for j in range(3)) + "</body>") for k in range(12)]
+    rows += [(k, f"http://c.com/{k}", "<p>one</p><p>two</p>") for k in (50, 51)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {**{k: "\n".join(f"text {k // 3} {j}" for j in range(3)) for k in range(12)}, 50: "one\ntwo", 51: "one\ntwo"}
+
+
 def test_shared_lines():
     assert html_extraction.shared_lines([1, 2, 3, 4, 5], [1, 9, 3, 8, 5]) == [0, 2, 4]
     assert html_extraction.shared_lines([1, 2], []) == []
