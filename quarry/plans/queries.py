@@ -336,6 +336,15 @@ def keyword_cosines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.round("cosine", 6).alias("cosine"), F.round(scoring.calibrate(F.col("cosine")), 4).alias("keywords"))
 
 
+@query()
+def keyword_pair_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """keyword_cosines over words and neighbouring pairs, as the reference weighs them. It has no SQL; a test holds it against brute force."""
+    words = lambda docs, *ids: docs.select(*ids, vectors.tokens(F.col("text")).alias("text"))
+    profile = words(table(spark, d, "benchmark").where("item_id = 0"))
+    c = vectors.cosines(words(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id"), "doc_id", profile, vectors.grams)
+    return c.select("id", F.round("cosine", 6).alias("cosine"), F.round(scoring.calibrate(F.col("cosine")), 4).alias("keywords"))
+
+
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) x GROUP BY term")
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(vectors.tokens(F.col("text"))).alias("term"))
