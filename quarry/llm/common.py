@@ -113,15 +113,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark removes it when the result is no longer in use."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def result(df: DataFrame) -> DataFrame:
+    """A table that is written to the shared folder and read again, for a caller who may read it more than once. The folder goes when the driver ends."""
+    at = f"{shared_dir(df.sparkSession)}/result-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 class Scratch:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, as_bytes, checkpoint, map_batches, mix, read, shingle_hashes, sized, windows, word_hashes
+from .common import arrow_ready, as_bytes, map_batches, mix, read, shingle_hashes, windows, word_hashes
 
 SIZE, LEAST = 5, 0.75
 #: Radius of the search in bits of 64, and blocks: of two fingerprints within the radius, one of the blocks of 8 bits differs in RADIUS // BLOCKS bits at most.
@@ -174,9 +174,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose document holds no benchmark item, with all their columns. Rows without id stay."""
-    found = checkpoint(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(sized(found), "doc_id", "left_anti")
+    """The rows of docs whose text holds no benchmark item, with all their columns, with or without an id. Null and empty texts hold none."""
+    arrow_ready(docs.sparkSession)
+    for block in item_blocks(benchmark):
+        ix = docs.sparkSession.sparkContext.broadcast(index(block))  # at most INDEX_WORDS words
+
+        def clean(batch: pa.RecordBatch, ix=ix) -> pa.RecordBatch:
+            return batch.filter(pa.array([not leaks(item_words(t.as_py() or b""), ix.value) for t in batch["text"].cast(pa.binary())], pa.bool_()))
+
+        docs = map_batches(docs, clean, docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, checkpoint, map_batches, read, sized
+from .common import Scratch, arrow_ready, map_batches, read, result, sized
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
 HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -219,7 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     arrow_ready(pages.sparkSession, 256)
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("of", F.xxhash64("url", "html"))
     with Scratch(pages.sparkSession) as scratch:
-        gone = checkpoint(differences(body, scratch))
+        gone = result(differences(body, scratch))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

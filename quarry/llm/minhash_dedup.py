@@ -1,7 +1,9 @@
 """Operator 2: near-duplicate documents by MinHash with tensored banding.
 
 Two collections of M band values are made, A and B, each value from R minhashes. A table's key joins one value of A with one of B, so 2 * M * R minhashes serve M * M tables of 2 * R minhashes each.
-Within a table, documents are first linked to a leader, which brings near copies together at little cost. Then every pair of a table key whose nodes are still in different components is compared. Every link is confirmed on the full shingle sets.
+Only values that documents share are paired, so most documents make no key at all. In the M tables (A[i], B[i]) documents are first linked to a leader, which brings near copies together at little cost. Then every
+pair that shares a key of any table and isn't in one component yet is compared: pairs of keys that few documents have as rows, crowds of documents that have keys in common in blocks of bounded size.
+Every link is confirmed on the full shingle sets.
 
 At similarity 0.75, M = 25 and R = 4, a pair shares no table with probability 2 * (1 - 0.75**4)**25 = 1.5e-4, and fewer than one in 1e7 at 0.9.
 """
@@ -15,22 +17,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, as_bytes, checkpoint, map_batches, mix, read, shingle_set, sized
+from .common import Scratch, arrow_ready, as_bytes, map_batches, mix, read, result, shingle_set, sized
 from .graph import components
 
 M, R = 25, 4
 HASHES = 2 * M * R
 #: Two bits of each minhash, in numbers of 32 pairs. Of 200 pairs, sets of similarity 0.75 differ in 38 on average, with a deviation of 5.5.
 SKETCH, MOST_DIFFERENT = -(-HASHES // 32), 62
-#: The first numbers of a sketch travel with the table keys: 128 pairs of bits, of which sets of similarity 0.75 differ in 24 on average, with a deviation of 4.4.
-BRIEF, MOST_BRIEF = 4, 42
 _PAIRS = 0x5555555555555555
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 BLOCK = 1 << 15
-#: A table key with at most so many open pairs makes them as rows; those of a key with more are compared in blocks of so many nodes and shingles a side, by tables of so many shingles.
-OPEN_PAIRS, BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 1 << 12, 1024, 500_000, 2048
+#: Nodes with a table key that more than CROWD nodes have are compared in blocks, of at most so many nodes and shingles a side.
+CROWD, BLOCK_NODES, BLOCK_SHINGLES = 32, 1024, 500_000
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -54,8 +54,8 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bands(minima: np.ndarray) -> np.ndarray:
-    """The 2 * M band values of each row: first A's, then B's."""
-    out = np.zeros((len(minima), 2 * M), np.uint64)
+    """The 2 * M band values of each row: first A's, then B's. Values of different bands are different."""
+    out = np.tile(np.arange(2 * M, dtype=np.uint64) << np.uint64(32), (len(minima), 1))
     for k in range(R):
         out = mix(out + minima[:, k::R] + np.uint64(k))
     return out
@@ -89,23 +89,38 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(texts, run, "doc_id long, holder long, n_shingles long, node long, bands array<long>, sketch array<long>")
 
 
-def _differing(a: str, b: str, longs: int = SKETCH) -> Column:
-    """In how many of the pairs of bits in the first `longs` numbers of their sketches two nodes differ."""
+def _differing(a: str, b: str) -> Column:
+    """In how many of the pairs of bits of their sketches two nodes differ."""
     total = F.lit(0)
-    for k in range(longs):
+    for k in range(SKETCH):
         d = F.col(a)[k].bitwiseXOR(F.col(b)[k])
         total = total + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_PAIRS)))
     return total
 
 
-def _stars(keys: DataFrame, roots: DataFrame | None, lead: Column) -> DataFrame:
-    """Pairs (a, b) of a node and the leader of a table key that it has: the node of the least `lead`. Keys of one node, or of one component, make none, nor do nodes whose sketches say that they are far apart. The leader is aggregated before the shuffle and joined
-    back, so that a key which very many nodes have makes one pair for each of them and is split like any skewed join."""
-    own = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = own.groupBy("key").agg(F.min(F.struct(lead.alias("by"), "node", "root", "brief")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    best = best.select("key", F.col("top.node").alias("leader"), F.col("top.root").alias("leads"), F.col("top.brief").alias("of_leader"))
-    pairs = own.withColumnRenamed("key", "own_key").join(best, (F.col("own_key") == F.col("key")) & (F.col("root") != F.col("leads")) & (_differing("brief", "of_leader", BRIEF) <= MOST_BRIEF))
-    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+def _shared(values: DataFrame) -> DataFrame:
+    """node, own: of the values (node, root, value) those that nodes of more than one component have, as a set for each node. Counted before the shuffle and joined back, so a value of very many nodes is split like any skewed join."""
+    common = values.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
+    return values.select("node", "value").join(common, "value").groupBy("node").agg(F.collect_set("value").alias("own"))  # at most M values
+
+
+def _open(nodes: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The nodes (node, root, bands) that share both a value of A and a value of B with a node of another component, and these values as the sets a and b. Only nodes with such a value of A are asked for theirs of B."""
+    own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.select("node", "root", "bands")
+    of_a = scratch.keep(_shared(own.select("node", "root", F.explode(F.slice("bands", 1, M)).alias("value"))).withColumnRenamed("own", "a"))
+    left = scratch.keep(own.join(of_a, "node"))
+    of_b = _shared(left.select("node", "root", F.explode(F.slice("bands", M + 1, M)).alias("value"))).withColumnRenamed("own", "b")
+    return scratch.keep(left.join(of_b, "node"))
+
+
+def _stars(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node and the leader of a key of the tables (A[i], B[i]) that it has. The leader is the node of the least hash, so the keys of a group of near copies agree on few leaders."""
+    at = lambda i: F.get("bands", i)
+    shared = lambda i: F.when(F.array_contains("a", at(i)) & F.array_contains("b", at(i + M)), F.xxhash64(at(i), at(i + M)))
+    keys = open_.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(M - 1)), shared)).alias("key")).where("key is not null")
+    best = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.node").alias("leader"))
+    return keys.join(best, "key").where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -119,16 +134,24 @@ def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch
     # the text of a node: the row that has both its id and its text hash, so repeated ids with other texts don't interfere
     texts = texts.withColumn("holder", F.xxhash64("text"))
     chosen = texts.join(sized(wanted.where("doc_id is not null")), ["doc_id", "holder"]).select("node", "text")
-    lost = texts.where("doc_id is null").join(wanted.where("doc_id is null").drop("doc_id"), "holder").select("node", "text")
+    lost = texts.where("doc_id is null").join(sized(wanted.where("doc_id is null").drop("doc_id")), "holder").select("node", "text")
     return scratch.keep(map_batches(chosen.unionByName(lost), sets, "node long, set array<long>").dropDuplicates(["node"]))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose full sets reach the similarity. Sketches first set aside those that are far below it; sets are made anew from the texts of the nodes that are left."""
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that aren't far below the similarity by their sizes and sketches."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (_differing("sa", "sb") <= MOST_DIFFERENT)).select("a", "b")
-    near = scratch.keep(near)
-    made = _sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), nodes, docs, scratch)
+    close = (100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (_differing("sa", "sb") <= MOST_DIFFERENT)
+    of_a = pairs.join(side("a"), "a").join(side("b").withColumnRenamed("b", "own_b"), (F.col("b") == F.col("own_b")) & close)
+    return of_a.select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def _confirmed(near: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
 
     def similar(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -136,123 +159,137 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scr
             x, y = x.values.to_numpy(), y.values.to_numpy()
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = near.join(made.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return map_batches(both, similar, "a long, b long")
 
 
+class _Roots:
+    """Which components of a block are one by now."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        self.up[x] = y
+        return x != y
+
+
 def _compared(table: pa.Table) -> pa.Table:
-    """The pairs (a, b) that reach the similarity, of the left and the right nodes of a block, in different components. Shared shingles are counted by products of tables of ones."""
+    """Links (a, b) between the left and the right nodes of a block that make its components one wherever a pair of its nodes reaches the similarity. Sketches set pairs aside, full sets decide."""
     sides = []
     for side in (True, False):
         part = table.filter(pc.equal(table["left"], side)).combine_chunks()
         sets = [x.values.to_numpy().view(np.uint64) for x in part["set"]]
-        sides.append((part["node"].to_numpy(), part["root"].to_numpy(), np.array([*map(len, sets)], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)])))
-    (a, ra, na, xs), (b, rb, nb, ys) = sides
-    words = np.intersect1d(xs, ys)
-
-    def places(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, known = np.repeat(np.arange(len(sizes)), sizes), np.isin(values, words)
-        rows, columns = rows[known], np.searchsorted(words, values[known])
-        order = np.argsort(columns, kind="stable")
-        return rows[order], columns[order]
-
-    (xr, xc), (yr, yc) = places(xs, na), places(ys, nb)
-    both = np.zeros((len(a), len(b)), np.float32)  # counts below 2**24 are exact
-    for low in range(0, len(words), COLUMNS):
-        ones = []
-        for rows, columns, n in ((xr, xc, len(a)), (yr, yc, len(b))):
-            start, end = np.searchsorted(columns, [low, low + COLUMNS])
-            m = np.zeros((n, min(COLUMNS, len(words) - low)), np.float32)
-            m[rows[start:end], columns[start:end] - low] = 1
-            ones.append(m)
-        both += ones[0] @ ones[1].T
-    both = both.astype(np.int64)
-    i, j = np.nonzero((100 * both >= 75 * (na[:, None] + nb[None, :] - both)) & (ra[:, None] != rb[None, :]))
-    return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
-
-
-def _rest(keys: DataFrame, roots: DataFrame, done: DataFrame | None, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The links of all pairs of nodes that share a table key and are in different components. In a key, each node outside its largest component is compared with all nodes of other components. A key with many such pairs is compared in blocks, together with
-    all nodes that have its value of A, so that a large group is gone through once for each value of A and not for each table. Keys of two nodes need nothing more when leaders were compared (`done` are the pairs that were)."""
-    own = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most"))
-    sizes = scratch.keep(sizes.where((F.col("top") < F.col("n")) & (F.col("n") > (1 if done is None else 2))))
-    few = F.col("n") * (F.col("n") - F.col("top")) <= OPEN_PAIRS
-    small = own.join(sizes.where(few).select("key", "most"), "key")
-    minor = small.where("root <> most").select("key", F.col("node").alias("leader"), F.col("root").alias("leads"), F.col("brief").alias("of_leader"))
-    pairs = small.join(minor, "key").where((F.col("root") != F.col("leads")) & ((F.col("root") == F.col("most")) | (F.col("node") < F.col("leader"))) & (_differing("brief", "of_leader", BRIEF) <= MOST_BRIEF))
-    pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    links = _confirmed(scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")), nodes, docs, scratch)
-    large = sizes.where(~few).select("key")
-    if large.isEmpty():
-        return links
-    values = scratch.keep(own.join(large, "key", "left_semi").select("slot", "value").distinct())
-    banded = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_shingles", F.posexplode(F.slice("bands", 1, M)).alias("slot", "value"))
-    members = scratch.keep(banded.join(values, ["slot", "value"]))
-    per = members.groupBy("slot", "value", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    per = per.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("top"))
-    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
-    per = per.select("slot", "value", F.col("top.root").alias("most"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rows"), blocks(F.col("n"), F.col("w")).alias("columns"))
-    dealt = members.join(per, ["slot", "value"])
+        sketch = np.array([x.values.to_numpy() for x in part["sketch"]], np.int64).view(np.uint64).reshape(-1, SKETCH)
+        sides.append((part["node"].to_numpy(), part["root"].to_numpy(), np.array([*map(len, sets)], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)]), sketch))
+    (a, ra, na, xs, sa), (b, rb, nb, ys, sb) = sides
+    words = np.unique(ys)
+    where = np.searchsorted(words, ys)
+    begins = np.concatenate([[0], np.cumsum(nb)])
+    own = np.searchsorted(words, xs)
+    own[words[np.minimum(own, len(words) - 1)] != xs] = len(words)  # a word that no right node has
+    edges = np.concatenate([[0], np.cumsum(na)])
+    roots, found = _Roots(), []
+    flag = np.zeros(len(words) + 1, np.int64)
+    for i in range(len(a)):
+        d = sb ^ sa[i]
+        far = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_PAIRS)).sum(1, dtype=np.int64)
+        maybe = np.flatnonzero((far <= MOST_DIFFERENT) & (rb != ra[i]) & (100 * np.minimum(nb, na[i]) >= 75 * np.maximum(nb, na[i])))
+        maybe = maybe[np.argsort(far[maybe], kind="stable")]  # the likeliest first: after a link, the rest of that component is settled
+        flag[own[edges[i] : edges[i + 1]]] = 1
+        flag[-1] = 0
+        for low in range(0, len(maybe), 64):
+            part = np.array([j for j in maybe[low : low + 64].tolist() if roots.of(int(rb[j])) != roots.of(int(ra[i]))], np.int64)
+            if not len(part):
+                continue
+            at = np.concatenate([where[begins[j] : begins[j + 1]] for j in part.tolist()])
+            both = np.add.reduceat(flag[at], np.cumsum(nb[part]) - nb[part])
+            for j in part[100 * both >= 75 * (na[i] + nb[part] - both)].tolist():
+                if roots.join(int(ra[i]), int(rb[j])):
+                    found.append((min(a[i], b[j]), max(a[i], b[j])))
+        flag[own[edges[i] : edges[i + 1]]] = 0
+    out = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+
+def _blocks(families: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of families (node, family), dealt to blocks: each node outside its family's largest component meets all nodes of the family. fam, i, j, left, node, root, sketch of each."""
+    members = families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "n_shingles", "sketch"), "node")
+    per = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    per = per.groupBy("family").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("top"))
+    count = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    per = per.select("family", F.col("top.root").alias("most"), count(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rows"), count(F.col("n"), F.col("w")).alias("columns"))
+    dealt = members.join(per, "family")
     at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lefts = dealt.where("root <> most").select("slot", "value", at("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "node", "root")
-    rights = dealt.select("slot", "value", every("rows").alias("i"), at("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "root")
-    made = _sets(members.select("node"), nodes, docs, scratch)
-    found = lefts.unionByName(rights).join(made, "node").groupBy("slot", "value", "i", "j").applyInArrow(lambda t: _compared(t), "a long, b long")
-    return links.unionByName(scratch.keep(found.distinct()))
-
-
-def classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row. Rows with the same shingle set are one node from the start. First the M tables (A[i], B[i]) link nodes to leaders; then, for nodes that still share
-    band values across components, all M * M tables do so, each with a leader of its own choice by hash, `rounds` times or until nothing new is found. Last, all pairs that share a key of any table across components are compared.
-
-    A null or empty text has no shingles and is alone. A row without id takes the least id of its component and is kept only if there is none. Repeated rows each give the same row. Further columns are ignored."""
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        signed = scratch.keep(signatures(docs))
-        rows = signed.select("doc_id", "n_shingles", "node")
-        nodes = scratch.keep(signed.where("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "holder", "n_shingles", "bands", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "holder")).alias("r")).select("node", "r.*"))
-        brief = F.slice("sketch", 1, BRIEF).alias("brief")
-        first = nodes.select("node", brief, F.explode(F.array(*(F.xxhash64(F.lit(i * M + i), F.col("bands")[i], F.col("bands")[M + i]) for i in range(M)))).alias("key"))
-        links = scratch.keep(_confirmed(scratch.keep(_stars(first, None, F.col("node"))), nodes, docs, scratch))
-        roots = scratch.keep(components(links))
-
-        def open_keys() -> DataFrame:
-            banded = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("slot", "value"))
-            shared = banded.groupBy("slot", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot", "value")
-            open_ = banded.select("node", "slot", "value").join(shared, ["slot", "value"]).groupBy("node").agg(F.collect_set(F.struct("slot", "value")).alias("v"))  # at most 2 * M
-            sides = open_.select("node", F.filter("v", lambda x: x["slot"] < M).alias("a"), F.filter("v", lambda x: x["slot"] >= M).alias("b"))
-            keys = sides.join(nodes.select("node", brief), "node").select("node", "brief", "b", F.explode("a").alias("a")).select("node", "brief", "a", F.explode("b").alias("b"))
-            return keys.select("node", "brief", "a.slot", "a.value", F.xxhash64(F.col("a.slot") * M + F.col("b.slot") - M, "a.value", "b.value").alias("key"))
-
-        done = None
-        for turn in range(rounds):
-            pairs = scratch.keep(_stars(open_keys().drop("slot", "value"), roots, F.xxhash64("node", "key", F.lit(turn))))
-            fresh = scratch.keep(_confirmed(pairs, nodes, docs, scratch))
-            done = pairs if done is None else done.unionByName(pairs)
-            if fresh.isEmpty():
-                break
-            links = links.unionByName(fresh)
-            roots = scratch.keep(components(links))
-        fresh = scratch.keep(_rest(open_keys(), roots, done, nodes, docs, scratch))
-        if not fresh.isEmpty():
-            roots = scratch.keep(components(links.unionByName(fresh)))
-        named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        of = scratch.keep(named.join(least, "root").select("node", "component_id"))
-        out = rows.join(of, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        return checkpoint(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    lefts = dealt.where("root <> most").select("family", at("rows", 1).alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "node", "root", "sketch")
+    return lefts.unionByName(dealt.select("family", every("rows").alias("i"), at("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "root", "sketch"))
+
+
+def _rest(open_: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links of all pairs of nodes that share a table key and are in different components, as far as they join components. Nodes that have crowded keys in common make up families, whose nodes are all compared, once each and in
+    blocks; all other pairs of a key are rows, at most CROWD * CROWD / 2 of a key."""
+    keys = open_.select("node", "root", "b", F.explode("a").alias("of_a")).select("node", "root", "of_a", F.explode("b").alias("of_b")).select("node", "root", F.xxhash64("of_a", "of_b").alias("key"))
+    keys = scratch.keep(keys)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node"), "node")).alias("top")).where("lo <> hi")
+    sizes = scratch.keep(sizes.select("key", "n", F.col("top.node").alias("leader")))
+    crowded = keys.join(sizes.where(F.col("n") > CROWD).select("key", "leader"), "key").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    families = scratch.keep(components(crowded, scratch).withColumnRenamed("root", "family"))
+    few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").join(families, "node", "left")
+    few = scratch.keep(few)
+    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("family").alias("family_b"))
+    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("of_b")) & ~F.coalesce(F.col("family") == F.col("family_b"), F.lit(False))
+    pairs = few.join(other.withColumnRenamed("key", "other_key"), (F.col("key") == F.col("other_key")) & apart).select(F.col("node").alias("a"), "b").distinct()
+    near = scratch.keep(_near(pairs, nodes))
+    made = _sets(_ends(near).unionByName(families.select("node")), nodes, docs, scratch)
+    dealt = _blocks(families, roots, nodes).join(made, "node")
+    found = dealt.groupBy("family", "i", "j").applyInArrow(lambda t: _compared(t), "a long, b long")
+    return scratch.keep(_confirmed(near, made).unionByName(found))
+
+
+def _labelled(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, holder (hash of the text), n_shingles, component_id, first (least hash of a text of the component) of each row."""
+    signed = scratch.keep(signatures(docs))
+    nodes = scratch.keep(signed.where("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "holder", "n_shingles", "bands", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "holder")).alias("r")).select("node", "r.*"))
+    open_ = _open(nodes, None, scratch)
+    near = scratch.keep(_near(_stars(open_), nodes))
+    links = scratch.keep(_confirmed(near, _sets(_ends(near), nodes, docs, scratch)))
+    roots = components(links, scratch)
+    still = _open(open_.select("node", "bands"), roots, scratch)
+    roots = components(links.unionByName(_rest(still, roots, nodes, docs, scratch)), scratch)
+    named = nodes.select("node", "doc_id", "holder").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("holder").alias("first"))
+    of = scratch.keep(named.join(least, "root").select("node", "component_id", "first"))
+    alone = F.col("node").isNull()
+    of_row = lambda c, own: F.when(alone, F.col(own)).otherwise(F.col(c)).alias(c)
+    return signed.select("doc_id", "holder", "n_shingles", "node").join(of, "node", "left").select("doc_id", "holder", "n_shingles", of_row("component_id", "doc_id"), of_row("first", "holder"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row. Rows with the same shingle set are one node from the start; the nodes of the M tables (A[i], B[i]) are linked to leaders; then all pairs that share a key of
+    any of the M * M tables across components are compared.
+
+    A null or empty text has no shingles and is alone; very long texts are taken whole. A row without id takes the least id of its component and is kept only if there is none. Of rows with equal sets the least id is kept;
+    repeated rows each give the same row. Further columns are ignored; an empty table gives no rows."""
+    with Scratch(docs.sparkSession) as scratch:
+        return result(_labelled(docs, scratch).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component, with all their columns. A document's repeated rows stay together; rows without id stay."""
+    """The rows of docs that stand for their component, with all their columns: those of its least id or, where no row of it has an id, those of the text of the least hash. Exact copies under one id stay together."""
     with Scratch(docs.sparkSession) as scratch:
-        gone = scratch.keep(classes(docs).where("not kept").select("doc_id").distinct())
-        small = checkpoint(gone)
-    return docs.join(sized(small.where("doc_id is not null")), "doc_id", "left_anti")
+        rows = _labelled(docs, scratch)
+        stands = F.when(F.col("component_id").isNull(), F.col("holder") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        gone = result(rows.where(~stands).select(F.col("doc_id").alias("_gone"), F.col("holder").alias("_text")).distinct())
+    return docs.join(sized(gone), (F.xxhash64(as_bytes()) == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_ready, as_bytes, checkpoint, map_batches, mix, read, sized
+from .common import Scratch, arrow_ready, as_bytes, map_batches, mix, read, result, sized
 
 LENGTH, GRAM = 100, 32
 #: Windows of a text that are hashed at once; bytes of a minimizer's contexts from which it counts as large. A block stays under 2**20 bytes, as three numbers share 64 bits.
@@ -306,7 +306,7 @@ def deduplicated(docs: DataFrame, large: int = LARGE) -> DataFrame:
         firsts = rest.mapInArrow(_settled, PARTS).unionByName(_large(merged.join(sized(big), "h", "left_semi")))
         places = found.select("d", "t", F.col("start").alias("first"), F.lit(False).alias("own"), F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b"))
         each = places.unionByName(firsts).groupBy("d", "t").agg(F.collect_list(F.struct("first", "own", "a", "b")).alias("all"))  # of one document
-        gone = checkpoint(map_batches(each, _merged, "d long, t long, spans array<int>").where(F.size("spans") > 0))
+        gone = result(map_batches(each, _merged, "d long, t long, spans array<int>").where(F.size("spans") > 0))
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, removed, spans = [], [], []
