@@ -220,9 +220,9 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
 
-def _blocks(families: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of families (node, family), dealt to blocks: each node outside its family's largest component meets all nodes of the family. fam, i, j, left, node, root, sketch of each."""
-    members = families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "n_shingles", "sketch"), "node")
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of families (node, root, family), dealt to blocks: each node outside its family's largest component meets all nodes of the family. family, i, j, left, node, root, sketch of each."""
+    members = members.join(nodes.select("node", "n_shingles", "sketch"), "node")
     per = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     per = per.groupBy("family").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("top"))
     count = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
@@ -234,23 +234,25 @@ def _blocks(families: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFram
     return lefts.unionByName(dealt.select("family", every("rows").alias("i"), at("columns", 2).alias("j"), F.lit(False).alias("left"), "node", "root", "sketch"))
 
 
-def _rest(open_: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The links of all pairs of nodes that share a table key and are in different components, as far as they join components. Nodes that have crowded keys in common make up families, whose nodes are all compared, once each and in
-    blocks; all other pairs of a key are rows, at most CROWD * CROWD / 2 of a key."""
+def _rest(open_: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links of all pairs of nodes that share a table key and are in different components, as far as they join components. Components that have crowded keys in common make up families, whose nodes are all compared, once each and
+    in blocks; all other pairs of a key are rows, at most CROWD * CROWD / 2 of a key."""
     keys = open_.select("node", "root", "b", F.explode("a").alias("of_a")).select("node", "root", "of_a", F.explode("b").alias("of_b")).select("node", "root", F.xxhash64("of_a", "of_b").alias("key"))
     keys = scratch.keep(keys)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node"), "node")).alias("top")).where("lo <> hi")
-    sizes = scratch.keep(sizes.select("key", "n", F.col("top.node").alias("leader")))
-    crowded = keys.join(sizes.where(F.col("n") > CROWD).select("key", "leader"), "key").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    families = scratch.keep(components(crowded, scratch).withColumnRenamed("root", "family"))
-    few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").join(families, "node", "left")
+    per = scratch.keep(keys.groupBy("key", "root").agg(F.count("*").alias("n")))
+    sizes = per.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.min(F.struct(F.xxhash64("root"), "root")).alias("top")).where("roots > 1")
+    sizes = scratch.keep(sizes.select("key", "n", F.col("top.root").alias("leader")))
+    crowded = per.join(sizes.where(F.col("n") > CROWD).select("key", "leader"), "key").select(F.col("leader").alias("a"), F.col("root").alias("b")).distinct()
+    families = scratch.keep(components(crowded, scratch).select(F.col("node").alias("root"), F.col("root").alias("family")))
+    members = scratch.keep(open_.select("node", "root").join(families, "root"))
+    few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").join(families, "root", "left")
     few = scratch.keep(few)
     other = few.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("family").alias("family_b"))
     apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("of_b")) & ~F.coalesce(F.col("family") == F.col("family_b"), F.lit(False))
     pairs = few.join(other.withColumnRenamed("key", "other_key"), (F.col("key") == F.col("other_key")) & apart).select(F.col("node").alias("a"), "b").distinct()
     near = scratch.keep(_near(pairs, nodes))
-    made = _sets(_ends(near).unionByName(families.select("node")), nodes, docs, scratch)
-    dealt = _blocks(families, roots, nodes).join(made, "node")
+    made = _sets(_ends(near).unionByName(members.select("node")), nodes, docs, scratch)
+    dealt = _blocks(members, nodes).join(made, "node")
     found = dealt.groupBy("family", "i", "j").applyInArrow(lambda t: _compared(t), "a long, b long")
     return scratch.keep(_confirmed(near, made).unionByName(found))
 
@@ -264,7 +266,7 @@ def _labelled(docs: DataFrame, scratch: Scratch) -> DataFrame:
     links = scratch.keep(_confirmed(near, _sets(_ends(near), nodes, docs, scratch)))
     roots = components(links, scratch)
     still = _open(open_.select("node", "bands"), roots, scratch)
-    roots = components(links.unionByName(_rest(still, roots, nodes, docs, scratch)), scratch)
+    roots = components(links.unionByName(_rest(still, nodes, docs, scratch)), scratch)
     named = nodes.select("node", "doc_id", "holder").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("holder").alias("first"))
     of = scratch.keep(named.join(least, "root").select("node", "component_id", "first"))
