@@ -17,11 +17,11 @@ from .common import arrow_ready, as_bytes, map_batches, read
 
 BASE = ("email", "ip", "card", "phone")
 #: The kinds that the method adds, after the base kinds in every order.
-ADDED = ("email_hidden", "phone_local", "national_id", "iban", "ip6")
+ADDED = ("email_hidden", "phone_local", "national_id", "iban", "ip6", "account", "secret")
 KINDS = BASE + ADDED
 RANK = {k: i for i, k in enumerate(KINDS)}
-#: Contexts to train in come from at most so many documents, and at most so many characters of each.
-SAMPLE, SAMPLE_CHARS = 500, 2000
+#: Contexts to train in come from at most so many documents: of each a window of so many characters, from a hashed place anywhere in the whole text.
+SAMPLE, WINDOW = 500, 400
 
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # Possessive forms of the patterns of the contract: a part that is followed by no dot isn't tried again from each of its digits, so long runs of digits take linear time.
@@ -34,17 +34,20 @@ Span = tuple[str, int, int]
 GENERATORS = {
     "email_hidden": re.compile(r"[A-Za-z0-9_+-]{1,40}(?:\.[A-Za-z0-9_+-]{1,40}){0,4}\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]{1,40}(?:\s?(?:[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|\.)\s?[A-Za-z0-9-]{2,40}){1,4}"),
     "phone_local": re.compile(r"(?<![\w+.-])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![\w-])"),
-    "national_id": re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])"),
+    "national_id": re.compile(r"(?<![\w-])(?:[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}|[0-9]{8}-?[A-Z]|[A-CEGHJ-PR-TW-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D])(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     "ip6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    "account": re.compile(r"(?<![\w.-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\w-]|\.[0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/-])"),
 }
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "telefon", "anruf", "móvil", "teléfono", "téléphone", "appel"),
     "mail": ("mail", "contact", "write", "kontakt", "contacto", "courriel", "correo"),
     "id": ("ssn", "social", "security", "passport", "identity", "dni", "ausweis", "sécurité"),
     "bank": ("iban", "account", "bank", "transfer", "konto", "cuenta", "compte", "virement"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "passwort", "contraseña", "clave", "mdp", "jeton"),
     "net": ("ip", "host", "server", "address", "login", "ipv6"),
-    "other": ("version", "isbn", "page", "order", "invoice", "section", "chapter", "price", "year", "part", "no.", "nr", "figure", "score", "pages", "range", "article", "ratio", "date", "law"),
+    "other": ("version", "isbn", "page", "order", "invoice", "section", "chapter", "price", "year", "part", "no.", "nr", "figure", "score", "pages", "range", "article", "ratio", "date", "law", "commit", "sha", "checksum", "digest", "etag", "revision", "build", "uuid", "path", "file", "ticket", "id"),
 }
 
 
@@ -90,15 +93,25 @@ def proposals(text: str) -> list[Span]:
     """What the generators propose: many spans, overlapping and mostly wrong."""
     found = []
     if DIGIT.search(text):
-        for kind in ("phone_local", "national_id", "iban", "ip6"):
+        for kind in ("phone_local", "national_id", "iban", "ip6", "account"):
             found += [(kind, *m.span()) for m in GENERATORS[kind].finditer(text)]
+        found += [("secret", *m.span()) for m in GENERATORS["secret"].finditer(text) if DIGIT.search(m.group()) and re.search("[A-Za-z]", m.group())]
     if "[" in text or "(" in text or "{" in text:
         found += [("email_hidden", *m.span()) for m in GENERATORS["email_hidden"].finditer(text)]
     return found
 
 
+#: The letters that check a Spanish identity number by its remainder modulo 23, and beginnings of well-known access keys.
+CHECK_LETTERS, KEY_STARTS = "TRWAGMYFPDXBNJZSQVHLCKE", ("sk-", "sk_", "pk_", "AKIA", "ghp_", "gho_", "xoxb-", "xoxp-", "glpat-", "AIza", "eyJ")
+
+
+def _entropy(s: str) -> float:
+    share = np.array(list(Counter(s).values())) / max(1, len(s))
+    return float(-(share * np.log2(share)).sum()) if s else 0.0
+
+
 def span_features(text: str, span: Span) -> list[float]:
-    """Format of the span (length, digits, groups, check sums) and context (neighbouring characters, cue words within 40 characters before and 20 after)."""
+    """Format of the span (length, digits, groups, check sums, entropy) and context (neighbouring characters, cue words within 40 characters before and 20 after)."""
     kind, start, end = span
     s = text[start:end]
     digits = re.sub(r"[^0-9]", "", s)
@@ -110,12 +123,17 @@ def span_features(text: str, span: Span) -> list[float]:
     if kind == "iban" and bare.isalnum() and bare.isascii():
         mod97 = float(int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1)
     seps = set(re.sub(r"[0-9A-Za-z]", "", s))
+    letters = sum(c.isalpha() for c in s)
+    runs = re.findall(r"[A-Za-z]+", s)
+    lead = before.rstrip().rstrip("\"'`").rstrip()[-1:]
     return [
         *(float(kind == k) for k in ADDED), len(s), len(digits), len(groups), max(map(len, groups), default=0), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
         len(seps), float("(" in s), float("." in seps), float("/" in seps), mod97, float(luhn(digits)) if digits else 0.0, float(s.startswith("0")), float(len(set(digits)) <= 2),
         float(groups[:1] in (["000"], ["666"]) or (bool(groups) and groups[0][0] == "9")), float(bool(groups) and len(groups[0]) == 4 and groups[0][:2] in ("19", "20")),
         *(float(any(n == c or n.rstrip(".") == c for n in near for c in cues)) for cues in CUES.values()),
         float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(before.rstrip()[-1:] == ":"),
+        _entropy(s), letters, float(all(c in "0123456789abcdefABCDEF" for c in s)), float(s != s.lower() and s != s.upper()), max(map(len, runs), default=0), len(re.findall(r"[-_/]", s)), float(s.startswith(KEY_STARTS)),
+        float(lead == "="), float(before[-1:] in ("'", '"', "`") and before != ""), float(len(digits) == 8 and s[-1:].isalpha() and CHECK_LETTERS[int(digits) % 23] == s[-1]),
     ]
 
 
@@ -136,9 +154,19 @@ def examples(contexts: list[str], rounds: int = 400, seed: int = 7) -> tuple[np.
     contexts = [c for c in contexts if len(c) > 80] or ["of the one and for in that was with " * 6]
     n = lambda k: _number(rng, k)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    chars = lambda kinds, k: "".join(kinds[j] for j in rng.integers(0, len(kinds), k))
+
+    def identity() -> str:
+        number = n(8)
+        return number + CHECK_LETTERS[int(number) % 23]
+
+    national = (lambda: f"{rng.integers(100, 600)}-{n(2)}-{n(4)}", identity, lambda: f"{chars('ABCEGHJKLMNPRSTWXYZ', 2)} {n(2)} {n(2)} {n(2)} {chars('ABCD', 1)}")
     good = {
         "phone_local": lambda: (f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(2)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{n(3)}/{n(5)}")[rng.integers(4)],
-        "national_id": lambda: f"{rng.integers(100, 600)}-{n(2)}-{n(4)}",
+        "national_id": lambda: national[rng.integers(3)](),
+        "account": lambda: (n(16), " ".join(n(4) for _ in range(4)), "-".join(n(4) for _ in range(4)))[rng.integers(3)],
+        "secret": lambda: (chars(hexes, 40), chars(hexes, 32), chars(hexes, 64), chars(alnum, int(rng.integers(20, 49))), KEY_STARTS[rng.integers(len(KEY_STARTS) - 1)] + chars(alnum, int(rng.integers(20, 41))))[rng.integers(5)],
         "iban": lambda: _iban(rng),
         "ip6": lambda: ":".join(f"{x:x}" for x in rng.integers(1, 65536, 8)),
         "email_hidden": lambda: f"{word()}{(' [at] ', '(at)', ' (at) ')[rng.integers(3)]}{word()}{(' [dot] ', '.', '(dot)')[rng.integers(3)]}com",
@@ -146,28 +174,32 @@ def examples(contexts: list[str], rounds: int = 400, seed: int = 7) -> tuple[np.
     bad = (
         lambda: f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"{n(2)}.{n(2)}.{rng.integers(1900, 2030)}", lambda: f"{n(3)}-{n(3)}", lambda: f"{n(2)}/{n(2)}",
         lambda: f"{n(3)} {n(3)}", lambda: f"{n(2)}.{n(2)}", lambda: f"978-{n(2)}-{n(4)}-{n(3)}", lambda: f"{n(4)} {n(4)}", lambda: f"9{n(2)}-{n(2)}-{n(4)}", lambda: f"GB{n(2)} {n(4)} {n(4)} {n(4)}",
+        lambda: f"{n(8)}{chars('ABCDEFGHIJ', 1)}", lambda: f"978{n(10)}", lambda: f"20{n(12)}", lambda: n(12), lambda: f"{word()}-{n(1)}-{word()}-{word()}-{n(2)}", lambda: f"{word()}/{word()}_{n(4)}/{word()}", lambda: f"{word()}_{word()}_{word()}{n(2)}",
         lambda: f"{n(2)} {n(2)} {n(2)} {n(2)}", lambda: f"{word()} (at) {word()}.{n(2)}", lambda: f"000-{n(2)}-{n(4)}",
     )
-    cues = {"phone_local": "phone", "national_id": "id", "iban": "bank", "ip6": "net", "email_hidden": "mail"}
+    cues = {"phone_local": "phone", "national_id": "id", "iban": "bank", "ip6": "net", "email_hidden": "mail", "account": "bank", "secret": "secret"}
     x, y, kinds = [], [], []
 
     def add(core: str, cue: str, label: int) -> None:
         c = contexts[rng.integers(len(contexts))]
         cut = int(rng.integers(40, len(c) - 30))
-        head = c[:cut].rsplit(" ", 1)[0] + " " + (cue + (": ", " ")[rng.integers(2)] if cue else "")
-        text = head + core + " " + c[cut : cut + 60].lstrip()
+        named = (": ", " ", " = ", "=")[rng.integers(2 if cue not in CUES["secret"] else 4)] if cue else ""
+        quote = ("", '"', "'")[rng.integers(3)] if cue in CUES["secret"] else ""
+        head = c[:cut].rsplit(" ", 1)[0] + " " + cue + named + quote
+        text = head + core + quote + " " + c[cut : cut + 60].lstrip()
         for s in proposals(text):
             if s[1] < len(head) + len(core) and s[2] > len(head):
                 x.append(span_features(text, s)), y.append(int(label and s[1] == len(head) and s[2] == len(head) + len(core))), kinds.append(s[0])
 
     for _ in range(rounds):
         for kind, make in good.items():
-            clued = kind in ("phone_local", "national_id") or rng.random() < 0.5
+            clued = kind in ("phone_local", "national_id", "secret") or rng.random() < 0.5
             add(make(), CUES[cues[kind]][rng.integers(len(CUES[cues[kind]]))] if clued else "", 1)
         for make in bad:
             add(make(), CUES["other"][rng.integers(len(CUES["other"]))] if rng.random() < 0.5 else "", 0)
         add(good["phone_local"](), CUES["other"][rng.integers(len(CUES["other"]))], 0)  # a bare grouped number proves nothing
-        add(good["national_id"](), CUES["other"][rng.integers(len(CUES["other"]))], 0)
+        for kind in ("national_id", "account", "secret"):  # nor does a number of goods or the mark of a revision
+            add(good[kind](), CUES["other"][rng.integers(len(CUES["other"]))], 0)
     return np.array(x), np.array(y), np.array(kinds)
 
 
@@ -221,14 +253,16 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, limit: int = SAMPLE) -> Model:
-    """A model with contexts from at most `limit` documents of the lowest id hashes, `SAMPLE_CHARS` characters of each; the labelled spans are made by rule."""
+    """A model with contexts from at most `limit` documents of the lowest id hashes: `WINDOW` characters from a hashed place of the whole text of each. The labelled spans are made by rule."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("head")).join(F.broadcast(ids), "doc_id").toArrow()  # at most limit ids
-    return fit([h for _, h in sorted((i, h or "") for i, h in zip(rows["doc_id"].to_pylist(), rows["head"].to_pylist(), strict=True))])
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
+    rows = docs.select("doc_id", F.substring("text", start, F.lit(WINDOW)).alias("part")).join(F.broadcast(ids), "doc_id").toArrow()  # at most limit ids
+    return fit([h for _, h in sorted((i, h or "") for i, h in zip(rows["doc_id"].to_pylist(), rows["part"].to_pylist(), strict=True))])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, the four base counts, base_sha256 and all spans of each row, as kind:start:end in code points. A null or empty text has none; repeated rows each give a row; a null id stays null."""
+    """doc_id, the four base counts, base_sha256 and all spans of each row, as kind:start:end in code points. A null or empty text has none; very long texts are searched whole; of added spans that overlap and are equally sure the first and longest stays;
+    repeated rows each give a row; a null id stays null; further columns are ignored."""
     arrow_ready(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -109,3 +109,28 @@ def test_added_spans():
     base = pii.base_spans(text)
     assert [text[s:e] for _, s, e in pii.added_spans(text, base, model)] == ["(415) 555-2671"]
     assert pii.redact("a x@y.zz b", pii.base_spans("a x@y.zz b")) == "a [email] b"
+    secret, number = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "9807915762804490"
+    for text, found in (
+        (f'of the one token = "{secret}" and the rest of it', [("secret", secret)]),
+        (f"of the one {number} and the rest of it", [("account", number)]),
+        (f"of the build, commit {secret} and the rest of it", []),
+        ("of the one-with-2-parts-and-more and some/path_2024/name of it", []),
+        ("their isbn 9781234567890 and the rest of it", []),
+    ):
+        assert [(k, text[s:e]) for k, s, e in pii.added_spans(text, pii.base_spans(text), model)] == found
+
+
+@tables
+def test_added_spans_in_documents(spark):
+    """Every assigned token and every bare number of 16 digits of the test tables is found, and texts without either gain no span."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    spans = {r.doc_id: set(r.spans.split(",")) - {""} for r in pii.find(docs, pii.train(docs)).collect()}
+    n = 0
+    for i, text in texts.items():
+        wanted = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', text)}
+        base = {f"{k}:{s}:{e}" for k, s, e in pii.base_spans(text)}
+        wanted |= {f"account:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text) if f"card:{m.start()}:{m.end()}" not in base}
+        assert spans[i] == base | wanted
+        n += len(wanted)
+    assert n >= 12
