@@ -49,6 +49,8 @@ class PieceModel:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
+    #: What an unknown piece is decoded to.
+    unknown_surface: str = " ⁇ "
 
     @property
     def unknown(self) -> int:
@@ -74,6 +76,7 @@ def parse(data: bytes) -> PieceModel:
         elif number == TRAINER:
             own = dict(fields(value))
             model.kind, model.byte_fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
+            model.unknown_surface = own[44].decode() if 44 in own else model.unknown_surface
         elif number == NORMALIZER:
             own = dict(fields(value))
             model.charsmap = own.get(2, b"")

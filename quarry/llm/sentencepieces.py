@@ -18,7 +18,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 
 import sentencepiece  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
-from pyspark.sql.types import ArrayType, IntegerType  # noqa: E402
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType  # noqa: E402
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers  # noqa: E402
 
 from . import piece_model  # noqa: E402
@@ -43,6 +43,8 @@ def build(data: bytes) -> Tokenizer:
     """A tokenizer with the model's normaliser, white space mark, scores and byte fallback. Special pieces are never made from text."""
     model = piece_model.parse(data)
     plain, pieces = model.plain(), model.pieces
+    if any(kind == piece_model.USER_DEFINED for *_, kind in pieces):
+        raise ValueError("models with user-defined pieces are not supported: the library would split them")
     if model.kind == piece_model.BPE:
         vocab = {p: k for k, (p, _, _) in enumerate(pieces)}
         core = models.BPE(vocab, _merges(plain, pieces), unk_token=pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
@@ -56,7 +58,7 @@ def build(data: bytes) -> Tokenizer:
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if model.splits_before_mark:  # then words can be looked up in the library's cache
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    out.decoder = decoders.Sequence([decoders.Replace(pieces[model.unknown][0], model.unknown_surface), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return out
 
 
@@ -150,16 +152,19 @@ def decode(ids: list[list[int]], data: bytes) -> list[str]:
 
 
 def tokenised(docs: DataFrame, data: bytes) -> DataFrame:
-    """The rows of docs with token_ids, the ids of their text: null for a null text, empty for an empty one."""
+    """The rows of docs with token_ids, the ids of their text, round_trip (decoding them gives the text back) and parity (the original library gives the same ids): null for a null text, no ids for an empty one.
+    Columns of docs that have these names, in any case, are replaced; very long texts are encoded whole; repeated rows each give a row; an empty table gives no rows."""
     arrow_ready(docs.sparkSession, 128)
-    columns = [c for c in docs.columns if c.lower() != "token_ids"]
-    schema = docs.select(*columns).schema.add("token_ids", ArrayType(IntegerType()))
+    columns = [c for c in docs.columns if c.lower() not in ("token_ids", "round_trip", "parity")]
+    schema = docs.select(*columns).schema.add("token_ids", ArrayType(IntegerType())).add("round_trip", BooleanType()).add("parity", BooleanType())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if t is None else t.decode("utf-8", "replace") for t in batch["text"].cast(pa.binary()).to_pylist()]
-        ids = iter(encode([t for t in texts if t is not None], data))
-        out = pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "token_ids"])
+        found = encoded([t for t in texts if t is not None], data, verify=True)
+        rows = [(None, None, None) if t is None else next(found) for t in texts]
+        ids = pa.array([None if x is None else np.frombuffer(x, "<i4") for x, *_ in rows], pa.list_(pa.int32()))
+        more = [pa.array([r[k] for r in rows], pa.bool_()) for k in (2, 1)]
+        return pa.RecordBatch.from_arrays([*batch.columns, ids, *more], names=[*batch.schema.names, "token_ids", "round_trip", "parity"])
 
     return map_batches(docs.select(*columns), run, schema)
 
