@@ -135,17 +135,23 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, drop_last: bool = False) -> DataFrame:
+        """The table as written and read again. With drop_last, the table that was kept before it is deleted then."""
         self.n += 1
         at = f"{self.path}/{self.n}"
         df.write.parquet(at)
+        if drop_last:
+            self._delete(f"{self.path}/{self.n - 1}")
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def __exit__(self, *_) -> None:
+    def _delete(self, at: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
 
 #: A side of at most so many rows of two numbers is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 250_000
