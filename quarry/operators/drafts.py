@@ -20,7 +20,7 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x)), lambda s: F.size(F.split(s, r"\s+")) >= 3)
 
 
-def flagged(drafts: DataFrame, vocabulary: dict[str, str] | None = None) -> DataFrame:
+def flagged(drafts: DataFrame, vocabulary: dict[str, skills.Alias] | None = None) -> DataFrame:
     """id, place, sentence, reasons of the first eight sentences of each draft that claim what the résumé doesn't hold. drafts: id, draft, resume, have (skills), years."""
     each = drafts.select("id", "resume", "have", "years", F.posexplode(sentences(F.coalesce("draft", F.lit("")))).alias("place", "sentence"))
     s, own = F.col("sentence"), F.col("sentence").rlike(SELF)
@@ -38,7 +38,7 @@ def flagged(drafts: DataFrame, vocabulary: dict[str, str] | None = None) -> Data
     return found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("n") <= MOST_FLAGS).drop("n")
 
 
-def requirements(postings: DataFrame, vocabulary: dict[str, str] | None = None) -> DataFrame:
+def requirements(postings: DataFrame, vocabulary: dict[str, skills.Alias] | None = None) -> DataFrame:
     """id, must, nice: skills of a posting. A short line without a full stop is a heading: one with a cue for optional things makes all below it nice, one that names requirements ends that. Elsewhere a cue makes
     its sentence's skills nice, those before it only if it is a trailing one. A skill's first mention decides; at most 25 of each."""
     lines = postings.select("id", F.posexplode(F.split(F.coalesce("description", F.lit("")), "\n")).alias("no", "line"))

@@ -40,10 +40,10 @@ def upsert_resumes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select(*((F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep else F.when(came, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in stored.columns))
 
 
-def clean_skills(typed: Column, vocabulary: dict[str, str] | None = None) -> Column:
+def clean_skills(typed: Column, vocabulary: dict[str, skills.Alias] | None = None) -> Column:
     """Skills typed into a field, parted by commas, semicolons or lines: canonical where known, at most 40 characters, each once."""
     parts = F.filter(F.transform(F.split(F.coalesce(typed, F.lit("")), r"[,;\n]"), lambda x: F.trim(x)), lambda s: (s != "") & (F.length(s) <= LONGEST_SKILL))
-    words = {a.lower(): n for a, n in (vocabulary or skills.parse_vocabulary()).items()}
+    words = {a.lower(): v.name for a, v in (vocabulary or skills.parse_vocabulary()).items()}
     table = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
     return F.array_distinct(F.transform(parts, lambda s: F.coalesce(F.try_element_at(table, F.lower(s)), s)))
 

@@ -98,12 +98,11 @@ def location_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).select("id", location.fit(c("title"), c("location"), c("description"), c("source"), "Germany")["status"].alias("place"))
 
 
-@query(with_postings("""SELECT id, CAST(CASE WHEN t > 0 OR (g > 0) OR b > 0 THEN 3 * t + 2 * g + b ELSE 0 END AS INTEGER) AS relevance FROM (SELECT id,
-  CAST(regexp_matches(lower(title), '(^|[^a-z0-9+#])java($|[^a-z0-9+#])') AS INTEGER) AS t, CAST(regexp_matches(tags, '(^|[^a-z0-9+#])java($|[^a-z0-9+#])') AS INTEGER) AS g,
-  CAST(regexp_matches(lower(description), '(^|[^a-z0-9+#])java($|[^a-z0-9+#])') AS INTEGER) AS b FROM postings) x"""))
+@query(with_postings("""SELECT id, CAST(CASE WHEN t > 0 OR b > 0 OR (g > 0 AND len < 400) THEN 3 * t + 2 * g + b + 100 * t ELSE 0 END AS INTEGER) AS relevance FROM (SELECT id, length(description) AS len,
+  CAST(list_contains(regexp_split_to_array(lower(title), '[^a-z0-9+#]+'), 'java') AS INTEGER) AS t, CAST(list_contains(regexp_split_to_array(tags, '[^a-z0-9+#]+'), 'java') AS INTEGER) AS g,
+  CAST(len(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9+#]+'), lambda w: w = 'java')) >= CASE WHEN length(description) < 400 THEN 1 ELSE 2 END AS INTEGER) AS b FROM postings) x"""))
 def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
-    score = relevance.relevance("java", F.col("title"), F.col("tags"), F.col("description"))
-    return postings(spark, d).select("id", F.when(score >= relevance.PHRASE, score - relevance.PHRASE).otherwise(score).cast("int").alias("relevance"))
+    return postings(spark, d).select("id", relevance.relevance("java", F.col("title"), F.col("tags"), F.col("description")).alias("relevance"))
 
 
 @query(with_postings("""SELECT id FROM postings WHERE regexp_matches(lower(title), 'python engineer') OR (regexp_matches(lower(title), 'engineer|developer') AND regexp_matches(lower(description), '(^|[^a-z0-9+#])python($|[^a-z0-9+#])'))

@@ -58,13 +58,13 @@ def test_held_years(spark):
     assert [r[0] for r in frame.select(years.held_years(F.col("i"), F.col("y"))).collect()] == [3.0, 4.5, 3.0]
 
 
-def test_skills():
-    words = skills.parse_vocabulary()
-    found = skills.find("Expert in C++ and C# and Node.js", words)
-    assert {"C++", "C#", "Node.js"} <= set(found) and "C" not in found
-    assert not {"Go", "Spring Boot"} & set(skills.find("We go to the office in spring", words))
-    assert skills.find("kafka, then Java, then Kafka", words) == ["Kafka", "Java"]
-    assert skills.find(None, words) == []
+def test_skills(spark):
+    texts = ["Expert in C++ and C# and Node.js", "We go to the office in spring", "kafka, then Java, then Kafka", None, "spring\n boot and Go, .NET; node.js/x"]
+    found = column(spark, texts, "string", skills.named)
+    assert found == [["C++", "C#", "Node.js"], [], ["Kafka", "Java"], [], ["Spring Boot", "Go", ".NET"]]
+    assert column(spark, ["Kafka", "a sentence on Kafka and Java"], "string", skills.canonical) == ["Kafka", None]
+    table = spark.createDataFrame([("k8s", "Kubernetes"), (None, "x")], "alias string, name string")
+    assert column(spark, ["K8S"], "string", lambda c: skills.named(c, skills.load_vocabulary(table))) == [["Kubernetes"]]
 
 
 def test_gap_and_lessons(spark):
@@ -81,6 +81,12 @@ def test_relevance(spark):
     assert score("java", "JavaScript Developer") == 0
     assert score("java developer", "Java Developer") > score("java developer", "Developer of Java") > score("java developer", "Backend Developer", "", "java")
     assert score("", "anything") == 1
+    long = "word " * 100
+    assert score("python", "Full Stack Developer", "", long + "python") == 0 and score("python", "Full Stack Developer", "", long + "python python") == 1
+    assert score("python", "Analyst", "python", long) == 0 and score("python", "Analyst", "python", "short") == 2
+    assert score("python", "Python Lead", "", long + "python") == 103
+    assert score("python developer", "Analyst", "", "python") == 0 and score("python developer", "SDE", "", "python") == 1
+    assert score("java spring kafka", "Java Engineer", "", "spring") == 4 and score("java spring kafka", "Java Engineer") == 0
 
 
 def test_metrics(spark):

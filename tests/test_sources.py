@@ -75,7 +75,8 @@ def test_resume(spark, tmp_path):
     (tmp_path / "b.pdf").write_text("no")
     files = resumes.read(spark, str(tmp_path)).select(F.lit(1).alias("id"), "raw_text")
     (row,) = resumes.parse(files, (2024, 6)).collect()
-    assert row.skills == ["Java", "Kafka"] and row.experience[0].start == "2020-01" and row.experience[0].years == 2.0 and row.experience[0].title == "Engineer"
+    assert row.skills == ["Java", "Kafka"] and row.experience[0].start == "2020-01" and row.experience[0].years == 1.9 and row.experience[0].title == "Engineer"
+    assert row.experience[0].company == "Acme" and row.experience[0].description == "Built things"
     assert resumes.parse(spark.createDataFrame([(1, None)], "id long, raw_text string"), (2024, 6)).first().skills == []
 
 
