@@ -43,8 +43,21 @@ def test_counts_match_single_words(data):
     assert token_counts.count_words(words, pieces) == [token_counts.count_one(w, pieces) for w in words]
 
 
+def test_counts_match_the_original(data):
+    original = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [t for t in some(2000) if "\x00" not in t] + ["tokenisation of unbelievably long-winded, interwoven words " * 20, "x" * 500 + "中" * 70]
+    assert [n for _, n in token_counts.count_texts(texts, data)] == [len(original.encode(t)) for t in texts]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no test tables")
+def test_counts_of_documents_match_the_original(spark, data):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r.doc_id: r.n_tokens for r in token_counts.counts(docs, data).collect()}
+    assert counts == {r.doc_id: r.n_tokens for r in sentencepieces.digests(docs, data).collect()}
+
+
 def test_counts_match_all_segmentations(data):
-    pieces = token_counts.pieces_of(data)
+    pieces = token_counts.Pieces(data, unigram=True)
 
     def best(word):
         if not word:
