@@ -48,11 +48,15 @@ def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFram
     """id, cosine of each document with the one text of profile (text), both weighed in one corpus. Only the profile's terms are joined; a document without any gets 0."""
     both = docs.select(F.col(id_).cast("long").alias("id"), "text").unionByName(profile.select(F.lit(-1).cast("long").alias("id"), "text"))
     w = weights(both, "id", terms_of(F.col("text")))
-    own = w.where("id = -1").select("term", F.col("w").alias("pw"))  # one text's terms
-    dots = w.where("id <> -1").join(F.broadcast(own), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("pw")).alias("cosine"))
+    own = w.where("id = -1").select("term", F.col("w").alias("pw"))  # one text's terms; the join is planned by their size
+    dots = w.where("id <> -1").join(own, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("pw")).alias("cosine"))
     return docs.select(F.col(id_).cast("long").alias("id")).join(dots, "id", "left").select("id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
+#: Chunks of a profile that a row meets at once.
+BLOCK = 256
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -62,7 +66,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def best_chunk_mean(jobs: DataFrame, profile: DataFrame) -> DataFrame:
-    """job, similarity: of each chunk of a job, the best cosine with any chunk of the one profile, averaged over the job. The profile has a few chunks and is broadcast as one array."""
-    chunks = profile.agg(F.collect_list("embedding").alias("chunks"))
-    best = F.array_max(F.transform("chunks", lambda c: cosine(F.col("embedding"), c)))
-    return jobs.crossJoin(F.broadcast(chunks)).select("job", best.alias("best")).groupBy("job").agg(F.avg("best").alias("similarity"))
+    """job, similarity: of each chunk of a job, the best cosine with any chunk of the one profile, averaged over the job. The profile's chunks are a query set, which every chunk of a job meets in blocks of about BLOCK."""
+    blocks = max(1, -(-profile.count() // BLOCK))
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
+    chunks = profile.select(unit(F.col("embedding")).alias("unit")).groupBy(F.pmod(F.xxhash64("unit"), F.lit(blocks)).alias("block")).agg(F.collect_list("unit").alias("chunks"))
+    own = jobs.select("job", F.monotonically_increasing_id().alias("of"), unit(F.col("embedding")).alias("unit"))
+    met = own.crossJoin(chunks).select("job", "of", F.array_max(F.transform("chunks", lambda c: dot(F.col("unit"), c))).alias("best"))
+    return met.groupBy("job", "of").agg(F.max("best").alias("best")).groupBy("job").agg(F.avg("best").alias("similarity"))

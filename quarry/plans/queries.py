@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, location, scoring, skills, text, years
-from ..operators import ranking, relevance, sequence, store, vectors
+from ..operators import matching, ranking, relevance, sequence, store, vectors
 from ..session import spread, table
 from .postings import NOW, matches, postings, with_postings
 
@@ -215,20 +215,26 @@ def matches_after_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return store.delete_stale(p, m, store.stale(p, _kept(spark, d), now()))[1].select("match_id")
 
 
-@query(with_postings("""SELECT coalesce(o.url, n.url) AS url, coalesce(o.title, n.title) AS title, coalesce(nullif(o.location, ''), n.location, o.location) AS location, coalesce(o.years, n.years) AS years, coalesce(o.id, n.id) AS id, o.url IS NULL AS is_new
-  FROM (SELECT * FROM postings WHERE id <= 1000) o FULL JOIN (SELECT url, arg_min(title, id) AS title, arg_min(location, id) AS location, min_by(CASE WHEN years IS NULL THEN -1 ELSE years END, id) AS y0, CASE WHEN min_by(CASE WHEN years IS NULL THEN -1 ELSE years END, id) < 0 THEN NULL ELSE min_by(CASE WHEN years IS NULL THEN -1 ELSE years END, id) END AS years, min(id) AS id FROM postings WHERE id > 1000 GROUP BY url) n ON o.url = n.url"""))
+#: What counts as stored: postings fetched before a day, matches that someone has set a status on. All others are fresh.
+FETCHED = "coalesce(scraped < TIMESTAMP '1995-06-17 00:00:00', false)"
+FIRST = "SELECT url, title, location, years, id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM postings WHERE {0}) x WHERE rn = 1"
+
+
+@query(with_postings(f"""SELECT coalesce(o.url, n.url) AS url, coalesce(o.title, n.title) AS title, coalesce(nullif(o.location, ''), n.location, o.location) AS location, coalesce(o.years, n.years) AS years, coalesce(o.id, n.id) AS id, o.url IS NULL AS is_new
+  FROM ({FIRST.format(FETCHED)}) o FULL JOIN ({FIRST.format("NOT " + FETCHED)}) n ON o.url = n.url"""))
 def upserted_postings(spark: SparkSession, d: str) -> DataFrame:
-    p = postings(spark, d).select("url", "title", "location", "years", "id")
-    return store.upsert_postings(p.where("id <= 1000"), p.where("id > 1000"), "url", ["id"], fixed=("id",))
+    p = postings(spark, d)
+    side = lambda test: p.where(test).select("url", "title", "location", "years", "id")
+    return store.upsert_postings(sequence.first_wins(side(FETCHED), "url", ["id"]), side(f"NOT {FETCHED}"), "url", ["id"], fixed=("id",))
 
 
 @query(with_postings("""SELECT coalesce(o.resume_id, n.resume_id) AS resume_id, coalesce(o.job_id, n.job_id) AS job_id, CASE WHEN n.job_id IS NOT NULL THEN n.total ELSE o.total END AS total, coalesce(n.status, o.status, 'new') AS status
-  FROM (SELECT resume_id, job_id, min(total) AS total, min(status) AS status FROM matches WHERE match_id % 2 = 0 GROUP BY resume_id, job_id) o
-  FULL JOIN (SELECT resume_id, job_id, max(total) AS total, CAST(NULL AS VARCHAR) AS status FROM matches WHERE match_id % 3 = 0 GROUP BY resume_id, job_id) n ON o.resume_id = n.resume_id AND o.job_id = n.job_id"""))
+  FROM (SELECT resume_id, job_id, min(total) AS total, min(status) AS status FROM matches WHERE status <> 'new' GROUP BY resume_id, job_id) o
+  FULL JOIN (SELECT resume_id, job_id, max(total) AS total, CAST(NULL AS VARCHAR) AS status FROM matches WHERE status = 'new' GROUP BY resume_id, job_id) n ON o.resume_id = n.resume_id AND o.job_id = n.job_id"""))
 def upserted_matches(spark: SparkSession, d: str) -> DataFrame:
     m = matches(spark, d)
-    old = m.where("match_id % 2 = 0").groupBy("resume_id", "job_id").agg(F.min("total").alias("total"), F.min("status").alias("status"))
-    new = m.where("match_id % 3 = 0").groupBy("resume_id", "job_id").agg(F.max("total").alias("total"), F.lit(None).cast("string").alias("status"))
+    old = m.where("status <> 'new'").groupBy("resume_id", "job_id").agg(F.min("total").alias("total"), F.min("status").alias("status"))
+    new = m.where("status = 'new'").groupBy("resume_id", "job_id").agg(F.max("total").alias("total"), F.lit(None).cast("string").alias("status"))
     return store.upsert_matches(old, new, scores=("total",))
 
 
@@ -315,10 +321,10 @@ def limiter_waits(spark: SparkSession, d: str) -> DataFrame:
     return sequence.limiter_slots(e, "event_type", "t", 1_500_000).select("event_id", "wait")
 
 
-@query("SELECT label AS job, round(avg(best), 6) AS similarity FROM (SELECT a.label, a.vec_id, max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) AS best FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b GROUP BY a.label, a.vec_id) x GROUP BY label")
+@query("SELECT label AS job, round(avg(best), 6) AS similarity FROM (SELECT a.label, a.vec_id, max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) AS best FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) b GROUP BY a.label, a.vec_id) x GROUP BY label")
 def chunk_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vectors.best_chunk_mean(e.select(F.col("label").alias("job"), "embedding"), e.where("vec_id < 5").select("embedding")).select("job", F.round("similarity", 6).alias("similarity"))
+    return vectors.best_chunk_mean(e.select(F.col("label").alias("job"), "embedding"), e.where("vec_id % 100 = 0").select("embedding")).select("job", F.round("similarity", 6).alias("similarity"))
 
 
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z](?:[a-z0-9+#./-]*[a-z0-9+#])?'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(vectors.STOP)) + "))"
@@ -364,18 +370,18 @@ def word_windows(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(text.word_windows(F.col("text"))).alias("windows"))
 
 
-@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages""")
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', '<>', 'g'), '(?i)<br\s*/?>', concat('<>', chr(10), '<>'), 'g'), '(?s)(?:<[^>]*>)+', chr(10), 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\x{00A0}]+', ' ', 'g'), '\n\s*\n+', concat(chr(10), chr(10)), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages""")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.md5(text.strip_html(F.col("html")).cast("binary")).alias("text_md5"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, 'AIza[0-9A-Za-z_\-]{20,}', '[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]+', '\1[REDACTED]', 'g'), '(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s,;&]+', '\1[REDACTED]', 'g') AS text FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, 'AIza[0-9A-Za-z_\-]{20,}', '[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]+', '\1[REDACTED]', 'g'), '(?i)\b((?:api[_-]?key|key|token|secret|password|authorization)\s*[=:]\s*)[^\s&,;"'']+', '\1[REDACTED]', 'g') AS text FROM conversations""")
 def redacted_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.redacted(F.col("text")).alias("text"))
 
 
-@query(r"SELECT conv_id, turn, concat('<<<BEGIN UNTRUSTED ', upper(role), '>>>', chr(10), regexp_replace(left(text, 20000), '(?i)<\|[a-z_]+\|>|\[/?INST\]|<</?SYS>>|</?s>|<(?:start|end)_of_turn>|BEGIN UNTRUSTED|END UNTRUSTED|<<<+|>>>+', '[removed]', 'g'), chr(10), '<<<END UNTRUSTED ', upper(role), '>>>') AS text FROM conversations")
+@query(rf"SELECT conv_id, turn, concat('{text.NOTICE}', chr(10), '<<<BEGIN UNTRUSTED ', upper(role), '>>>', chr(10), regexp_replace(regexp_replace(left(text, 20000), '(?i)<{{3,}}|>{{3,}}|\b(?:BEGIN|END)[\s_-]*UNTRUSTED\b', '[removed]', 'g'), '(?i)<\|[^|<>\n]{{0,40}}\|>|\[/?(?:INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]|<</?SYS>>|</?s>|</?(?:start|end)_of_turn>', '[removed]', 'g'), chr(10), '<<<END UNTRUSTED ', upper(role), '>>>') AS text FROM conversations")
 def fenced_turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.fenced(F.col("role"), F.col("text")).alias("text"))
 
@@ -402,3 +408,24 @@ def section_headings(spark: SparkSession, d: str) -> DataFrame:
 @query(with_postings("SELECT id, CASE WHEN description LIKE '%java and kafka%' THEN 'Java,Kafka' WHEN description LIKE '%python and sql%' THEN 'Python,SQL' WHEN description LIKE '%sql and excel%' THEN 'SQL' ELSE 'Kubernetes,Docker,Java' END AS named FROM postings"))
 def named_skills(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).select("id", F.array_join(skills.named(F.col("description")), ",").alias("named"))
+
+
+def _profile(spark: SparkSession, d: str) -> matching.Profile:
+    """The profile of the scoring queries: the text of the posting of the least id, as if someone had copied it."""
+    first = postings(spark, d).orderBy("id").select("title", "description").first()
+    return matching.Profile("" if first is None else f"{first['title']}. {first['description']}", ("Docker",), 5.0, "Germany", ("Berlin",))
+
+
+@query()
+def scored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Every posting scored from its text: skills, keywords, similarity, years, date and place. It has no SQL; a test holds it against plain Python on a small table."""
+    s = matching.score_postings(postings(spark, d), _profile(spark, d), now())
+    return s.select("id", "scores.total", "scores.band", "scores.ats", "scores.semantic", "scores.experience", "scores.freshness", "scores.location_status", "scores.required_years", F.array_join("scores.missing_title_skills", ",").alias("missing_title_skills"))
+
+
+@query()
+def keyword_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The skills that each posting names, held by the profile or not."""
+    p = postings(spark, d).withColumn("text", F.col("description"))
+    g = matching.keyword_gap(p, _profile(spark, d))
+    return g.select("id", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def allowed(url: Column, hosts: tuple[str, ...]) -> Column:
-    """Whether a URL is http(s), without credentials or a port, on one of the hosts or below it. Addresses in numbers never are."""
+    """Whether a URL is http(s), without credentials or white space, on one of the hosts or below it, with a legal port or none. A host may end in a dot. Addresses in numbers never are allowed."""
     names = "|".join(re.escape(h.lower()) for h in hosts)
-    return F.coalesce(F.lower(F.trim(url)).rlike(rf"^https?://(?:[a-z0-9-]+\.)*(?:{names})(?:[/?#]|$)"), F.lit(False))
+    found = F.regexp_extract(F.lower(url), rf"^https?://(?:[a-z0-9_-]+\.)*(?:{names})\.*(?::([0-9]*))?(?:[/?#]|$)", 1)
+    on_host = F.lower(url).rlike(rf"^https?://(?:[a-z0-9_-]+\.)*(?:{names})\.*(?::[0-9]*)?(?:[/?#]|$)") & ~url.rlike(r"[\x00\r\n\t ]")
+    return F.coalesce(on_host & ((found == "") | (F.try_to_number(found, F.lit("9999999999")) <= 65535)), F.lit(False))
 
 
 def canonical_job_view(url: Column) -> Column:

@@ -67,6 +67,7 @@ def test_pasted_and_dates(spark):
 def test_urls(spark):
     one = lambda u: spark.range(1).select(urls.allowed(F.lit(u), ("example.com",))).first()[0]
     assert [one(u) for u in ("https://a.example.com/x", "http://example.com", "https://example.com.evil.org/", "https://user@example.com/", "ftp://example.com", None)] == [True, True, False, False, False, False]
+    assert [one(u) for u in ("http://example.com:8080/x", "http://example.com.", "http://example.com:99999", "http://example.com:x", "http://example.com /", "http://10.0.0.1/")] == [True, True, False, False, False, False]
     assert spark.range(1).select(urls.canonical_job_view(F.lit("https://n.com/jobs/view/dev-at-x-123?a=1"))).first()[0] == "https://n.com/jobs/view/123/"
 
 
