@@ -101,34 +101,57 @@ def _hashes(texts: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts)).view(np.int64)
 
 
+#: Cells of an alignment table that are held at once; longer middles are halved first, in two rows of memory.
+CELLS = 1 << 22
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The length of a longest common subsequence of x with each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, at: int) -> list[int]:
+    """Places of x, counted from `at`, of a longest common subsequence with y."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        return [at] if (y == x[0]).any() else []
+    if len(x) * len(y) > CELLS:  # halved where the two halves have most in common with the two parts of y
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _aligned(x[:half], y[:cut], at) + _aligned(x[half:], y[cut:], at + half)
+    size = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        match = np.where(y == x[i], size[i + 1, 1:] + 1, size[i + 1, :-1])
+        size[i, :-1] = np.maximum.accumulate(match[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append(at + i)
+            i, j = i + 1, j + 1
+        elif size[i + 1, j] >= size[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence with b. Equal ends are matched first; the middle is aligned in tables of one row a step, kept as bits."""
+    """Places in a of a longest common subsequence with b. Equal ends are matched first, and lines of only one of them left out."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     end = 0
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    out = [*range(start), *range(len(a) - end, len(a))]
-    x, y = a[start : len(a) - end], b[start : len(b) - end]
-    common = set(x) & set(y)
-    xs, ys = [k for k, v in enumerate(x) if v in common], [k for k, v in enumerate(y) if v in common]
-    if xs:
-        size = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
-        yv = np.array([y[k] for k in ys], np.int64)
-        for i in range(len(xs) - 1, -1, -1):
-            match = np.where(yv == x[xs[i]], size[i + 1, 1:] + 1, size[i + 1, :-1])
-            size[i, :-1] = np.maximum.accumulate(match[::-1])[::-1]
-        i = j = 0
-        while i < len(xs) and j < len(ys):
-            if x[xs[i]] == y[ys[j]]:
-                out.append(start + xs[i])
-                i, j = i + 1, j + 1
-            elif size[i + 1, j] >= size[i, j + 1]:
-                i += 1
-            else:
-                j += 1
-    return sorted(out)
+    x, y = np.array(a[start : len(a) - end], np.int64), np.array(b[start : len(b) - end], np.int64)
+    common = np.intersect1d(x, y)
+    xs, ys = np.flatnonzero(np.isin(x, common)), np.flatnonzero(np.isin(y, common))
+    middle = [start + int(xs[k]) for k in _aligned(x[xs], y[ys], 0)]
+    return [*range(start), *middle, *range(len(a) - end, len(a))]
 
 
 def _alike(a: str, b: str) -> int:
@@ -214,7 +237,7 @@ def differences(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each page. Null or empty html gives an empty text; a page without a URL has no neighbours; repeated rows each give a row and aren't neighbours of each other; pages that share all their lines lose none; further
+    """page_id, url, text, n_chars of each page. Null or empty html gives an empty text; very long pages are taken whole; of neighbours whose paths are equally like a page's own the one before it is asked first; a page without a URL has no neighbours; repeated rows each give a row and aren't neighbours of each other; pages that share all their lines lose none; further
     columns are ignored. Blocks are joined in page order by a line feed."""
     arrow_ready(pages.sparkSession, 256)
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("of", F.xxhash64("url", "html"))

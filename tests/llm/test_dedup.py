@@ -172,6 +172,25 @@ def test_shared_lines():
     assert html_extraction.shared_lines([1, 2], []) == []
 
 
+@pytest.mark.parametrize("cells", [html_extraction.CELLS, 4])
+def test_shared_lines_match_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html_extraction, "CELLS", cells)
+
+    def longest(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        found = html_extraction.shared_lines(a, b)
+        rest = iter(b)
+        assert found == sorted(set(found)) and len(found) == longest(a, b) and all(a[k] in rest for k in found)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
