@@ -19,7 +19,7 @@ Rule = tuple[list[tuple[str, str, float]], int]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts and five shares of each row. A null or empty text has zeros; repeated rows each give a row; further columns are ignored."""
+    """doc_id, the five counts and five shares of each row. A null or empty text has zeros; very long texts are counted whole; repeated rows each give a row; further columns are ignored."""
     arrow_ready(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -52,12 +52,14 @@ def _cuts(values: np.ndarray, most: int = 60) -> np.ndarray:
 
 
 def learn(x: dict[str, np.ndarray], y: np.ndarray, most: int = 12, longest: int = 3, least: int = 8, precision: float = 0.9) -> list[Rule]:
-    """Sequential covering of the rejected rows (y = 0). Each round grows a conjunction of thresholds on two thirds of what is left by information gain, prunes its last conditions while the other
-    third doesn't suffer, keeps it if its precision there is at least `precision`, and sets aside what it covers. What no rule covers is kept (1). No rows or a single class give no rules."""
+    """Sequential covering of the rejected rows (y = 0). Each round grows a conjunction of thresholds on two thirds of what is left by information gain, with at most one threshold on either side of a statistic, prunes
+    conditions while the other third doesn't suffer, keeps the rule if its precision is at least `precision`, and sets aside what it covers. After a rule that isn't precise enough, rules that begin otherwise are tried.
+    Of rules that do equally well the middle threshold of the first statistic counts. What no rule covers is kept (1). No rows or a single class give no rules."""
     rules: list[Rule] = []
     left = np.ones(len(y), bool)
     prune = np.arange(len(y)) % 3 == 2
     cuts = {k: _cuts(v) for k, v in x.items()}
+    passed: set[tuple[str, str]] = set()  # the beginnings of rules that weren't precise enough
     while len(rules) < most and (left & (y == 0)).any():
         grow, check = left & ~prune, left & prune
         conditions: list[tuple[str, str, float]] = []
@@ -69,6 +71,8 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, most: int = 12, longest: int
             found, now = [], np.log2(bad / total)
             for name, values in x.items():
                 for sign in (">", "<="):
+                    if any(c[:2] == (name, sign) for c in conditions) or (not conditions and (name, sign) in passed):
+                        continue
                     for cut in cuts[name]:
                         new = inside & (values > cut if sign == ">" else values <= cut)
                         b, t = (new & (y == 0)).sum(), new.sum()
@@ -88,11 +92,17 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, most: int = 12, longest: int
             hit = _covered(c, x, len(y)) & check
             return ((hit & (y == 0)).sum() - (hit & (y == 1)).sum()) / max(1, hit.sum())
 
-        while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
-            conditions = conditions[:-1]
+        begins = conditions[0][:2]
+        while len(conditions) > 1:
+            shorter = max(([c for c in conditions if c is not gone] for gone in reversed(conditions)), key=worth)
+            if worth(shorter) < worth(conditions):
+                break
+            conditions = shorter
         hit = _covered(conditions, x, len(y)) & left
         if not hit.any() or (hit & (y == 0)).sum() < precision * hit.sum():
-            break
+            passed.add(begins)
+            continue
+        passed.clear()
         rules.append((conditions, 0))
         left &= ~hit
     return rules

@@ -52,6 +52,20 @@ def test_decision_list():
         hit |= quality_rules._covered(conditions, x, 300)
     assert (hit == (y == 0)).mean() > 0.98
     assert quality_rules.learn({k: v[:0] for k, v in x.items()}, y[:0]) == []
+    assert all(len({c[:2] for c in conditions}) == len(conditions) for conditions, _ in rules)
+
+
+@tables
+def test_decision_list_is_applied_as_learnt(spark):
+    """The list as Spark expressions against the same list in plain Python, over all documents of the test tables."""
+    docs, known = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, known)
+    assert rules and all(len({c[:2] for c in conditions}) == len(conditions) for conditions, _ in rules)
+    rows = quality_rules.statistics(docs).select("doc_id", *(quality_rules.ratio(k).alias(k) for k in quality_rules.RATIOS)).collect()
+    holds = lambda r, c: r[c[0]] > c[2] if c[1] == ">" else r[c[0]] <= c[2]
+    expected = {r.doc_id: not any(all(holds(r, c) for c in conditions) for conditions, _ in rules) for r in rows}
+    for r in quality_rules.apply(docs, rules).collect():
+        assert r.kept == (expected[r.doc_id] and not r.base_failed)
 
 
 @pytest.mark.parametrize("rows", [ODD, []])
