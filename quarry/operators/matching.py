@@ -69,6 +69,11 @@ def scores(ats: Column, ats_raw: Column, exp: Column, semantic: Column, fresh: C
     return F.struct(*(c.alias(k) for k, c in figures.items()))
 
 
+def _held(profile: DataFrame, vocabulary: Mapping[str, skills.Alias] | None) -> list[str]:
+    """The skills that the one text of a profile names."""
+    return profile.select(skills.named(F.col("text"), vocabulary)).first()[0]
+
+
 def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabulary: Mapping[str, skills.Alias] | None = None) -> DataFrame:
     """The rows of postings (id, title, company, location, description, source, posted, years) with text and scores. Keywords are weighed as words and pairs, similarity as character runs, each in one corpus of the profile
     and all postings; a text without a letter or digit scores 0 in both. Nulls are empty, repeated ids are scored alike, an empty table gives no rows."""
@@ -79,7 +84,7 @@ def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabular
     texts = rows.select("id", "text").dropDuplicates(["id"])
     words = vectors.cosines(texts, "id", one, lambda t: vectors.grams(vectors.tokens(t))).withColumnRenamed("cosine", "word_cosine")
     runs = vectors.cosines(texts, "id", one, vectors.char_grams).withColumnRenamed("cosine", "run_cosine")
-    held = F.array_distinct(F.concat(skills.named(F.lit(profile.whole), vocabulary), F.array(*map(F.lit, profile.extra_skills)).cast("array<string>")))
+    held = F.array(*map(F.lit, dict.fromkeys([*_held(one, vocabulary), *profile.extra_skills]))).cast("array<string>")
     facts = rows.join(words, "id").join(runs, "id").withColumns({"held": held, "named": skills.named(c("text"), vocabulary), "in_title": skills.named(c("title"), vocabulary)})
     facts = facts.withColumns({"asked_years": required_years(c("years"), c("title"), c("text")), "place": location.fit(c("title"), c("location"), c("description"), c("source"), profile.home, profile.cities)})
     raw = F.when(has_text(c("text")) & F.lit(bool(re.search("[A-Za-z0-9]", profile.whole))), scoring.clamp(c("word_cosine"), 0.0, 1.0)).otherwise(0.0)
@@ -94,7 +99,7 @@ def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabular
 def keyword_gap(scored: DataFrame, profile: Profile, vocabulary: Mapping[str, skills.Alias] | None = None, most: int = 15) -> DataFrame:
     """id, matched, missing: the skills that a posting's text names, in its order and at most `most`, held by the profile or not."""
     names = F.slice(skills.named(F.col("text"), vocabulary), 1, most)
-    held = skills.named(F.lit(profile.whole), vocabulary)
+    held = F.array(*map(F.lit, _held(scored.sparkSession.createDataFrame([(profile.whole,)], "text string"), vocabulary))).cast("array<string>")
     of = scored.select("id", F.when(has_text(F.col("text")), names).otherwise(F.array().cast("array<string>")).alias("names"), held.alias("held"))
     return of.select("id", F.filter("names", lambda s: F.array_contains("held", s)).alias("matched"), F.filter("names", lambda s: ~F.array_contains("held", s)).alias("missing"))
 

@@ -95,7 +95,7 @@ def stated_years(spark: SparkSession, d: str) -> DataFrame:
   WHEN source = 'remoteok' AND location <> '' THEN 'restricted' WHEN source = 'remoteok' THEN 'remote' WHEN location = '' THEN 'unknown' ELSE 'elsewhere' END AS place FROM postings"""))
 def location_verdicts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    return postings(spark, d).select("id", location.fit(c("title"), c("location"), c("description"), c("source"), "Germany")["status"].alias("place"))
+    return spread(postings(spark, d)).select("id", location.fit(c("title"), c("location"), c("description"), c("source"), "Germany")["status"].alias("place"))
 
 
 @query(with_postings("""SELECT id, CAST(CASE WHEN t > 0 OR b > 0 OR (g > 0 AND len < 400) THEN 3 * t + 2 * g + b + 100 * t ELSE 0 END AS INTEGER) AS relevance FROM (SELECT id, length(description) AS len,
@@ -419,7 +419,7 @@ def _profile(spark: SparkSession, d: str) -> matching.Profile:
 @query()
 def scored_postings(spark: SparkSession, d: str) -> DataFrame:
     """Every posting scored from its text: skills, keywords, similarity, years, date and place. It has no SQL; a test holds it against plain Python on a small table."""
-    s = matching.score_postings(postings(spark, d), _profile(spark, d), now())
+    s = matching.score_postings(spread(postings(spark, d)), _profile(spark, d), now())
     return s.select("id", "scores.total", "scores.band", "scores.ats", "scores.semantic", "scores.experience", "scores.freshness", "scores.location_status", "scores.required_years", F.array_join("scores.missing_title_skills", ",").alias("missing_title_skills"))
 
 
