@@ -1,9 +1,10 @@
 """Operator 7: removal of repeated byte strings of a minimum length, by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
-Equal strings must meet in one block of text. Each window of LENGTH bytes is filed under its minimizer, the least hash of its GRAM-byte grams: equal windows have equal minimizers. A context is a run of
+Equal strings must meet in one block of text. Each window of LENGTH bytes is filed under its minimizer, the least hash of its grams of some length: equal windows have equal minimizers. A context is a run of
 neighbouring windows of a document with one minimizer. Only minimizers that occur twice matter; equal contexts are merged and their first place kept before any shuffle; contexts of a minimizer go to one task.
 There the transform of a block of contexts is built. Breadth-first backward extension assigns common prefixes by increasing value, 0, 1, 2, ..., and stops at LENGTH: between neighbours that are left without a
-value the common prefix is at least LENGTH, so they start equal windows, of which all but the first in the corpus go. Minimizers with more text than a block holds are settled window by window in Spark.
+value the common prefix is at least LENGTH, so they start equal windows, of which all but the first in the corpus go. Distinct contexts of a minimizer with more text than a block holds are filed anew by
+minimizers of longer grams, in the end by whole windows, so every block is settled by its transform.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_ready, as_bytes, map_batches, mix, read, result, sized
 
-LENGTH, GRAM = 100, 32
+#: Gram sizes of minimizers, the next for what is too large with the one before it. Grams of LENGTH bytes are whole windows: each distinct one is a context of its own.
+LENGTH, GRAMS = 100, (32, 64, 100)
 #: Windows of a text that are hashed at once; bytes of a minimizer's contexts from which it counts as large. A block stays under 2**20 bytes, as three numbers share 64 bits.
 SLAB, LARGE = 1 << 16, 1 << 19
 _PLACE = np.uint64((1 << 17) - 1)
@@ -31,13 +32,13 @@ _UP = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SLAB + LENGTH, _BASE)])
 _DOWN = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SLAB + LENGTH, np.uint64(pow(int(_BASE), -1, 2**64)))]))
 
 
-def contexts(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def contexts(text: bytes, gram: int = GRAMS[0]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Minimizer, first window and number of windows of each context of a text, slab by slab. Of equal grams the leftmost counts, and another place begins another context, so no two windows of one are equal."""
-    width = LENGTH - GRAM + 1
+    width = LENGTH - gram + 1
     for at in range(0, len(text) - LENGTH + 1, SLAB):
         a = np.frombuffer(text[at : at + SLAB + LENGTH - 1], np.uint8).astype(np.uint64) + np.uint64(1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * _UP[: len(a)])])
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * _DOWN[: len(a) - GRAM + 1])
+        grams = mix((sums[gram:] - sums[:-gram]) * _DOWN[: len(a) - gram + 1])
         m = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         n, step = len(a) - LENGTH + 1, 1
         while step * 2 <= width:
@@ -194,25 +195,45 @@ def _joined(parts: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[p
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Each window of each context: 128 bits of hash, the context's place and its own."""
-    for a in range(0, len(batch), 64):
-        part = batch.slice(a, 64)
-        texts = part["text"].to_pylist()
-        n = np.fromiter((len(x) - LENGTH + 1 for x in texts), np.int64, len(texts))
-        w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[k : k + LENGTH]) for x in texts for k in range(len(x) - LENGTH + 1)), np.int64).reshape(-1, 2)
-        d, t, first = (np.repeat(part[k].to_numpy(), n) for k in ("d", "t", "start"))
-        at = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(d), pa.array(t), pa.array(first.astype(np.int32)), pa.array(at.astype(np.int32))], ["w", "x", "d", "t", "first", "at"])
+def _finer(texts: DataFrame, gram: int) -> DataFrame:
+    """h, d, t, start, n, text: the contexts by minimizers of a longer gram within contexts (d, t, start, text)."""
 
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = zip(batch["text"], batch["d"].to_pylist(), batch["t"].to_pylist(), batch["start"].to_pylist(), strict=True)
+        yield from _joined(_cut(value.as_py(), d, t, h.view(np.int64), first, n, at) for value, d, t, at in rows for h, first, n in contexts(value.as_py(), gram))
 
-def _large(texts: DataFrame) -> DataFrame:
-    """The same for minimizers with more text than a block holds: each window of their distinct contexts by 128 bits of hash, its first place aggregated before the shuffle and joined back."""
-    windows = map_batches(texts, _windows, "w long, x long, d long, t long, first int, at int")
-    least = windows.groupBy("w", "x").agg(F.min(F.struct("d", "t", "at")).alias("least"))
-    later = windows.join(least, ["w", "x"]).where(F.struct("d", "t", "at") > F.col("least"))
-    spans = later.select("d", "t", "first", F.lit(True).alias("own"), F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
-    return spans.unionByName(texts.select("d", "t", F.col("start").alias("first"), F.lit(True).alias("own"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    return map_batches(texts.select("d", "t", "start", "text"), cut, CONTEXTS)
+
+
+def _distinct(found: DataFrame) -> DataFrame:
+    """Equal contexts as one, with their first place."""
+    return found.groupBy("h", "text").agg(F.min(F.struct("d", "t", "start")).alias("r")).select("h", "text", "r.*")
+
+
+def _places(found: DataFrame, level: int) -> DataFrame:
+    """Each context's whole span, which goes unless the place is the first of its text."""
+    return found.select("d", "t", F.col("start").alias("first"), F.lit(False).alias("own"), F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b"), F.lit(level).alias("level"))
+
+
+def _spans(found: DataFrame, large: int, scratch: Scratch) -> DataFrame:
+    """The rows of PARTS, with a level, for contexts found by the first gram size. A context and one made of it may begin at one place; the level tells their marks apart."""
+    parts = None
+    for level, gram in enumerate(GRAMS):
+        merged = scratch.keep(_distinct(found))
+        rows, rest, big = [_places(found, level)], merged, None
+        if level + 1 < len(GRAMS):
+            sizes = scratch.keep(merged.groupBy("h").agg(F.sum(F.length("text") + 1).alias("size")).where(F.col("size") >= large).select("h"))
+            if not sizes.isEmpty():
+                crowded = sized(sizes)
+                big, rest = merged.join(crowded, "h", "left_semi"), merged.join(crowded, "h", "left_anti")
+                rows.append(big.select("d", "t", F.col("start").alias("first"), F.lit(True).alias("own"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(level).alias("level")))
+        rows.append(rest.repartition("h").sortWithinPartitions("h").mapInArrow(_settled, PARTS).withColumn("level", F.lit(level)))
+        for row in rows:
+            parts = row if parts is None else parts.unionByName(row)
+        if big is None:
+            return parts
+        found = scratch.keep(_finer(big, GRAMS[level + 1]))
+    return parts
 
 
 def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,9 +241,9 @@ def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
     lists = batch["all"]
     offsets = lists.offsets.to_numpy()
     rows = lists.flatten()
-    first, own, a, b = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "own", "a", "b"))
+    first, own, a, b, level = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "own", "a", "b", "level"))
     of = np.repeat(np.arange(len(batch)), np.diff(offsets))
-    keys = (of << 32) + first
+    keys = (((of << 2) + level) << 32) + first
     use = (b > 0) & ((own == 1) | ~np.isin(keys, keys[own == 1]))
     low, high = ((of[use] << 32) + x[use] for x in (a, b))
     order = np.argsort(low)
@@ -240,6 +261,15 @@ def _place() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(as_bytes()).alias("t"), as_bytes().alias("text")]
 
 
+CONTEXTS = "h long, d long, t long, start int, n int, text binary"
+
+
+def _cut(text: bytes, d: int, t: int, h: np.ndarray, first: np.ndarray, n: np.ndarray, at: int = 0) -> pa.RecordBatch:
+    """Contexts of a text that itself begins at a place of its document."""
+    parts = [text[a : a + k + LENGTH - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+    return pa.record_batch([pa.array(h), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(first + at, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], ["h", "d", "t", "start", "n", "text"])
+
+
 def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """h, d, t, start, n, text of each context whose minimizer occurs more than once."""
     rows = docs.select(*_place())
@@ -256,12 +286,6 @@ def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["h", "d", "t", "start", "n"])
 
     shared = scratch.keep(map_batches(rows.select("text"), count, "h long").groupBy("h").count().where("count > 1").select("h"))
-    out = "h long, d long, t long, start int, n int, text binary"
-
-    def cut(text: bytes, d: int, t: int, h: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        parts = [text[a : a + k + LENGTH - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-        return pa.record_batch([pa.array(h), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], ["h", "d", "t", "start", "n", "text"])
-
     if shared.count() <= SENT:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow()["h"].to_numpy()))  # at most SENT numbers
 
@@ -278,16 +302,16 @@ def shared_contexts(docs: DataFrame, scratch: Scratch) -> DataFrame:
                     h = h.view(np.int64)
                     hit = all_[np.minimum(np.searchsorted(all_, h), len(all_) - 1)] == h
                     if hit.any():
-                        yield cut(text, d, t, h[hit], first[hit], n[hit])
+                        yield _cut(text, d, t, h[hit], first[hit], n[hit])
 
-        return map_batches(rows, pick, out)
+        return map_batches(rows, pick, CONTEXTS)
     found = map_batches(rows, starts, "h long, d long, t long, start int, n int").join(shared, "h").groupBy("d", "t").agg(F.collect_set(F.struct("start", "h", "n")).alias("own"))
 
     def take(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = zip(batch["text"], batch["d"].to_pylist(), batch["t"].to_pylist(), batch["own"].to_pylist(), strict=True)
-        yield from _joined(cut(value.as_py(), d, t, *(np.array([x[k] for x in own], np.int64) for k in ("h", "start", "n"))) for value, d, t, own in rows)
+        yield from _joined(_cut(value.as_py(), d, t, *(np.array([x[k] for x in own], np.int64) for k in ("h", "start", "n"))) for value, d, t, own in rows)
 
-    return map_batches(rows.join(found, ["d", "t"]), take, out)
+    return map_batches(rows.join(found, ["d", "t"]), take, CONTEXTS)
 
 
 def deduplicated(docs: DataFrame, large: int = LARGE) -> DataFrame:
@@ -300,12 +324,7 @@ def deduplicated(docs: DataFrame, large: int = LARGE) -> DataFrame:
     arrow_ready(spark, 256)
     with Scratch(spark) as scratch:
         found = scratch.keep(shared_contexts(docs, scratch))
-        merged = scratch.keep(found.groupBy("h", "text").agg(F.min(F.struct("d", "t", "start")).alias("r")).select("h", "text", "r.*"))
-        big = scratch.keep(merged.groupBy("h").agg(F.sum(F.length("text") + 1).alias("size")).where(F.col("size") >= large).select("h"))
-        rest = merged.join(sized(big), "h", "left_anti").repartition("h").sortWithinPartitions("h")
-        firsts = rest.mapInArrow(_settled, PARTS).unionByName(_large(merged.join(sized(big), "h", "left_semi")))
-        places = found.select("d", "t", F.col("start").alias("first"), F.lit(False).alias("own"), F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b"))
-        each = places.unionByName(firsts).groupBy("d", "t").agg(F.collect_list(F.struct("first", "own", "a", "b")).alias("all"))  # of one document
+        each = _spans(found, large, scratch).groupBy("d", "t").agg(F.collect_list(F.struct("first", "own", "a", "b", "level")).alias("all"))  # of one document
         gone = result(map_batches(each, _merged, "d long, t long, spans array<int>").where(F.size("spans") > 0))
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:

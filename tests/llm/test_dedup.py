@@ -97,7 +97,7 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("large, sent", [(suffix_dedup.LARGE, suffix_dedup.SENT), (500, 0)])
+@pytest.mark.parametrize("large, sent", [(suffix_dedup.LARGE, suffix_dedup.SENT), (500, 0), (1, suffix_dedup.SENT)])
 def test_repeats(table, monkeypatch, large, sent):
     monkeypatch.setattr(suffix_dedup, "SENT", sent)
     rows = texts(60) + [(900, None), (901, ""), (902, "ab" * 400), (903, "é" * 150), (904, "é" * 150 + "x")]
@@ -105,6 +105,17 @@ def test_repeats(table, monkeypatch, large, sent):
     assert got == brute_removed(rows)
 
 
+def test_repeats_around_one_passage(table):
+    """A passage between many unlike neighbours: its minimizer is too large at the first gram size, its windows repeat at shifted places."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, wide = noise(60), noise(120)
+    rows = [(k, noise(rng.randrange(90)) + (wide if k % 3 == 0 else passage) + noise(rng.randrange(60))) for k in range(150)]
+    rows += [(500 + k, rows[k * 7][1][rng.randrange(20) :]) for k in range(15)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(table(rows), large=2000).collect()}
+    assert got == brute_removed(rows)
+
+
 def test_repeat_edges(table):
     long = "some words that are long enough to be a repeat of one hundred bytes, since they go on for quite a while. "
     got = sorted((repr(r.doc_id), r.n_removed) for r in suffix_dedup.deduplicated(table([(1, long), (1, long), (2, long), (None, long)])).collect())
