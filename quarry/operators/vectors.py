@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed pattern: a token starts with a letter, may hold digits and + # . / - inside, and ends with a letter, digit, + or #.
@@ -33,17 +33,26 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.flatten(F.transform(words, lambda w: F.array(*(runs(w, n) for n in range(low, high + 1))))))
 
 
-def weights(docs: DataFrame, id_: str, terms: Column) -> DataFrame:
-    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), divided by the document's length. Counts are aggregated before each shuffle; document frequencies join back by term."""
+def weights(docs: DataFrame, id_: str, terms: Column, unit: bool = True) -> DataFrame:
+    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Counts are aggregated before each shuffle; document frequencies join back by term."""
     tf = docs.select(F.col(id_).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))  # one row
     w = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     weighed = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", w.alias("raw"))
+    if not unit:
+        return weighed.withColumnRenamed("raw", "w")
     length = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return weighed.join(length, "id").select("id", "term", (F.col("raw") / F.col("length")).alias("w"))
 
 
+def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
+    """id, place, term: the top-k report of each document's terms by weight, of equal weights in alphabetical order."""
+    w = weights(docs, id_, terms, unit=False)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("w", 9)), "term"))
+    return w.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "term")
+
+
 def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFrame:
     """id, cosine of each document with the one text of profile (text), both weighed in one corpus. Only the profile's terms are joined; a document without any gets 0."""
     both = docs.select(F.col(id_).cast("long").alias("id"), "text").unionByName(profile.select(F.lit(-1).cast("long").alias("id"), "text"))
