@@ -110,6 +110,26 @@ def safe_filename(c: Column) -> Column:
     return F.when(name == "", "file").otherwise(F.left(name, F.lit(100)))
 
 
+#: Endings of files that hold text.
+TEXT_FILES = (".txt", ".md", ".tex", ".csv", ".json")
+
+
+def upload_problem(name: Column, data: Column, allowed: tuple[str, ...], most: int) -> Column:
+    """What is wrong with a file (name, bytes) that was sent, the first that applies; null if nothing is."""
+    ending = F.regexp_extract(F.lower(F.trim(name)), r"[^./\\](\.[^./\\]*)$", 1)
+    start = F.left(data.cast("string"), F.lit(8192))
+    odd = F.regexp_count(start, F.lit(r"[\x00-\x08\x0b\x0e-\x1f]"))
+    binary = ~F.is_valid_utf8(data.cast("string")) | F.contains(data.cast("string"), F.lit("\0")) | (odd > 0.01 * F.length(start))
+    return (
+        F.when(F.coalesce(name, F.lit("")).isin("") | F.contains(name, F.lit("\0")), "invalid file name")
+        .when(~ending.isin(*allowed), "file type is not allowed")
+        .when(data.isNull() | (F.length(data) == 0), "file is empty")
+        .when(F.length(data) > most, "file is too large")
+        .when(ending.isin(*TEXT_FILES) & binary, "text file holds binary data")
+        .when((ending == ".pdf") & (F.substring(data, 1, 5) != F.lit(b"%PDF-")), "file is no PDF")
+    )
+
+
 def neutral_cell(c: Column) -> Column:
     """A value that no spreadsheet runs as a formula; null is empty."""
     text = F.coalesce(c.cast("string"), F.lit(""))

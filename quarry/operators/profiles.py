@@ -31,13 +31,17 @@ def latest(df: DataFrame, by: str = "created_at") -> DataFrame:
     return df.agg(F.max_by(F.struct(*df.columns), F.struct(by, "id")).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def upsert_resumes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows of the same raw text are one: parsed fields come anew, extra skills stay. Compared by hash, so long texts aren't shuffled twice."""
-    key = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
-    both = stored.withColumn("key", key("raw_text")).alias("o").join(fresh.withColumn("key", key("raw_text")).alias("n"), F.col("o.key") == F.col("n.key"), "full_outer")
-    came = F.col("n.key").isNotNull()
-    keep = ("id", "extra_skills", "created_at")
-    return both.select(*((F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep else F.when(came, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in stored.columns))
+def upsert_resumes(stored: DataFrame, fresh: DataFrame, inherit_from: int | None = None) -> DataFrame:
+    """Rows of the same raw text are one, which keeps its id and extra skills; all else comes anew. A blank text equals no other. New rows take the extra skills of the résumé `inherit_from`, where that is stored.
+    Compared by hash, so long texts aren't shuffled twice."""
+    keyed = lambda df, name: df.withColumns({"key": F.when(F.trim("raw_text") != "", F.sha2("raw_text", 256)), "there": F.lit(True)}).alias(name)
+    if inherit_from is not None:
+        old = stored.where(F.col("id") == inherit_from).agg(F.first("extra_skills").alias("inherited"))  # one row
+        fresh = fresh.crossJoin(F.broadcast(old)).withColumn("extra_skills", F.coalesce("inherited", "extra_skills")).drop("inherited")
+    both = keyed(stored, "o").join(keyed(fresh, "n"), F.col("o.key") == F.col("n.key"), "full_outer")
+    was, came = F.col("o.there").isNotNull(), F.col("n.there").isNotNull()
+    side = lambda c: F.when(was, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in ("id", "extra_skills") else F.when(came, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return both.select(*(side(c).alias(c) for c in stored.columns))
 
 
 def clean_skills(typed: Column, vocabulary: dict[str, skills.Alias] | None = None) -> Column:

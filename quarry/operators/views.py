@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import location, scoring, skills, years
+from ..functions import location, scoring, skills, text, years
 from . import matching, vectors
 
 # Names shown for keys, sources by kind, short words that count as keywords.
@@ -86,10 +86,10 @@ def insights(postings: DataFrame, id_: str, text: str) -> DataFrame:
 def annotated(matches: DataFrame, postings: DataFrame, have: Column, home: str, cities: tuple[str, ...] = ()) -> DataFrame:
     """The columns of matches (job_id, total) with title, company, source_name, band, gap, near, place and required_years. What depends on the posting alone is worked out once a posting, before the join."""
     c = F.col
-    text = matching.job_text(c("title"), c("company"), c("description"))
+    body = matching.job_text(c("title"), c("company"), c("description"))
     facts = postings.select(
-        c("id").alias("job_id"), F.coalesce("title", F.lit("Untitled role")).alias("title"), F.coalesce("company", F.lit("Unknown company")).alias("company"), source_name(c("source")).alias("source_name"), skills.gap(skills.named(text), have).alias("gap"),
-        location.fit(c("title"), c("location"), c("description"), c("source"), home, cities)["status"].alias("place"), matching.required_years(c("years"), c("title"), text).alias("required_years"),
+        c("id").alias("job_id"), F.coalesce("title", F.lit("Untitled role")).alias("title"), F.coalesce("company", F.lit("Unknown company")).alias("company"), source_name(c("source")).alias("source_name"), skills.gap(skills.named(body), have).alias("gap"),
+        location.fit(c("title"), c("location"), c("description"), c("source"), home, cities)["status"].alias("place"), matching.required_years(c("years"), c("title"), body).alias("required_years"),
     )
     return matches.join(facts.withColumn("near", skills.near_miss(c("gap"))), "job_id").withColumn("band", scoring.band(number_of(c("total"))))
 
@@ -150,6 +150,12 @@ def backup(tables: dict[str, DataFrame], folder: str, stamp: str) -> list[str]:
     return paths
 
 
+def export_csv(frame: DataFrame, path: str) -> None:
+    """Writes a table as CSV with a header: texts that a spreadsheet would run are quoted, times go to the second, nulls are empty."""
+    cells = {"string": lambda c: text.neutral_cell(c), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
+    frame.select(*(cells.get(kind, lambda c: c)(F.col(name)).alias(name) for name, kind in frame.dtypes)).write.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+
+
 def snapshot(postings: DataFrame, labels: DataFrame, resume: DataFrame, folder: str) -> None:
     """Writes what an evaluation needs as JSON lines: the labelled postings (url, label) under jobs, the résumé under resume."""
     key = lambda c: F.regexp_replace(F.lower(F.trim(c)), "/+$", "")

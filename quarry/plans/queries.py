@@ -134,7 +134,7 @@ def first_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_postings("SELECT id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY id) AS INTEGER) AS turn FROM postings"))
 def interleaved_sources(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.interleaved(postings(spark, d).select("id", "source"), "source", ["id"])
+    return sequence.interleaved(postings(spark, d).select("id", "source"), "source", "id")
 
 
 @query(SCORED + """, r AS (SELECT match_id, lower(trim(company)) AS k_company, lower(trim(title)) AS k_title, total, location, row_number() OVER (PARTITION BY resume_id ORDER BY match_id) AS rk, resume_id FROM scored)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, years
+from .urls import canonical_job_view
 
 POSTING = "title string, company string, location string, description string, source string, url string, posted timestamp, experience_years int"
 # Fixed values.
@@ -78,10 +79,13 @@ def remoteok(spark: SparkSession, path: str, now: Column) -> DataFrame:
     return normalized(_fields(rows, title=F.col("position"), company=F.col("company"), location=place, description=body, url=first_of(F.col("url"), F.col("apply_url")), posted=first_of(F.col("epoch"), F.col("date"))), "remoteok", now)
 
 
-def muse(spark: SparkSession, path: str, now: Column) -> DataFrame:
+def muse(spark: SparkSession, path: str, now: Column, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of the payload; with `wanted` only those that list one of these places by its exact name."""
     name = "array<struct<name:string>>"
     schema = f"results array<struct<name:string,contents:string,publication_date:string,locations:{name},levels:{name},refs:struct<landing_page:string>,company:struct<name:string>>>"
     r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("results"))
+    if wanted:
+        r = r.where(F.arrays_overlap("locations.name", F.array(*map(F.lit, wanted))))
     places = F.array_join(F.slice("locations.name", 1, SHOWN_PLACES), "; ")
     body = with_lines(F.col("contents"), Level=F.array_join("levels.name", ", "))
     return normalized(_fields(r, title=F.col("name"), company=F.col("company.name"), location=places, description=body, url=F.col("refs.landing_page"), posted=F.col("publication_date")), "muse", now)
@@ -127,6 +131,14 @@ ROLE, SEEKER = r"(?i)\b(engineer|developer|scientist|designer|manager|analyst|ar
 PLACE, MONEY = r"(?i)\b(remote|onsite|on-site|hybrid|usa?|uk|eu|europe|germany|berlin|london|new york|nyc|san francisco|sf|bay area)\b", r"[$€£]\s?\d|\b\d+k\b"
 
 
+def latest_hiring_story(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, created_at_i of the newest story whose title asks who is hiring; no row if there is none."""
+    schema = "hits array<struct<objectID:string,story_id:long,title:string,created_at_i:long>>"
+    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("hits")).where(F.col("title").rlike(r"(?i)who\s+is\s+hiring"))
+    r = r.select(F.coalesce("objectID", F.col("story_id").cast("string")).alias("id"), "title", "created_at_i")
+    return r.agg(F.max_by(F.struct("*"), F.struct("created_at_i", "id")).alias("r")).where("r IS NOT NULL").select("r.*")
+
+
 def hiring_comments(spark: SparkSession, path: str, now: Column, story: str | None = None) -> DataFrame:
     """Top-level comments of a hiring thread, whose first paragraph is `Company | Role | Location`. Job seekers and replies are left out."""
     schema = "hits array<struct<objectID:string,parent_id:long,story_id:long,comment_text:string,created_at_i:long>>"
@@ -156,6 +168,14 @@ def pasted(frame: DataFrame, now: Column) -> DataFrame:
     return normalized(_fields(frame, **fields, description=body, url=F.col("url"), posted=F.try_element_at(dots, F.lit(3))), "manual", now)
 
 
+def scraped(frame: DataFrame, site: str, now: Column) -> DataFrame:
+    """Postings of a scraper's table (title, company, location, description, job_url, job_url_direct, date_posted), in which empty cells may be written as words."""
+    value = lambda name: F.when(~F.col(name).cast("string").isin("NaN", "nan", "NaT", "None"), F.col(name).cast("string")) if name in frame.columns else F.lit(None)
+    url = first_of(value("job_url"), value("job_url_direct"))
+    url = canonical_job_view(url) if site == "linkedin" else url
+    return normalized(_fields(frame, **{k: value(k) for k in ("title", "company", "location", "description")}, url=url, posted=value("date_posted")), site, now)
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """url, label of a graded list."""
     return spark.read.schema("jobs array<struct<url:string,title:string,company:string,label:int,why:string>>").option("multiLine", True).json(path).select(F.inline("jobs")).select("url", "label")

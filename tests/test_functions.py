@@ -100,7 +100,7 @@ def test_metrics(spark):
 def test_dedupe_and_interleave(spark):
     rows = [("A", 1, "u1"), ("A", 2, "u2"), ("A", 3, "u3"), ("B", 1, "U1/"), ("B", 2, "u9"), ("B", 3, "u3")]
     frame = spark.createDataFrame(rows, "source string, no int, url string").withColumn("key", keys.evaluation_key(F.col("url")))
-    turns = sequence.interleaved(frame, "source", ["no"])
+    turns = sequence.interleaved(frame, "source", "no")
     kept = sequence.first_wins(turns, "key", ["turn", "source"]).orderBy("turn", "source")
     assert [(r.source, r.no) for r in kept.collect()] == [("A", 1), ("A", 2), ("B", 2), ("A", 3)]
 
@@ -176,3 +176,18 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, key string, url string, title string, missing array<string>")
     assert sequence.first_wins(empty, "key", ["id"]).count() == 0
     assert ranking.skills_to_learn(empty).count() == 0
+
+
+def test_numbering_by_ranges(spark):
+    """A hot key, a null key, equal numbers and a null number, against plain Python."""
+    rows = [("a" if k % 3 else None if k % 2 else "b", (k * 7919) % 500, k) for k in range(900)]
+    frame = spark.createDataFrame(rows, "host string, t long, event_id long")
+    got = {r.event_id: (r.slot, r.wait) for r in sequence.limiter_slots(frame, "host", "t", 3).collect()}
+    expected, last = {}, {}
+    for host, t, k in sorted(rows, key=lambda r: r[1:]):
+        last[host] = max(t, last.get(host, -10**9) + 3)
+        expected[k] = (last[host], last[host] - t)
+    assert got == expected
+    numbers = spark.createDataFrame([("a", None), ("a", 5), ("a", 1), ("a", 3), ("b", 2)], "source string, no long")
+    assert sorted((r.source, -1 if r.no is None else r.no, r.turn) for r in sequence.interleaved(numbers, "source", "no").collect()) == [("a", -1, 1), ("a", 1, 2), ("a", 3, 3), ("a", 5, 4), ("b", 2, 1)]
+    assert sequence.interleaved(numbers.limit(0), "source", "no").count() == 0

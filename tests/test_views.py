@@ -4,8 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from quarry.operators import views
-from quarry.sources import boards
+from quarry.functions import text
+from quarry.operators import profiles, views
+from quarry.sources import boards, postings
 
 
 def test_wanted_places(spark):
@@ -17,6 +18,43 @@ def test_wanted_places(spark):
     assert len(kept([])) == 4
 
 
+def test_listed_places_and_countries():
+    assert boards.listed_places("India", ("Bengaluru, India", "Berlin")) == ["Bangalore, India"]
+    assert boards.listed_places("Gurugram; Remote | Berlin, Germany") == ["Gurgaon, India", "Flexible / Remote", "Berlin, Germany"]
+    assert len(boards.listed_places("india")) == 7 and boards.listed_places(None) == ["Flexible / Remote"]
+    assert [boards.country_for(x) for x in ("Bangalore, India", "Remote", None, "Berlin / anywhere", "Nowhere")] == ["India", "", "", "Germany", ""]
+
+
+def test_uploads(spark):
+    files = [("cv.TXT", b"plain", None), ("cv.txt", b"a\0b", "text file holds binary data"), ("cv.md", b"\xff\xfe", "text file holds binary data"), ("cv.exe", b"x", "file type is not allowed"), ("cv.pdf", b"%PDF-1.4", None), ("cv.pdf", b"PK", "file is no PDF"), ("", b"x", "invalid file name"), (None, b"x", "invalid file name"), ("a.txt", b"", "file is empty"), ("a.txt", None, "file is empty"), ("a.txt", b"x" * 99, "file is too large"), (".txt", b"x", "file type is not allowed")]
+    rows = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "k int, name string, data binary, expected string")
+    got = rows.select("k", text.upload_problem(F.col("name"), F.col("data"), (".txt", ".md", ".pdf"), 50).alias("problem")).orderBy("k").collect()
+    assert [r.problem for r in got] == [f[2] for f in files]
+
+
+def test_csv(spark, tmp_path):
+    from datetime import datetime
+
+    views.export_csv(spark.createDataFrame([("=1+1", -5, datetime(2024, 1, 2, 3, 4, 5, 600)), (None, None, None)], "a string, b int, c timestamp").coalesce(1), str(tmp_path / "x"))
+    assert next((tmp_path / "x").glob("*.csv")).read_text() == "a,b,c\n'=1+1,-5,2024-01-02 03:04:05\n,,\n"
+
+
+def test_scraped_and_story(spark, tmp_path):
+    now = F.lit("2024-01-02").cast("timestamp")
+    rows = spark.createDataFrame([("Dev", "NaN", "Berlin", None, "https://www.linkedin.com/jobs/view/dev-at-x-123?refId=1", "2024-01-01"), (None, None, None, None, None, None)], "title string, company string, location string, description string, job_url string, date_posted string")
+    got = postings.scraped(rows, "linkedin", now).collect()
+    assert [(r.title, r.company, r.url) for r in got] == [("Dev", "Unknown company", "https://www.linkedin.com/jobs/view/123/")]
+    (tmp_path / "s.json").write_text('{"hits": [{"objectID": "7", "title": "Ask HN: Who is hiring? (May)", "created_at_i": 5}, {"objectID": "9", "title": "Who wants to be hired?", "created_at_i": 9}, {"objectID": "8", "title": "Who  is hiring?", "created_at_i": 6}]}')
+    assert [r.id for r in postings.latest_hiring_story(spark, str(tmp_path / "s.json")).collect()] == ["8"]
+
+
+def test_inherited_skills(spark):
+    schema = "id long, raw_text string, extra_skills array<string>, created_at int"
+    old = spark.createDataFrame([(1, "a", ["Go"], 1), (2, "b", None, 1), (3, " ", None, 1)], schema)
+    new = spark.createDataFrame([(9, "b", None, 2), (10, "c", None, 2), (11, " ", None, 2)], schema)
+    assert sorted((r.id, r.extra_skills, r.created_at) for r in profiles.upsert_resumes(old, new, 1).collect()) == [(1, ["Go"], 1), (2, None, 2), (3, None, 1), (10, ["Go"], 2), (11, ["Go"], 2)]
+
+
 def test_valid_slugs(spark):
     rows = spark.createDataFrame([([" stripe ", "a b", "stripe", "-x", None, "", "n26\n", "a" * 61],), (None,), ([],)], "names array<string>")
     assert [r.s for r in rows.select(boards.valid_slugs(F.col("names")).alias("s")).collect()] == [["stripe", "n26"], [], []]
