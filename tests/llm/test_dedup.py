@@ -150,6 +150,35 @@ def test_decontamination(spark, table):
     assert {r.doc_id for r in decontamination.drop_contaminated(table(docs), bench).collect()} == {3, 5, 6, 7} | ({2} - {d for d, _ in got})
 
 
+def test_decontamination_matches_brute_force(spark, table):
+    """All windows of all texts: what is found is right, and SimHash loses few pairs at 0.75 or more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(6, 60)))) for k in range(30)]
+    docs = []
+    for k in range(200):
+        part = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            part[rng.randrange(len(part))] = word()
+        docs.append((k, " ".join([word() for _ in range(rng.randrange(30))] + part + [word() for _ in range(rng.randrange(30))])))
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    truth = {}
+    for i, item in items:
+        own = item.split()
+        of_item, n = bag(own), len(own)
+        for d, text in docs:
+            w = text.split()
+            for k in range(len(w) - n + 1):
+                there = bag(w[k : k + n])
+                both = sum((there & of_item).values())
+                if (share := both / (2 * (n - 4) - both)) >= 0.75:
+                    truth[d, i] = max(share, truth.get((d, i), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(table(docs), bench).collect()}
+    assert len(truth) > 80 and set(got) <= set(truth) and all(got[k] <= truth[k] + 1e-9 for k in got)
+    assert sum(got[k] == pytest.approx(truth[k]) for k in got) / len(truth) >= 0.95
+
+
 def test_extraction(spark):
     page = '<body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>T &amp; x</h1><p><b>one  two<br><p>three<div class="comments">c</div><p class="notice">n<p>four<form>f</form></article><footer>z</footer>'
     rows = [(1, "http://h/1", page), (2, None, None), (3, "http://h/2", ""), (4, "http://h/3", "<script>x<p>no</p></script>a&nbsp;b"), (1, "http://h/1", page)]

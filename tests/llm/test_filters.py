@@ -43,6 +43,30 @@ def test_boosting():
     assert boost.fit(x, np.ones(2000)).predict(x[:1])[0] > 0.9
 
 
+def test_boosting_matches_brute_force():
+    """Flat arrays against one walk a row, and the first split against all splits of all features."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = (x[:, 0] + rng.normal(0, 2, 400) > 6).astype(float)
+    model = boost.fit(x, y, trees=12, depth=3)
+
+    def walk(row):
+        total = model.base
+        for at in model.roots:
+            while model.left[at] != at:
+                at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        return total
+
+    assert model.margin(x) == pytest.approx([walk(r) for r in x])
+    stump = boost.fit(x, y, trees=1, depth=1)
+    g, h = y.mean() - y, np.full(400, y.mean() * (1 - y.mean()))
+    part = lambda keep: g[keep].sum() ** 2 / (h[keep].sum() + 1.0)
+    gains = {(f, v): part(x[:, f] <= v) + part(x[:, f] > v) for f in range(3) for v in range(11)}
+    f, v = max(gains, key=gains.get)
+    assert stump.feature[0] == f and v <= stump.threshold[0] < v + 1
+
+
 def test_decision_list():
     x = {"a": np.arange(300.0), "b": (np.arange(300) // 3 % 3).astype(float)}
     y = (~((x["a"] > 199) & (x["b"] > 0.5))).astype(int)
