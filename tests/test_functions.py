@@ -191,3 +191,8 @@ def test_numbering_by_ranges(spark):
     numbers = spark.createDataFrame([("a", None), ("a", 5), ("a", 1), ("a", 3), ("b", 2)], "source string, no long")
     assert sorted((r.source, -1 if r.no is None else r.no, r.turn) for r in sequence.interleaved(numbers, "source", "no").collect()) == [("a", -1, 1), ("a", 1, 2), ("a", 3, 3), ("a", 5, 4), ("b", 2, 1)]
     assert sequence.interleaved(numbers.limit(0), "source", "no").count() == 0
+
+
+def test_stated_years_by_context(spark):
+    texts = ["fifteen years in a plant", "3 years professional work", "12 years of history", "4 years", "over 6 years", "40+ years", "8 years building things. 2 years old", "3 plus yrs", "five to seven years", "9 yrs\nexperience"]
+    assert column(spark, texts, "string", years.stated_years) == [15, 3, None, None, 6, None, 8, 3, 5, None]

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from quarry.operators import vectors
-from quarry.plans import queries, views  # noqa: F401 (views registers its queries)
+from quarry.plans import queries, views, worked  # noqa: F401 (they register their queries)
 from quarry.session import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
