@@ -34,8 +34,8 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def weights(docs: DataFrame, id_: str, terms: Column, unit: bool = True) -> DataFrame:
-    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Counts are aggregated before each shuffle; document frequencies join back by term."""
-    tf = docs.select(F.col(id_).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Texts are dealt by id before they are cut into terms, so counting needs no shuffle of terms; document frequencies are aggregated before theirs and join back by term."""
+    tf = docs.repartition(id_).select(F.col(id_).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))  # one row
     w = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
