@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, minhash_dedup, pii, quality_classifier, quality_rules, sentencepieces, suffix_dedup, token_counts, toxicity
+from . import decontamination, exact_dedup, html_extraction, minhash_dedup, periodic_runs, pii, quality_classifier, quality_rules, sentencepieces, suffix_dedup, token_counts, tokenizer_alignment, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": sentencepieces.query,
     "op9_pii": pii.query,
     "op10_token_counts": token_counts.query,
+    "op11_tokenizer_alignment": tokenizer_alignment.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_exact_dedup": exact_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_exact_dedup": exact_dedup.SQL}
