@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import location, scoring, skills, years
-from . import ranking, vectors
+from ..scratch import kept, numbered
+from . import latent, ranking, vectors
 
 #: The range of character-run cosines that counts as 0 to 100, and languages to suggest searches for, in this order.
 SIMILAR = (0.05, 0.55)
@@ -74,21 +75,31 @@ def _held(profile: DataFrame, vocabulary: Mapping[str, skills.Alias] | None) ->
     return profile.select(skills.named(F.col("text"), vocabulary)).first()[0]
 
 
-def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabulary: Mapping[str, skills.Alias] | None = None) -> DataFrame:
-    """The rows of postings (id, title, company, location, description, source, posted, years) with text and scores. Keywords are weighed as words and pairs, similarity as character runs, each in one corpus of the profile
-    and all postings; a text without a letter or digit scores 0 in both. Nulls are empty, repeated ids are scored alike, an empty table gives no rows."""
+def similarity(run_cosine: Column, latent_cosine: Column) -> Column:
+    """Similarity without an embedding model, 0 to 100: character runs and, where there is a latent space, its share."""
+    both = (1 - latent.SHARE) * run_cosine + latent.SHARE * latent_cosine
+    return 100 * scoring.rescale(F.coalesce(both, run_cosine), *SIMILAR)
+
+
+def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabulary: Mapping[str, skills.Alias] | None = None, components: int = latent.COMPONENTS) -> DataFrame:
+    """The rows of postings (id, title, company, location, description, source, posted, years) with text and scores. Keywords are weighed as words and pairs, similarity as character runs and, from latent.LEAST documents on,
+    in a latent space of words, each in one corpus of the profile and all postings; a text without a letter or digit scores 0 in both. Nulls are empty, each row is scored for itself whatever its id, an empty table gives no
+    rows."""
     spark = postings.sparkSession
     c = F.col
-    rows = postings.withColumn("text", job_text(c("title"), c("company"), c("description")))
+    # texts are written once; all parts start from there and meet again by the row's number
+    rows = numbered(postings.withColumn("text", job_text(c("title"), c("company"), c("description"))), "_row")
     one = spark.createDataFrame([(profile.whole,)], "text string")
-    texts = rows.select("id", "text").dropDuplicates(["id"])
-    words = vectors.cosines(texts, "id", one, lambda t: vectors.grams(vectors.tokens(t))).withColumnRenamed("cosine", "word_cosine")
-    runs = vectors.cosines(texts, "id", one, vectors.char_grams).withColumnRenamed("cosine", "run_cosine")
+    texts = rows.select(c("_row").alias("row"), "text")
+    words = vectors.cosines(texts, "row", one, lambda t: vectors.grams(vectors.tokens(t))).select(c("id").alias("_row"), c("cosine").alias("word_cosine"))
+    runs = vectors.cosines(texts, "row", one, vectors.char_grams).select(c("id").alias("_row"), c("cosine").alias("run_cosine"))
+    topics = latent.with_profile(texts, one, components=components).select(c("row").alias("_row"), "latent")
+    figures = kept(words.join(runs, "_row").join(topics, "_row", "left"))
     held = F.array(*map(F.lit, dict.fromkeys([*_held(one, vocabulary), *profile.extra_skills]))).cast("array<string>")
-    facts = rows.join(words, "id").join(runs, "id").withColumns({"held": held, "named": skills.named(c("text"), vocabulary), "in_title": skills.named(c("title"), vocabulary)})
+    facts = rows.join(figures, "_row").withColumns({"held": held, "named": skills.named(c("text"), vocabulary), "in_title": skills.named(c("title"), vocabulary)})
     facts = facts.withColumns({"asked_years": required_years(c("years"), c("title"), c("text")), "place": location.fit(c("title"), c("location"), c("description"), c("source"), profile.home, profile.cities)})
     raw = F.when(has_text(c("text")) & F.lit(bool(re.search("[A-Za-z0-9]", profile.whole))), scoring.clamp(c("word_cosine"), 0.0, 1.0)).otherwise(0.0)
-    close = F.when(has_text(c("text")), 100 * scoring.rescale(c("run_cosine"), *SIMILAR)).otherwise(0.0)
+    close = F.when(has_text(c("text")), similarity(c("run_cosine"), c("latent"))).otherwise(0.0)
     covered = scoring.coverage(c("held"), c("named"))
     lacking = F.filter("in_title", lambda s: ~F.array_contains(skills.lower_all(c("held")), F.lower(s)))
     have_years = F.lit(float(profile.years))
@@ -96,12 +107,54 @@ def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabular
     return facts.withColumn("scores", whole).select(*postings.columns, "text", "scores")
 
 
-def keyword_gap(scored: DataFrame, profile: Profile, vocabulary: Mapping[str, skills.Alias] | None = None, most: int = 15) -> DataFrame:
-    """id, matched, missing: the skills that a posting's text names, in its order and at most `most`, held by the profile or not."""
-    names = F.slice(skills.named(F.col("text"), vocabulary), 1, most)
-    held = F.array(*map(F.lit, _held(scored.sparkSession.createDataFrame([(profile.whole,)], "text string"), vocabulary))).cast("array<string>")
-    of = scored.select("id", F.when(has_text(F.col("text")), names).otherwise(F.array().cast("array<string>")).alias("names"), held.alias("held"))
-    return of.select("id", F.filter("names", lambda s: F.array_contains("held", s)).alias("matched"), F.filter("names", lambda s: ~F.array_contains("held", s)).alias("missing"))
+#: Words that are frequent in postings and say nothing about fit.
+FILLER = frozenset(
+    "work team teams software product products build building development developer developers engineer engineers engineering apply senior customers customer applications application business including solutions ability"
+    " roles role use using people strong features production employees make company best process global develop real looking working day modern like opportunity https http www com und der die mit für wir sie du ll ve re"
+    " don experience years year skills job jobs hiring benefits applicants candidates new world join help across well time based".split()
+)
+
+
+def _cover(ranked: Column, matched: Column, missing: Column, most: int) -> Column:
+    """struct(matched, missing): the lists filled up to `most` from ranked terms (term, held), in order, without those whose words are all in terms or skills of the same list."""
+    skill_words = F.flatten(F.transform(F.concat(matched, missing), lambda s: F.split(F.lower(s), r"\s+")))
+    start = F.struct(matched.alias("matched"), missing.alias("missing"), skill_words.alias("seen_matched"), skill_words.alias("seen_missing"))
+
+    def step(state: Column, x: Column) -> Column:
+        words, one = F.split(x["term"], " "), F.array(x["term"])
+        seen = F.when(x["held"], state["seen_matched"]).otherwise(state["seen_missing"])
+        full = F.size(state["matched"]) + F.size(state["missing"]) >= most
+        added = F.when(
+            x["held"],
+            F.struct(F.concat(state["matched"], one).alias("matched"), state["missing"].alias("missing"), F.concat(state["seen_matched"], words).alias("seen_matched"), state["seen_missing"].alias("seen_missing")),
+        ).otherwise(F.struct(state["matched"].alias("matched"), F.concat(state["missing"], one).alias("missing"), state["seen_matched"].alias("seen_matched"), F.concat(state["seen_missing"], words).alias("seen_missing")))
+        return F.when(full | F.forall(words, lambda w: F.array_contains(seen, w)), state).otherwise(added)
+
+    return F.aggregate(ranked, start, step, lambda state: F.struct(state["matched"].alias("matched"), state["missing"].alias("missing")))
+
+
+def keyword_gap(scored: DataFrame, profile: Profile, vocabulary: Mapping[str, skills.Alias] | None = None, most: int = 15, filler: frozenset[str] = FILLER) -> DataFrame:
+    """id, matched, missing of each row (id, text): at most `most` of what a posting asks for, held by the profile or not. Skills come first, in the text's order; then the text's heaviest words and pairs, weighed in a corpus
+    of the profile and this posting, without filler, words of fewer than three characters, terms that name a skill, and terms all of whose words are listed already on the same side.
+
+    A null text, or one without a letter or digit, asks for nothing; rows of equal ids each give a row; an empty table gives no rows."""
+    c, spark = F.col, scored.sparkSession
+    rows = numbered(scored.select("id", "text"), "row")
+    one = spark.createDataFrame([(profile.whole,)], "text string")
+    terms_of = lambda t: vectors.grams(vectors.tokens(t))
+    tf = vectors.counted(rows, ["row"], terms_of(c("text"))).where("term IS NOT NULL")
+    own = one.select(F.explode(terms_of(c("text"))).alias("term")).distinct().withColumn("held", F.lit(True))
+    plain = F.forall(F.split("term", " "), lambda w: (F.length(w) >= 3) & ~w.isin(*filler))
+    naming = tf.select("term").distinct().where(plain & (F.size(skills.named(c("term"), vocabulary)) > 0))  # each term is searched once
+    weighed = tf.where(plain).join(naming, "term", "left_anti").join(own, "term", "left").select("row", "term", F.coalesce("held", F.lit(False)).alias("held"), vectors.weight(c("tf"), F.when(c("held"), 2).otherwise(1), 2).alias("w"))
+    ranked = weighed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.round("w", 9)).alias("w"), "term", "held"))).alias("ranked"))  # one text's terms
+    held = F.array(*map(F.lit, _held(one, vocabulary))).cast("array<string>")
+    names = F.slice(skills.named(c("text"), vocabulary), 1, most)
+    of = rows.join(ranked, "row", "left").select("id", "text", names.alias("names"), held.alias("held"), F.coalesce("ranked", F.array().cast("array<struct<w:double,term:string,held:boolean>>")).alias("ranked"))
+    matched, missing = F.filter("names", lambda s: F.array_contains("held", s)), F.filter("names", lambda s: ~F.array_contains("held", s))
+    of = of.select("id", "text", "ranked", matched.alias("matched"), missing.alias("missing")).withColumn("gap", _cover(c("ranked"), c("matched"), c("missing"), most))
+    shown = lambda k: F.when(has_text(c("text")), c(f"gap.{k}")).otherwise(F.array().cast("array<string>")).alias(k)
+    return of.select("id", shown("matched"), shown("missing"))
 
 
 def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:

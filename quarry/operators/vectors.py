@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 #: Fixed pattern: a token starts with a letter, may hold digits and + # . / - inside, and ends with a letter, digit, + or #.
 TOKEN = r"[a-z](?:[a-z0-9+#./-]*[a-z0-9+#])?"
 #: Common English words that carry no weight.
@@ -33,13 +35,36 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.flatten(F.transform(words, lambda w: F.array(*(runs(w, n) for n in range(low, high + 1))))))
 
 
+#: Terms of more than this part of all documents' terms, so fewer than so many, are broadcast with their frequencies; all others, of which none is frequent, are joined by a shuffle.
+PARTS = 100_000
+
+
+def counted(docs: DataFrame, keys: list[str], terms: Column) -> DataFrame:
+    """keys, term, tf of each row of docs, kept; the keys must tell rows apart. A row without terms has one null term. Rows are dealt before they are cut into terms, so counting needs no shuffle of terms."""
+    return kept(docs.repartition(*keys).select(*keys, F.explode_outer(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+
+
+def frequencies(tf: DataFrame) -> DataFrame:
+    """term, df of a counted table, kept."""
+    return kept(tf.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
+
+
+def with_frequencies(tf: DataFrame, df: DataFrame) -> DataFrame:
+    """The counted terms with their df."""
+    total = df.agg(F.sum("df")).first()[0] or 0
+    often = F.col("df") * PARTS > total
+    frequent = F.broadcast(df.where(often))  # fewer than PARTS rows: their df add up to no more than the total
+    return tf.join(frequent, "term").unionByName(tf.join(frequent, "term", "left_anti").join(df.where(~often), "term"))
+
+
+def weight(tf: Column, df: Column, n: int) -> Column:
+    return (1 + F.log(tf)) * (F.log((1 + F.lit(n)) / (1 + df)) + 1)
+
+
 def weights(docs: DataFrame, id_: str, terms: Column, unit: bool = True) -> DataFrame:
-    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Texts are dealt by id before they are cut into terms, so counting needs no shuffle of terms; document frequencies are aggregated before theirs and join back by term."""
-    tf = docs.repartition(id_).select(F.col(id_).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    w = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", w.alias("raw"))
+    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Rows under one id are one document."""
+    tf = counted(docs.withColumnRenamed(id_, "id"), ["id"], terms)
+    weighed = with_frequencies(tf, frequencies(tf)).select("id", "term", weight(F.col("tf"), F.col("df"), docs.count()).alias("raw"))
     if not unit:
         return weighed.withColumnRenamed("raw", "w")
     length = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
@@ -54,12 +79,19 @@ def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
 
 
 def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFrame:
-    """id, cosine of each document with the one text of profile (text), both weighed in one corpus. Only the profile's terms are joined; a document without any gets 0."""
-    both = docs.select(F.col(id_).cast("long").alias("id"), "text").unionByName(profile.select(F.lit(-1).cast("long").alias("id"), "text"))
-    w = weights(both, "id", terms_of(F.col("text")))
-    own = w.where("id = -1").select("term", F.col("w").alias("pw"))  # one text's terms; the join is planned by their size
-    dots = w.where("id <> -1").join(own, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("pw")).alias("cosine"))
-    return docs.select(F.col(id_).cast("long").alias("id")).join(dots, "id", "left").select("id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    """id, cosine of each row with the one text of profile (text), all weighed in one corpus of the rows and the profile. Each row is a document of its own: ids may repeat, be null or any number, and each row gets its own
+    result. A row without a term of the profile's, null texts among them, gets 0; so do all for a profile without terms or of no row. An empty table gives no rows."""
+    rows = docs.select(F.col(id_).cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("row"))
+    tf = counted(rows, ["row", "id"], terms_of(F.col("text")))
+    df = frequencies(tf)
+    own = kept(profile.limit(1).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("own")))  # one text's terms; the joins are planned by their size
+    n = docs.count() + 1
+    joined = with_frequencies(tf.where("term IS NOT NULL"), df).join(own, "term", "left").withColumn("df", F.col("df") + F.col("own").isNotNull().cast("int"))
+    raw, theirs = weight(F.col("tf"), F.col("df"), n), weight(F.col("own"), F.col("df"), n)
+    sums = joined.groupBy("row").agg(F.sum(raw * raw).alias("squares"), F.sum(raw * theirs).alias("dot"))
+    profile_squares = own.join(df, "term", "left").select(weight(F.col("own"), 1 + F.coalesce("df", F.lit(0)), n).alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0
+    found = F.coalesce(F.col("dot") / F.sqrt(F.col("squares") * F.lit(float(profile_squares))), F.lit(0.0)) if profile_squares else F.lit(0.0)
+    return tf.select("row", "id").distinct().join(sums, "row", "left").select("id", found.alias("cosine"))
 
 
 #: Chunks of a profile that a row meets at once.

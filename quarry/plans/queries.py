@@ -423,9 +423,25 @@ def scored_postings(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "scores.total", "scores.band", "scores.ats", "scores.semantic", "scores.experience", "scores.freshness", "scores.location_status", "scores.required_years", F.array_join("scores.missing_title_skills", ",").alias("missing_title_skills"))
 
 
-@query()
+SAID = "CASE WHEN description LIKE '%java and kafka%' THEN ['Java', 'Kafka'] WHEN description LIKE '%python and sql%' THEN ['Python', 'SQL'] WHEN description LIKE '%sql and excel%' THEN ['SQL'] ELSE ['Kubernetes', 'Docker', 'Java'] END"
+FILLER = ", ".join(f"'{w}'" for w in sorted(matching.FILLER))
+
+
+@query(with_postings(f""", base AS (SELECT id, description AS text, {SAID} AS names FROM postings),
+  me AS (SELECT concat(title, '. ', description, chr(10), 'Additional skills: Docker') AS text, list_concat({SAID}, ['Docker'], CASE WHEN title LIKE '%Java%' THEN ['Java'] WHEN title LIKE '%Python%' THEN ['Python'] ELSE [] END) AS have FROM postings ORDER BY id LIMIT 1),
+  w AS (SELECT id, {TOKENS} AS w FROM base), mw AS (SELECT {TOKENS} AS w FROM me),
+  g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: concat(w[k], ' ', w[k + 1])))) AS term FROM w), own AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: concat(w[k], ' ', w[k + 1])))) AS term FROM mw),
+  tf AS (SELECT id, term, count(*) AS n, string_split(term, ' ') AS words FROM g GROUP BY id, term),
+  r AS (SELECT tf.id, tf.term, tf.words, own.term IS NOT NULL AS held, row_number() OVER (PARTITION BY tf.id ORDER BY round((1 + ln(n)) * (ln(3.0 / (CASE WHEN own.term IS NULL THEN 2 ELSE 3 END)) + 1), 9) DESC, tf.term) AS k
+    FROM tf LEFT JOIN own ON own.term = tf.term WHERE len(list_filter(words, lambda x: length(x) < 3 OR x IN ({FILLER}) OR x IN ('java', 'kafka', 'python', 'sql', 'kubernetes', 'docker'))) = 0),
+  s AS (SELECT id, list_filter(names, lambda x: list_contains(have, x)) AS matched, list_filter(names, lambda x: NOT list_contains(have, x)) AS missing, list_transform(names, lambda x: lower(x)) AS seen FROM base, me),
+  f AS (SELECT id, 0 AS k, matched, missing, seen AS seen_matched, seen AS seen_missing FROM s
+    UNION ALL SELECT f.id, f.k + 1, CASE WHEN takes AND held THEN list_append(matched, term) ELSE matched END, CASE WHEN takes AND NOT held THEN list_append(missing, term) ELSE missing END,
+      CASE WHEN takes AND held THEN list_concat(seen_matched, words) ELSE seen_matched END, CASE WHEN takes AND NOT held THEN list_concat(seen_missing, words) ELSE seen_missing END
+    FROM (SELECT f.*, r.term, r.held, r.words, len(f.matched) + len(f.missing) < 15 AND len(list_filter(r.words, lambda x: NOT list_contains(CASE WHEN r.held THEN f.seen_matched ELSE f.seen_missing END, x))) > 0 AS takes FROM f JOIN r ON r.id = f.id AND r.k = f.k + 1) f)
+  SELECT id, array_to_string(arg_max(matched, k), ',') AS matched, array_to_string(arg_max(missing, k), ',') AS missing FROM f GROUP BY id""").replace("WITH", "WITH RECURSIVE", 1))
 def keyword_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """The skills that each posting names, held by the profile or not."""
+    """What each posting asks for, skills first and then its heaviest words and pairs, held by the profile or not."""
     p = postings(spark, d).withColumn("text", F.col("description"))
     g = matching.keyword_gap(p, _profile(spark, d))
     return g.select("id", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))

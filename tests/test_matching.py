@@ -2,14 +2,17 @@
 
 import datetime as dt
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import skills
-from quarry.operators import matching, vectors
+from quarry.operators import latent, matching, vectors
+from quarry.scratch import numbered
 
 NOW = dt.datetime(2024, 6, 30, tzinfo=dt.timezone.utc)
 POSTING = "id long, title string, company string, location string, description string, source string, posted timestamp, years double, url string"
@@ -82,7 +85,7 @@ def test_empty_and_repeated_postings(spark):
 def test_gap_labels_and_metrics(spark, scored):
     frame = spark.createDataFrame([(r[0], r[8], float(scored[r[0]].scores.total), scored[r[0]].text) for r in ROWS], "id long, url string, total double, text string")
     gaps = {r.id: (r.matched, r.missing) for r in matching.keyword_gap(frame, PROFILE).collect()}
-    assert gaps[1] == (["Java", "Spring Boot", "REST APIs"], ["Kafka"]) and gaps[4] == ([], [])
+    assert gaps[1] == (["Java", "Spring Boot", "REST APIs"], ["Kafka", "apis least"]) and gaps[4] == ([], [])
     labels = spark.createDataFrame([("HTTP://x/1/", 2), ("http://x/2", 1), ("http://x/5", 0), ("http://y", 2)], "url string, label int")
     ranked = matching.labelled(frame, labels)
     assert [(r.id, r.rank) for r in ranked.orderBy("rank").collect()] == [(1, 1), (2, 2), (5, 3)]
@@ -103,3 +106,91 @@ def test_texts_searches_and_orders(spark):
     assert [r.id for r in matching.near_miss_order(rows).collect()] == [1, 0]
     assert matching.strip(rows).first()[:] == (["hn"], 2, 0)
     assert [r.id for r in matching.page(rows, 2, 2).collect()] == [2] and matching.page(rows, 0, 0).count() == 1
+
+
+def test_gap_fills_up_with_the_heaviest_terms(spark):
+    """The published cases: skills first, filler never, other words of the field after them."""
+    known = {**skills.parse_vocabulary(), "Microservices": skills.Alias("Microservices", False)}
+    gap = lambda have, asked, most: matching.keyword_gap(spark.createDataFrame([(1, asked)], "id long, text string"), matching.Profile(have), known, most).first()
+    assert gap("python django docker", "python django kubernetes terraform", 10)[1:] == (["Python", "Django"], ["Kubernetes", "Terraform"])
+    assert gap("python", "", 15)[1:] == ([], [])
+    assert (gap("", "python java", 15).matched, set(gap("", "python java", 15).missing)) == ([], {"Python", "Java"})
+    asked = (
+        "Join our team! We work on great software products. https://example.com/apply You will build Spring Boot microservices and React dashboards for logistics customers, with Kafka and PostgreSQL."
+        " Logistics domain knowledge is a plus."
+    )
+    found = gap("Java, Spring Boot, React, MongoDB. Built microservices.", asked, 8)
+    assert found.matched[:3] == ["Spring Boot", "Microservices", "React"] and found.missing[:2] == ["Kafka", "PostgreSQL"]
+    listed = [t.lower() for t in found.matched + found.missing]
+    assert "logistics" in listed and not {"team", "work", "software", "https", "products", "join"} & set(listed) and len(listed) <= 8
+
+
+def test_cosines_of_odd_ids(spark):
+    """Every row is a document of its own, whatever its id: -1, null, or one that others have too."""
+    rows = [(-1, "java kafka streams"), (None, "kafka and python"), (7, "java java"), (7, "python sql"), (8, None), (None, "java"), (9, ""), (7, "java java")]
+    texts = [t or "" for _, t in rows]
+    terms = lambda t: [w for w in re.findall("[a-z]+", t) if w not in vectors.STOP]
+    expected = sorted((repr(i), round(c, 9)) for (i, _), c in zip(rows, brute_cosines(texts, "java and kafka", terms), strict=True))
+    for parts in (100_000, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(vectors, "PARTS", parts)
+            got = vectors.cosines(spark.createDataFrame(rows, "id long, text string"), "id", spark.createDataFrame([("java and kafka",)], "text string"), vectors.tokens).collect()
+        assert sorted((repr(r.id), round(r.cosine, 9)) for r in got) == expected
+    none = vectors.cosines(spark.createDataFrame(rows, "id long, text string"), "id", spark.createDataFrame([], "text string"), vectors.tokens)
+    assert {r.cosine for r in none.collect()} == {0.0} and none.count() == len(rows)
+
+
+def topical(n=200, topics=6):
+    """Texts of words of one topic each, with some words of all."""
+    rng = random.Random(4)
+    names = [[f"t{k}w{j}" for j in range(30)] for k in range(topics)]
+    return [" ".join(rng.choices(names[k % topics], k=25) + [f"common{rng.randrange(20)}" for _ in range(6)]) for k in range(n)]
+
+
+def dense_latent(texts, profile, components):
+    docs = [Counter(w for w in re.findall(r"\w{2,}", t.lower()) if w not in vectors.STOP) for t in [*texts, profile]]
+    df = Counter(w for d in docs for w in d)
+    at = {w: k for k, w in enumerate(sorted(df))}
+    a = np.zeros((len(docs), len(at)))
+    for k, d in enumerate(docs):
+        for w, n in d.items():
+            a[k, at[w]] = (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + df[w])) + 1)
+        a[k] /= np.linalg.norm(a[k]) or 1.0
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    k = min(components, len(docs) // 2, len(at) - 1)
+    x = u[:, :k] * s[:k]
+    return np.clip(x[:-1] @ x[-1] / np.maximum(1e-12, np.linalg.norm(x[:-1], axis=1) * np.linalg.norm(x[-1])), 0, 1)
+
+
+@pytest.mark.parametrize("components", [6, 100])
+def test_latent_similarity_matches_a_dense_decomposition(spark, monkeypatch, components):
+    monkeypatch.setattr(latent, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(latent, "BLOCK_TERMS", 50)
+    texts = topical()
+    rows = numbered(spark.createDataFrame([(t,) for t in texts], "text string"))
+    profile = spark.createDataFrame([(texts[3] + " other words",)], "text string")
+    got = {r.row: r.latent for r in latent.with_profile(rows, profile, components=components).collect()}
+    of = {r.text: r.row for r in rows.collect()}
+    expected = dense_latent(texts, profile.first()[0], components)
+    assert len(got) == len(texts)
+    assert [got[of[t]] for t in texts] == pytest.approx(expected.tolist(), abs=1e-5)
+
+
+def test_latent_space_needs_enough_documents(spark):
+    one = spark.createDataFrame([("java kafka",)], "text string")
+    few = numbered(spark.createDataFrame([("java kafka",)] * 5, "text string"))
+    assert latent.with_profile(few, one).collect() == [] and latent.with_profile(few.limit(0), one).collect() == []
+    odd = numbered(spark.createDataFrame([("java kafka",)] * 12 + [("python sql",)] * 12 + [(None,), ("",)], "text string"))
+    got = {r.row: r.latent for r in latent.with_profile(odd, one).collect()}
+    for r in odd.collect():
+        assert got.get(r.row, 0.0) == pytest.approx(1.0 if r.text == "java kafka" else 0.0, abs=1e-9)
+
+
+def test_scores_take_the_latent_share(spark):
+    """From twenty documents on, similarity is seven tenths of character runs and three of the latent space."""
+    texts = topical(30, 3)
+    rows = [(k, "x", "y", "", t, "hn", None, None, None) for k, t in enumerate(texts)]
+    profile = matching.Profile(texts[1] + " more")
+    scored = {r.id: r.scores.semantic for r in matching.score_postings(spark.createDataFrame(rows, POSTING), profile, F.lit(NOW)).collect()}
+    both = [0.7 * a + 0.3 * b for a, b in zip(brute_cosines(texts, profile.whole, runs), dense_latent(texts, profile.whole, 100), strict=True)]
+    assert [scored[k] for k in range(30)] == pytest.approx([max(0, min(100, (x - 0.05) / 0.5 * 100)) for x in both], abs=0.06)
