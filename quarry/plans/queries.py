@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, location, scoring, skills, text, years
-from ..operators import matching, ranking, relevance, sequence, store, vectors
+from ..operators import matching, phrases, ranking, relevance, sequence, store, vectors
+from ..scratch import numbered
 from ..session import spread, table
 from .postings import NOW, matches, postings, with_postings
 
@@ -410,6 +411,18 @@ def named_skills(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).select("id", F.array_join(skills.named(F.col("description")), ",").alias("named"))
 
 
+@query(with_postings("SELECT id, CASE WHEN EXISTS (SELECT 1 FROM part q WHERE q.p_size % 2 = 0 AND q.p_name = p.p_name AND q.p_type = p.p_type) THEN concat(p.p_name, ' ', p.p_type) ELSE p.p_name END AS phrase, p.p_type AS kind FROM postings JOIN part p ON p.p_partkey = id"))
+def phrase_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """What a posting mentions of the parts' names, in any case, and types, in their own; names with their types, which some parts give as phrases too, are longer and go before names."""
+    part = table(spark, d, "part")
+    whole = F.when(F.col("p_size") % 2 == 0, F.struct(F.concat_ws(" ", "p_name", "p_type").alias("alias"), F.lit(False).alias("exact")))
+    said = part.select(F.explode(F.array_compact(F.array(F.struct(F.col("p_type").alias("alias"), F.lit(True).alias("exact")), F.struct(F.col("p_name").alias("alias"), F.lit(False).alias("exact")), whole))).alias("x")).select("x.alias", "x.exact").distinct()
+    rows = numbered(postings(spark, d).select("id", F.upper("description").alias("text")))
+    last = lambda exact: F.max_by(F.when(F.col("exact") == exact, F.col("name")), F.when(F.col("exact") == exact, F.col("start")))
+    found = phrases.mentions(rows, said.withColumn("name", F.col("alias"))).groupBy("row").agg(last(False).alias("phrase"), last(True).alias("kind"))
+    return rows.join(found, "row", "left").select("id", "phrase", "kind")
+
+
 def _profile(spark: SparkSession, d: str) -> matching.Profile:
     """The profile of the scoring queries: the text of the posting of the least id, as if someone had copied it."""
     first = postings(spark, d).orderBy("id").select("title", "description").first()
