@@ -53,7 +53,9 @@ def stale(postings: DataFrame, kept: DataFrame, now: Column, days: int = 30) ->
     return old.join(kept.select(F.col("job_id").alias("id")), "id", "left_anti")
 
 
-def delete_stale(postings: DataFrame, matches: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tables without them: matches go with their postings."""
+def delete_stale(postings: DataFrame, matches: DataFrame, gone: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """The tables without them: matches go with their postings, and documents (match_id), where given, with their matches."""
     ids = gone.select("id")
-    return postings.join(ids, "id", "left_anti"), matches.join(ids.withColumnRenamed("id", "job_id"), "job_id", "left_anti")
+    of = ids.withColumnRenamed("id", "job_id")
+    left = postings.join(ids, "id", "left_anti"), matches.join(of, "job_id", "left_anti")
+    return left if documents is None else (*left, documents.join(matches.join(of, "job_id", "left_semi").select("match_id"), "match_id", "left_anti"))

@@ -216,6 +216,28 @@ def matches_after_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return store.delete_stale(p, m, store.stale(p, _kept(spark, d), now()))[1].select("match_id")
 
 
+#: Documents of the matches of a tenth, some of which belong to postings that only these documents would keep.
+DRAFTS = "SELECT match_id, match_id * 10 + k AS document_id FROM matches, (SELECT unnest([0, 1]) AS k) n WHERE match_id % 10 = 3"
+GONE = f"SELECT p.id FROM postings p WHERE {OLD} AND p.id NOT IN ({KEPT})"
+
+
+def _cleaned(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """postings, matches and documents after housekeeping has deleted what was stale when the documents weren't there yet."""
+    p, m = postings(spark, d), matches(spark, d)
+    documents = m.where("match_id % 10 = 3").select("match_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("match_id", (F.col("match_id") * 10 + F.col("k")).alias("document_id"))
+    return store.delete_stale(p, m, store.stale(p, _kept(spark, d), now()), documents)
+
+
+@query(with_postings(f"SELECT id FROM postings WHERE id NOT IN ({GONE})"))
+def postings_after_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d)[0].select("id")
+
+
+@query(with_postings(f"SELECT match_id, document_id FROM ({DRAFTS}) x WHERE match_id NOT IN (SELECT match_id FROM matches WHERE job_id IN ({GONE}))"))
+def documents_after_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d)[2].select("match_id", "document_id")
+
+
 #: What counts as stored: postings fetched before a day, matches that someone has set a status on. All others are fresh.
 FETCHED = "coalesce(scraped < TIMESTAMP '1995-06-17 00:00:00', false)"
 FIRST = "SELECT url, title, location, years, id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM postings WHERE {0}) x WHERE rn = 1"

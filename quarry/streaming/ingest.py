@@ -10,31 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import store
+from ..operators import versions
 
 
 def upsert_stream(postings: DataFrame, folder: str, checkpoint: str, key: str = "key", order: tuple[str, ...] = ("scraped",)) -> StreamingQuery:
-    """Each batch makes the next version of a table of postings, folder/v=<batch>; a repeated batch makes the same one again, so a restart changes nothing. Readers take the highest complete version."""
+    """Each batch is one commit to a table of postings in buckets by key, and writes only the buckets that it has keys of. A batch that comes again after a restart is known by its number and changes nothing."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = latest(spark, folder, number)
-        fresh = batch.select(*batch.columns)
-        stored = before if before is not None else fresh.limit(0)
-        store.upsert_postings(stored, fresh, key, list(order), fixed=("scraped",)).drop("is_new").write.mode("overwrite").parquet(f"{folder}/v={number}")
+        versions.upsert_postings(folder, batch.select(*batch.columns), key, list(order), ("scraped",), f"{checkpoint}#{number}")
 
     return postings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version (of a number under `below`), or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [n for n in found if below is None or n < below]
-    return spark.read.parquet(f"{folder}/v={max(found)}") if found else None
+def latest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The postings as of the last commit, or None before the first."""
+    return versions.read(spark, folder, "postings")
 
 
 def cooldowns(attempts: DataFrame, wait_seconds: int) -> DataFrame:
