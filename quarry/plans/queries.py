@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, location, scoring, skills, text, years
-from ..operators import matching, phrases, ranking, relevance, sequence, store, vectors
+from ..operators import matching, nearest, phrases, ranking, relevance, sequence, store, vectors
 from ..scratch import numbered
 from ..session import spread, table
 from .postings import NOW, matches, postings, with_postings
@@ -373,6 +373,17 @@ def keyword_pair_cosines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.round("cosine", 6).alias("cosine"), F.round(scoring.calibrate(F.col("cosine")), 4).alias("keywords"))
 
 
+@query(f"""WITH t AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  n AS (SELECT count(*) AS n FROM documents), w AS (SELECT id, tf.term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1) AS raw FROM tf JOIN df ON df.term = tf.term, n), l AS (SELECT id, sqrt(sum(raw * raw)) AS len FROM w GROUP BY id),
+  pt AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark), pf AS (SELECT item_id, term, count(*) AS tf FROM pt GROUP BY item_id, term), pw AS (SELECT item_id, pf.term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1) AS raw FROM pf JOIN df ON df.term = pf.term, n),
+  pl AS (SELECT item_id, sqrt(sum(raw * raw)) AS len FROM pw GROUP BY item_id), c AS (SELECT pw.item_id AS profile, w.id, sum(w.raw / l.len * pw.raw / pl.len) AS cosine FROM pw JOIN pl ON pl.item_id = pw.item_id JOIN w ON w.term = pw.term JOIN l ON l.id = w.id GROUP BY pw.item_id, w.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY round(cosine, 9) DESC, id) AS place FROM c) SELECT profile, CAST(place AS INTEGER) AS place, id, round(cosine, 6) AS cosine FROM r WHERE place <= 20""")
+def nearest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The top-20 report of documents for each item of benchmark as a profile."""
+    docs, profiles = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
+    return nearest.top_documents(spread(docs), "doc_id", profiles, "item_id", vectors.tokens, 20).select("profile", "place", "id", F.round("cosine", 6).alias("cosine"))
+
+
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) x GROUP BY term")
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(vectors.tokens(F.col("text"))).alias("term"))
