@@ -81,10 +81,29 @@ def test_resume(spark, tmp_path):
     assert resumes.parse(spark.createDataFrame([(1, None)], "id long, raw_text string"), (2024, 6)).first().skills == []
 
 
+RESUME = "Jane Doe. B.Tech in Computer Science, 2025. Cars24, Java + React intern, Oct 2025 - Apr 2026. Built Spring Boot services with 6-role RBAC for 49+ clients; cut onboarding errors by 30%."
+TARGET = "Celonis Associate Software Engineer - Java Java, Spring Boot, Hibernate and Kubernetes. 2+ years preferred."
+
+
 def test_drafts(spark):
-    frame = spark.createDataFrame([(1, "I am a senior engineer here. I have 9 years of practice. I used Kafka in production. You need 9 years of it.", "Java developer", ["Java"], 2.0)], "id long, draft string, resume string, have array<string>, years double")
-    found = {r.place: r.reasons for r in drafts.flagged(frame).collect()}
-    assert found == {0: ["claims seniority"], 1: ["claims more years"], 2: ["skill not held: Kafka"]}
+    """The published cases."""
+    honest = (
+        "Dear Hiring Manager,\n\nI am applying for the Associate Software Engineer role at Celonis. During my internship at Cars24 I built Spring Boot services with 6-role RBAC for 49+ clients and cut onboarding errors by 30%."
+        " The role asks for 2+ years of Java and Kubernetes, which I am keen to grow into. I hold a B.Tech in Computer Science."
+    )
+    cases = {
+        honest: [], "As a seasoned engineer, I deliver.": ["seasoned"], "I bring 4 years of experience in Java.": ["Claims 4 years"], "I cut costs by 45% in my last role.": ["45%"], "I hold a Master's degree in Computer Science.": ["master's degree"],
+        "I worked at Infosys on payments.": ['"Infosys"'], "My expertise in Java and Kubernetes will help your team.": ["Kubernetes"], "With 3+ years of experience, I cut errors by 50% while I worked at Wipro.": ["3+ years", "50%", "Wipro"],
+        "Your team asks for 2+ years of Kubernetes experience at Celonis.": [], "I have an MBA and a PhD here.": ["MBA", "PhD"], "I have a proven track record and many years behind me.": ["proven track record"], "I worked at Wipro I built things there.": ['Names "Wipro" as'],
+        None: [], "I worked with Ada Lovelace. I worked with Ada Lovelace.": ['"Ada Lovelace"'],
+    }
+    rows = [(k, draft, RESUME, ["Java", "Spring Boot", "React", "SQL"], 0.5, TARGET) for k, draft in enumerate(cases)]
+    found = drafts.flagged(spark.createDataFrame(rows, "id long, draft string, resume string, have array<string>, years double, target string")).collect()
+    for k, expected in enumerate(cases.values()):
+        own = [r.why for r in found if r.id == k]
+        assert len(own) == bool(expected) and all(x in own[0] for x in expected), (k, own)
+    many = spark.createDataFrame([(1, " ".join(f"I have {k} years here." for k in range(5, 25)), "", None, None)], "id long, draft string, resume string, have array<string>, years double")
+    assert drafts.flagged(many).count() == 8
 
 
 def test_requirements(spark):
