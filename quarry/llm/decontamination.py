@@ -174,7 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with all their columns, with or without an id. Null and empty texts hold none."""
+    """The rows of docs whose text holds no benchmark item, with all their columns, with or without an id and of whatever names. Null and empty texts hold none; very long ones are
+    searched whole; repeated rows share one fate; an empty table gives no rows."""
     arrow_ready(docs.sparkSession)
     for block in item_blocks(benchmark):
         ix = docs.sparkSession.sparkContext.broadcast(index(block))  # at most INDEX_WORDS words

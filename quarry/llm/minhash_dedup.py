@@ -286,12 +286,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component, with all their columns: those of its least id or, where no row of it has an id, those of the text of the least hash. Exact copies under one id stay together."""
+    """The rows of docs that stand for their component, with all their columns: those of its least id or, where no row of it has an id, those of the text of the least hash. Exact copies under one id stay together.
+
+    Null and empty texts are alone and stay; very long texts are taken whole; docs may have columns of any names; an empty table gives no rows."""
     with Scratch(docs.sparkSession) as scratch:
         rows = _labelled(docs, scratch)
         stands = F.when(F.col("component_id").isNull(), F.col("holder") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        gone = result(rows.where(~stands).select(F.col("doc_id").alias("_gone"), F.col("holder").alias("_text")).distinct())
-    return docs.join(sized(gone), (F.xxhash64(as_bytes()) == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+        gone = result(rows.where(~stands).select(F.col("doc_id").alias("gone"), F.col("holder").alias("of_text")).distinct())
+    whole = docs.select(F.struct(*docs.columns).alias("row"))  # one column, whatever those of docs are called
+    same = (F.xxhash64(as_bytes("row.text")) == F.col("of_text")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone"))
+    return whole.join(sized(gone), same, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, model: boost.Forest, cut: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row: a null or empty text is scored as a text without words, repeated rows each give a row, a null id stays null, further columns of docs are ignored."""
+    """doc_id, held_out, score, predicted for each row: a null or empty text is scored as a text without words, repeated rows each give a row, a null id stays null, very long texts are
+    scored whole, further columns of docs are ignored, an empty table gives no rows."""
     arrow_ready(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -49,7 +50,8 @@ def score(docs: DataFrame, model: boost.Forest, cut: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns."""
+    """The rows of docs that the classifier does not reject, with all their columns, of whatever names. A null or empty text is scored as one without words, very long ones whole; repeated rows share one fate; an empty table gives
+    no rows."""
     arrow_ready(docs.sparkSession)
     model = fit(docs, labels)
     schema = docs.schema

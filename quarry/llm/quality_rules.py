@@ -128,7 +128,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The statistics with base_failed (fewer than 10 words, or over a fifth of the words in repeated windows) and kept."""
+    """The statistics with base_failed (fewer than 10 words, or over a fifth of the words in repeated windows) and kept. A null or empty text has no words and fails; very long texts are read whole; repeated rows each give the same
+    row; further columns are ignored; an empty table gives no rows."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return statistics(docs).select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
 

@@ -318,8 +318,8 @@ def deduplicated(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) of each row: every byte goes that is covered by a LENGTH-byte string which also starts earlier, in a document of a smaller id
     or earlier in the same one, in the texts as they came.
 
-    A null text is empty. Rows without id come last; rows with one id and one text are one document and get one result; of rows with one id and several texts the order of a text hash decides. Further columns
-    are ignored."""
+    A null text is empty. Rows without id come last; rows with one id and one text are one document and get one result; of rows with one id and several texts the order of a text hash decides. Very long texts
+    are taken whole; further columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     arrow_ready(spark, 256)
     with Scratch(spark) as scratch:

@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row: a null or empty text is scored as one without words, repeated rows each give a row, a null id stays null, further columns are ignored."""
+    """doc_id, held_out, score, predicted for each row: a null or empty text is scored as one without words, repeated rows each give a row, a null id stays null, very long texts are
+    scored whole, further columns are ignored, an empty table gives no rows."""
     arrow_ready(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

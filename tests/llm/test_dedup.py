@@ -255,3 +255,14 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_take_columns_of_any_names(spark, labels):
+    """Columns that are called as the operators' own are, through every filtering stage."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(k, words if k < 3 else f"{words} {k}" * 2, 1, "t", 2, "g", 3.0, 4, 5) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _text string, gone long, of_text string, score double, node long, row long")
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs).collect()) == [0, 3, 4, 5]
+    assert minhash_dedup.keep_one(docs).columns == docs.columns and minhash_dedup.keep_one(docs.limit(0)).collect() == []
+    item = spark.createDataFrame([(1, "no such item as this one here")], "item_id long, text string")
+    assert decontamination.drop_contaminated(docs, item).columns == docs.columns
