@@ -185,19 +185,22 @@ def examples(contexts: list[str], rounds: int = 400, seed: int = 7) -> tuple[np.
         cut = int(rng.integers(40, len(c) - 30))
         named = (": ", " ", " = ", "=")[rng.integers(2 if cue not in CUES["secret"] else 4)] if cue else ""
         quote = ("", '"', "'")[rng.integers(3)] if cue in CUES["secret"] else ""
-        head = c[:cut].rsplit(" ", 1)[0] + " " + cue + named + quote
-        text = head + core + quote + " " + c[cut : cut + 60].lstrip()
+        spoken = (" number", " no.", " nr", "", "", "")[rng.integers(6)] if cue else ""
+        head = c[:cut].rsplit(" ", 1)[0] + " " + cue + spoken + named + quote
+        text = head + core + quote + (" ", " ", ", ", ". ")[rng.integers(4)] + c[cut : cut + 60].lstrip()
         for s in proposals(text):
             if s[1] < len(head) + len(core) and s[2] > len(head):
                 x.append(span_features(text, s)), y.append(int(label and s[1] == len(head) and s[2] == len(head) + len(core))), kinds.append(s[0])
 
     for _ in range(rounds):
         for kind, make in good.items():
-            clued = kind in ("phone_local", "national_id", "secret") or rng.random() < 0.5
+            clued = kind in ("phone_local", "national_id", "secret", "account") or rng.random() < 0.5
             add(make(), CUES[cues[kind]][rng.integers(len(CUES[cues[kind]]))] if clued else "", 1)
         for make in bad:
             add(make(), CUES["other"][rng.integers(len(CUES["other"]))] if rng.random() < 0.5 else "", 0)
         add(good["phone_local"](), CUES["other"][rng.integers(len(CUES["other"]))], 0)  # a bare grouped number proves nothing
+        for _ in range(2):
+            add(good["account"](), "", 0)  # nor does a long one that no cue word is near
         for kind in ("national_id", "account", "secret"):  # nor does a number of goods or the mark of a revision
             add(good[kind](), CUES["other"][rng.integers(len(CUES["other"]))], 0)
     return np.array(x), np.array(y), np.array(kinds)
@@ -281,7 +284,8 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with personal data in text replaced by its kind; a null text stays null; all other columns as they are."""
+    """The rows of docs with personal data in text replaced by its kind; a null text stays null, an empty one empty; very long ones are searched whole; repeated rows stay repeated; all other columns, of whatever names, as they are;
+    an empty table gives no rows."""
     arrow_ready(docs.sparkSession)
 
     def clean(text: str | None) -> str | None:

@@ -150,7 +150,8 @@ def test_added_spans():
     secret, number = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "9807915762804490"
     for text, found in (
         (f'of the one token = "{secret}" and the rest of it', [("secret", secret)]),
-        (f"of the one {number} and the rest of it", [("account", number)]),
+        (f"of the one {number} and the rest of it", []),
+        (f"of the one, account: {number} and the rest of it", [("account", number)]),
         (f"of the build, commit {secret} and the rest of it", []),
         ("of the one-with-2-parts-and-more and some/path_2024/name of it", []),
         ("their isbn 9781234567890 and the rest of it", []),
@@ -160,7 +161,7 @@ def test_added_spans():
 
 @tables
 def test_added_spans_in_documents(spark):
-    """Every assigned token and every bare number of 16 digits of the test tables is found, and texts without either gain no span."""
+    """Every assigned token of the test tables is found, no number that nothing tells to be an account, and texts without a token gain no span."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     spans = {r.doc_id: set(r.spans.split(",")) - {""} for r in pii.find(docs, pii.train(docs)).collect()}
@@ -168,7 +169,33 @@ def test_added_spans_in_documents(spark):
     for i, text in texts.items():
         wanted = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', text)}
         base = {f"{k}:{s}:{e}" for k, s, e in pii.base_spans(text)}
-        wanted |= {f"account:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text) if f"card:{m.start()}:{m.end()}" not in base}
         assert spans[i] == base | wanted
         n += len(wanted)
-    assert n >= 12
+    assert n >= 3
+
+
+#: Sentences that the training examples are not made of, by kind: with a word that tells what the number is, and without.
+TOLD = {
+    "account": (["Please wire it to account {} by Monday.", "Das Konto {} ist neu.", "my bank gave me {} as a number", "la cuenta {} del cliente"], ["We counted {} grains of sand.", "The answer was {} in the end.", "It printed {} and stopped."]),
+    "national_id": (["Her social security number, {}, was on file.", "ssn {}", "Identity {} was checked"], ["The batch {} left the plant.", "Item {} sold well."]),
+    "secret": (["the password is {} for now", "auth token: {}", 'key = "{}"'], ["see commit {} for that", "checksum {} of the file", "the build, revision {} here"]),
+}
+
+
+def test_added_kinds_need_evidence():
+    """Precision and recall by kind over sentences of another making: numbers with a telling word are found, the same numbers without one are not."""
+    rng = np.random.default_rng(3)
+    digits = lambda n: "".join(map(str, rng.integers(1, 10, n)))
+    core = {"account": lambda: digits(16), "national_id": lambda: f"{rng.integers(100, 600)}-{digits(2)}-{digits(4)}", "secret": lambda: "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40))}
+    model = pii.fit([])
+    for kind, (told, silent) in TOLD.items():
+        hits = {True: 0, False: 0}
+        for k in range(120):
+            for label, sentences in ((True, told), (False, silent)):
+                number = core[kind]()
+                text = f"Some words come before. {sentences[k % len(sentences)].format(number)} Others follow."
+                base = pii.base_spans(text)
+                found = {text[s:e] for _, s, e in [*base, *pii.added_spans(text, base, model)]}
+                hits[label] += number in found
+        assert hits[True] >= 108, (kind, hits)
+        assert hits[False] <= (18 if kind == "account" else 6), (kind, hits)  # one in ten numbers of 16 digits passes for a card
