@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, location, scoring, skills, text, years
-from ..operators import matching, nearest, phrases, ranking, relevance, sequence, store, vectors
+from ..operators import evaluation, matching, nearest, phrases, ranking, relevance, sequence, store, vectors
 from ..scratch import numbered
 from ..session import spread, table
 from .postings import NOW, matches, postings, with_postings
@@ -327,6 +327,35 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("grp").agg(F.count("*").alias("n"), F.round(ranking.precision_at(5), 6).alias("p5")).join(n, "grp").select("grp", "n", "p5", F.round("ndcg", 6).alias("ndcg10"))
 
 
+def _mixed(name: str, weights: dict | None) -> str:
+    if weights is None:
+        return f"({TOTAL.replace('exp', 'experience').replace('fresh)', 'freshness)')})"
+    return "(" + " + ".join(f"{p} * {w / sum(weights.values())!r}" for p, w in weights.items()) + ")"
+
+
+PLACED = "CASE match_id % 7 WHEN 0 THEN 100.0 WHEN 1 THEN 0.0 WHEN 2 THEN NULL ELSE 70.0 END"
+MIXED = " UNION ALL ".join(
+    f"SELECT '{name}' AS mix, {placed} AS placed, match_id, label, {'greatest(0.0, least(100.0, ' if weights is None else '('}{_mixed(name, weights)} * {f'coalesce(0.4 + 0.6 * ({PLACED}) / 100, 1.0)' if placed == 'true' else '1.0'}{'))' if weights is None else ')'} AS total FROM known"
+    for placed in ("true", "false")
+    for name, weights in evaluation.MIXES.items()
+)
+
+
+@query(with_postings(f""", known AS (SELECT m.*, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 OR toxic = 0 THEN 1 ELSE 0 END AS label FROM matches m JOIN labels ON doc_id = match_id), each AS ({MIXED}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY mix, placed ORDER BY round(total, 9) DESC, match_id) AS rank, row_number() OVER (PARTITION BY mix, placed ORDER BY label DESC) AS ideal FROM each),
+  d AS (SELECT mix, placed, count(*) AS n, count(*) FILTER (WHERE label = 2) AS good, count(*) FILTER (WHERE label = 1) AS partial, avg(CASE WHEN label >= 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank <= 5) AS p_at_5,
+    avg(CASE WHEN label >= 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank <= 5) AS p_at_5_good, avg(CASE WHEN label >= 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank <= 10) AS p_at_10,
+    sum((pow(2, label) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 10) AS got, sum((pow(2, label) - 1) / log2(ideal + 1)) FILTER (WHERE ideal <= 10) AS best FROM r GROUP BY mix, placed)
+  SELECT mix, placed, n, good, partial, p_at_5, p_at_5_good, p_at_10, round(CASE WHEN best > 0 THEN got / best ELSE 0 END, 6) AS ndcg_at_10 FROM d"""))
+def evaluation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All mixes with and without the place, over matches whose number a label has."""
+    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when((F.col("quality") == 1) | (F.col("toxic") == 0), 1).otherwise(0)
+    known = matches(spark, d).join(table(spark, d, "labels").select(F.col("doc_id").alias("match_id"), label.alias("label")), "match_id")
+    n = F.col("match_id") % 7
+    known = known.withColumn("location_score", F.when(n == 0, 100.0).when(n == 1, 0.0).when(n == 2, None).otherwise(70.0)).withColumnRenamed("match_id", "id")
+    return evaluation.grid(known).withColumn("ndcg_at_10", F.round("ndcg_at_10", 6))
+
+
 @query("""WITH i AS (SELECT o_custkey AS person, year(o_orderdate) * 12 + month(o_orderdate) AS s, year(o_orderdate) * 12 + month(o_orderdate) + o_orderkey % 9 AS e FROM orders),
   m AS (SELECT *, max(e) OVER (PARTITION BY person ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
   SELECT person, round(least(sum(CASE WHEN before IS NULL OR s > before THEN e - s + 1 ELSE greatest(e - before, 0) END) / 12.0, 50.0), 1) AS held FROM m GROUP BY person""")

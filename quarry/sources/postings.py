@@ -1,16 +1,18 @@
 """Readers of job-board payloads, each from JSON files that an ingestion agent has landed to one posting schema.
 
-A reader keeps no row limit of its own; choosing and capping are separate operators. Corrupt records give null fields, and rows without URL and title are dropped.
+A reader keeps no row limit of its own; choosing and capping are separate operators. Files that can't be read give no rows, and rows without URL and title are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, years
+from ..operators.sequence import interleaved
 from .urls import canonical_job_view
 
 POSTING = "title string, company string, location string, description string, source string, url string, posted timestamp, experience_years int"
@@ -69,10 +71,15 @@ def shown(places: Column) -> Column:
     return F.concat(F.array_join(F.slice(places, 1, SHOWN_PLACES), ", "), F.when(F.size(places) > SHOWN_PLACES, ", ...").otherwise(""))
 
 
+def _landed(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The records of JSON files. Files that can't be read or parsed give none; `broken` lists them."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(path)
+
+
 def remoteok(spark: SparkSession, path: str, now: Column) -> DataFrame:
     """A JSON array whose first element is a legal notice."""
     schema = "legal string, position string, company string, location string, description string, tags array<string>, url string, apply_url string, epoch string, date string, salary_min long, salary_max long"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).where("legal IS NULL")
+    rows = _landed(spark, schema, path).where("legal IS NULL")
     salary = F.when(F.col("salary_min") > 0, F.concat(F.lit("$"), F.format_number("salary_min", 0), F.lit(" - $"), F.format_number("salary_max", 0)))
     body = with_lines(F.col("description"), Tags=F.array_join("tags", ", "), Salary=salary)
     place = F.coalesce(text.blank_to_null(F.col("location")), F.lit("Remote"))
@@ -83,7 +90,7 @@ def muse(spark: SparkSession, path: str, now: Column, wanted: tuple[str, ...] =
     """Postings of the payload; with `wanted` only those that list one of these places by its exact name."""
     name = "array<struct<name:string>>"
     schema = f"results array<struct<name:string,contents:string,publication_date:string,locations:{name},levels:{name},refs:struct<landing_page:string>,company:struct<name:string>>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("results"))
+    r = _landed(spark, schema, path).select(F.inline("results"))
     if wanted:
         r = r.where(F.arrays_overlap("locations.name", F.array(*map(F.lit, wanted))))
     places = F.array_join(F.slice("locations.name", 1, SHOWN_PLACES), "; ")
@@ -93,7 +100,7 @@ def muse(spark: SparkSession, path: str, now: Column, wanted: tuple[str, ...] =
 
 def arbeitnow(spark: SparkSession, path: str, now: Column) -> DataFrame:
     schema = "data array<struct<title:string,company_name:string,description:string,remote:boolean,url:string,tags array<string>,location:string,created_at:long>>".replace("tags array", "tags:array")
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("data"))
+    r = _landed(spark, schema, path).select(F.inline("data"))
     place = F.concat("location", F.when(F.col("remote"), " (Remote)").otherwise(""))
     url = F.regexp_replace("url", r"^https?://(?:www\.)?arbeitnow\.[a-z]+/", "https://www.arbeitnow.com/")
     return normalized(_fields(r, title=F.col("title"), company=F.col("company_name"), location=place, description=with_lines(F.col("description"), Tags=F.array_join("tags", ", ")), url=url, posted=F.col("created_at")), "arbeitnow", now)
@@ -105,13 +112,13 @@ def company_of(slug: Column) -> Column:
 
 def greenhouse(spark: SparkSession, path: str, now: Column, board: str) -> DataFrame:
     schema = "jobs array<struct<title:string,company_name:string,absolute_url:string,location:struct<name:string>,first_published:string,updated_at:string,content:string>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("jobs"))
+    r = _landed(spark, schema, path).select(F.inline("jobs"))
     return normalized(_fields(r, title=F.col("title"), company=F.coalesce(text.blank_to_null(F.col("company_name")), company_of(F.lit(board))), location=F.col("location.name"), description=text.unescape(F.col("content")), url=F.col("absolute_url"), posted=first_of(F.col("first_published"), F.col("updated_at"))), "greenhouse", now)
 
 
 def lever(spark: SparkSession, path: str, now: Column, board: str) -> DataFrame:
     schema = "text string, hostedUrl string, applyUrl string, createdAt long, workplaceType string, descriptionPlain string, additionalPlain string, categories struct<location:string,allLocations:array<string>>, lists array<struct<text:string,content:string>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path)
+    r = _landed(spark, schema, path)
     lists = F.array_join(F.transform("lists", lambda x: F.concat_ws("\n", x["text"], x["content"])), "\n")
     places = F.coalesce(F.nullif(F.array_join(F.slice("categories.allLocations", 1, SHOWN_PLACES), "; "), F.lit("")), F.col("categories.location"))
     place = F.concat(F.coalesce(places, F.lit("")), F.when(F.lower("workplaceType") == "remote", " (Remote)").otherwise(""))
@@ -120,7 +127,7 @@ def lever(spark: SparkSession, path: str, now: Column, board: str) -> DataFrame:
 
 def himalayas(spark: SparkSession, path: str, now: Column) -> DataFrame:
     schema = "jobs array<struct<title:string,companyName:string,locationRestrictions:array<string>,seniority:array<string>,description:string,pubDate:string,applicationLink:string,guid:string>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("jobs"))
+    r = _landed(spark, schema, path).select(F.inline("jobs"))
     places = F.col("locationRestrictions")
     place = F.concat(F.lit("Remote ("), F.when(F.coalesce(F.size(places), F.lit(0)) < 1, "worldwide").otherwise(shown(places)), F.lit(")"))
     body = with_lines(F.col("description"), Seniority=F.array_join("seniority", ", "))
@@ -134,7 +141,7 @@ PLACE, MONEY = r"(?i)\b(remote|onsite|on-site|hybrid|usa?|uk|eu|europe|germany|b
 def latest_hiring_story(spark: SparkSession, path: str) -> DataFrame:
     """id, title, created_at_i of the newest story whose title asks who is hiring; no row if there is none."""
     schema = "hits array<struct<objectID:string,story_id:long,title:string,created_at_i:long>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("hits")).where(F.col("title").rlike(r"(?i)who\s+is\s+hiring"))
+    r = _landed(spark, schema, path).select(F.inline("hits")).where(F.col("title").rlike(r"(?i)who\s+is\s+hiring"))
     r = r.select(F.coalesce("objectID", F.col("story_id").cast("string")).alias("id"), "title", "created_at_i")
     return r.agg(F.max_by(F.struct("*"), F.struct("created_at_i", "id")).alias("r")).where("r IS NOT NULL").select("r.*")
 
@@ -142,7 +149,7 @@ def latest_hiring_story(spark: SparkSession, path: str) -> DataFrame:
 def hiring_comments(spark: SparkSession, path: str, now: Column, story: str | None = None) -> DataFrame:
     """Top-level comments of a hiring thread, whose first paragraph is `Company | Role | Location`. Job seekers and replies are left out."""
     schema = "hits array<struct<objectID:string,parent_id:long,story_id:long,comment_text:string,created_at_i:long>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("hits")).where("comment_text IS NOT NULL")
+    r = _landed(spark, schema, path).select(F.inline("hits")).where("comment_text IS NOT NULL")
     r = r.where(F.col("parent_id").cast("string") == story) if story else r.where("parent_id = story_id OR story_id IS NULL")
     clean = text.strip_html(text.unescape(F.col("comment_text")))
     header = text.one_line(text.strip_html(text.unescape(F.split("comment_text", "<p>")[0])), 400)
@@ -184,6 +191,39 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 READERS: dict[str, Callable] = {"remoteok": remoteok, "hn": hiring_comments, "muse": muse, "arbeitnow": arbeitnow, "greenhouse": greenhouse, "lever": lever, "himalayas": himalayas}
 
 
+def broken(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """source, file, reason of each landed file that a source's reader gets nothing from, as its bytes aren't JSON. A source without files has one row without a file; a file without bytes holds nothing
+    and isn't listed."""
+    out = spark.createDataFrame([], "source string, file string, reason string")
+    for source, path in paths.items():
+        try:
+            files = spark.read.format("binaryFile").load(path)
+        except AnalysisException:  # no such path
+            out = out.unionByName(spark.createDataFrame([(source, None, "no file")], out.schema))
+            continue
+        text = F.col("content").cast("string")
+        reason = F.when(~F.coalesce(F.is_valid_utf8(text), F.lit(False)), "not text").when(F.try_parse_json(text).isNull(), "not JSON")
+        out = out.unionByName(files.select(F.lit(source).alias("source"), F.element_at(F.split("path", "/"), -1).alias("file"), reason.alias("reason")).where("reason IS NOT NULL"))
+    return out
+
+
+def fan_out(spark: SparkSession, paths: dict[str, str], now: Column, cap: int | None = None, boards: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings of all sources (name of a reader -> path, which may be a pattern), in turns by source, and what failed (source, file, reason). A file or source that fails leaves all others whole.
+
+    With a cap, the feature of a search session, each source gives at most so many postings, its newest, before turns are taken. `boards` names the company of sources that are one company's board."""
+    failed, frames = broken(spark, paths), {}
+    missing = {r["source"] for r in failed.where("file IS NULL").collect()}  # a row for each source at most
+    for source, path in paths.items():
+        if source not in missing:
+            frames[source] = READERS[source](spark, path, now, *([boards[source]] if source in (boards or {}) else []))
+    if not frames:
+        return spark.createDataFrame([], "source string, turn int"), failed
+    every = union_of(frames)
+    newest = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("posted"), "url", "title"))
+    ranked = every.withColumn("place_", newest).where(F.col("place_") <= cap) if cap is not None else every.withColumn("place_", -F.coalesce(F.unix_micros("posted"), F.lit(0)))
+    return interleaved(ranked, "source", "place_").drop("place_"), failed
+
+
 def union_of(frames: dict[str, DataFrame]) -> DataFrame:
     """All sources in one table; what a source lacks is null."""
     out = None

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import skills
-from quarry.operators import latent, matching, vectors
+from quarry.operators import evaluation, latent, matching, vectors
 from quarry.scratch import numbered
 
 NOW = dt.datetime(2024, 6, 30, tzinfo=dt.timezone.utc)
@@ -194,3 +194,27 @@ def test_scores_take_the_latent_share(spark):
     scored = {r.id: r.scores.semantic for r in matching.score_postings(spark.createDataFrame(rows, POSTING), profile, F.lit(NOW)).collect()}
     both = [0.7 * a + 0.3 * b for a, b in zip(brute_cosines(texts, profile.whole, runs), dense_latent(texts, profile.whole, 100), strict=True)]
     assert [scored[k] for k in range(30)] == pytest.approx([max(0, min(100, (x - 0.05) / 0.5 * 100)) for x in both], abs=0.06)
+
+
+def test_evaluation_grid(spark):
+    """Every mix, with and without the place, against plain Python."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice([0, 0, 1, 2]), *(rng.choice([None, 0.0, 20.0, 55.0, 90.0]) for _ in range(4)), rng.choice([None, 0.0, 70.0, 100.0])) for k in range(60)]
+    schema = "id long, label int, ats double, experience double, semantic double, freshness double, location_score double"
+    frame = spark.createDataFrame(rows, schema)
+    got = {(r.mix, r.placed): r for r in evaluation.grid(frame).collect()}
+    assert len(got) == 2 * len(evaluation.MIXES)
+    for (name, placed), r in got.items():
+        weights = evaluation.MIXES[name]
+        if weights is None:
+            continue
+        total = lambda x: sum(weights.get(p, 0.0) / sum(weights.values()) * (v or 0.0) for p, v in zip(evaluation.PARTS, x[2:6], strict=True)) * (1.0 if not placed or x[6] is None else 0.4 + 0.6 * x[6] / 100)  # noqa: B023, E731
+        labels = [x[1] for x in sorted(rows, key=lambda x: (-round(total(x), 9), x[0]))]
+        gain = lambda found: sum((2**x - 1) / math.log2(k + 2) for k, x in enumerate(found[:10]))
+        share = lambda k, least: sum(x >= least for x in labels[:k]) / k  # noqa: B023, E731
+        assert (r.n, r.good, r.partial) == (60, labels.count(2), labels.count(1))
+        assert (r.p_at_5, r.p_at_5_good, r.p_at_10) == pytest.approx((share(5, 1), share(5, 2), share(10, 1)))
+        assert r.ndcg_at_10 == pytest.approx(gain(labels) / gain(sorted(labels, reverse=True)))
+    assert evaluation.grid(frame.limit(0)).collect() == []
+    bad = evaluation.grid(frame.withColumn("label", F.lit(0))).collect()
+    assert {r.ndcg_at_10 for r in bad} == {0.0}

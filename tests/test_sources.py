@@ -134,3 +134,23 @@ def test_union_of(spark):
 @pytest.mark.parametrize("name", sorted(postings.READERS))
 def test_readers_have_one_schema(name):
     assert callable(postings.READERS[name])
+
+
+def test_sources_fail_alone(spark, tmp_path):
+    """Files that aren't JSON, are cut off, empty or no text, and a source without any, leave all other files and sources whole."""
+    fine = {"results": [{"name": f"Eng {k}", "contents": "x", "publication_date": f"2024-06-{k + 1:02d}T00:00:00Z", "refs": {"landing_page": f"https://m/{k}"}, "company": {"name": "M"}} for k in range(6)]}
+    him = {"jobs": [{"title": f"T{k}", "companyName": "H", "pubDate": "1719600000", "guid": f"https://h/{k}"} for k in range(3)]}
+    green = {"jobs": [{"title": "G", "absolute_url": "https://g/1", "content": "c"}]}
+    for folder in ("muse", "himalayas", "greenhouse", "lever", "remoteok"):
+        (tmp_path / folder).mkdir()
+    for name, content in {"muse/a.json": json.dumps(fine), "muse/b.json": json.dumps(fine)[:-9], "muse/c.json": "", "himalayas/a.json": json.dumps(him), "greenhouse/a.json": json.dumps(green), "lever/a.json": "<html>", "remoteok/a.json": b"\xff\xfe\x00bad"}.items():
+        (tmp_path / name).write_bytes(content if isinstance(content, bytes) else content.encode())
+    paths = {k: f"{tmp_path}/{k}/*.json" for k in ("muse", "himalayas", "greenhouse", "lever", "remoteok", "arbeitnow")}
+    got, failed = postings.fan_out(spark, paths, F.lit(NOW), boards={"greenhouse": "acme", "lever": "acme"})
+    counts = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert counts == {"muse": 6, "himalayas": 3, "greenhouse": 1}
+    assert {(r.source, r.file, r.reason) for r in failed.collect()} == {("muse", "b.json", "not JSON"), ("lever", "a.json", "not JSON"), ("remoteok", "a.json", "not text"), ("arbeitnow", None, "no file")}
+    few, _ = postings.fan_out(spark, paths, F.lit(NOW), cap=2, boards={"greenhouse": "acme", "lever": "acme"})
+    assert {(r.source, r.turn, r.title) for r in few.where("source = 'muse'").collect()} == {("muse", 1, "Eng 5"), ("muse", 2, "Eng 4")} and few.count() == 5
+    none, failed = postings.fan_out(spark, {"muse": f"{tmp_path}/nowhere/*.json"}, F.lit(NOW))
+    assert none.count() == 0 and failed.first().reason == "no file"
