@@ -35,7 +35,7 @@ def posted_date(c: Column, now: Column) -> Column:
     ago = F.when(low.rlike(r"\bago\b|\d\+"), now - F.make_dt_interval(F.lit(0), hours.cast("int")))
     today = F.when(low.isin("today", "just now", "just posted"), now).when(low == "yesterday", now - F.make_dt_interval(F.lit(1)))
     shapes = [F.try_to_timestamp(low, F.lit(f)) for f in ("MMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy", "dd.MM.yyyy")]
-    return F.coalesce(low.try_cast("timestamp"), epoch, today, ago, *shapes)
+    return F.coalesce(F.upper(low).try_cast("timestamp"), epoch, today, ago, *shapes)
 
 
 def normalized(raw: DataFrame, source: str, now: Column) -> DataFrame:

@@ -154,3 +154,5 @@ def test_sources_fail_alone(spark, tmp_path):
     assert {(r.source, r.turn, r.title) for r in few.where("source = 'muse'").collect()} == {("muse", 1, "Eng 5"), ("muse", 2, "Eng 4")} and few.count() == 5
     none, failed = postings.fan_out(spark, {"muse": f"{tmp_path}/nowhere/*.json"}, F.lit(NOW))
     assert none.count() == 0 and failed.first().reason == "no file"
+    dates = spark.createDataFrame([("2024-06-01T10:00:00Z",), ("2024-06-01",), ("jun 1, 2024",), ("nothing",)], "d string").select(postings.posted_date(F.col("d"), F.lit(NOW)).cast("date").cast("string").alias("d"))
+    assert [r.d for r in dates.collect()] == ["2024-06-01"] * 3 + [None]
