@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept, numbered
+from ..scratch import dropped, kept, numbered
 from . import vectors
 
 #: Candidates of a profile that its first look takes, by the terms that add most; rounding that bounds are relaxed by.
 FIRST_LOOK, SLACK = 50, 1e-9
 
 
-def _scores(pairs: DataFrame, weighed: DataFrame, own: DataFrame) -> DataFrame:
-    """profile, row, score of the pairs (profile, row), over all terms that both hold."""
-    met = pairs.join(weighed, "row").join(own.select("profile", "term", "pw"), ["profile", "term"])
-    return met.groupBy("profile", "row").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
+def _scores(pairs: DataFrame, lists: DataFrame, own: DataFrame) -> DataFrame:
+    """profile, row, id, score of the pairs (profile, row), over all terms that both hold."""
+    met = pairs.join(lists, "row").join(own.select("profile", "term", "pw"), ["profile", "term"])
+    return met.groupBy("profile", "row", "id").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
 
 
 def _best(scores: DataFrame, most: int) -> DataFrame:
@@ -35,27 +35,31 @@ def top_documents(docs: DataFrame, id_: str, profiles: DataFrame, profile_id: st
     Null and empty texts are near to nothing; each row of docs is a document of its own and each row of profiles a profile of its own, under whatever id; empty tables give no rows. `counts`, if given, is filled with the numbers of
     pairs that were looked at."""
     c = F.col
-    ordered = docs.select(c(id_).cast("long").alias("id"), "text").sortWithinPartitions("id")
-    rows = numbered(ordered)
-    weighed = kept(vectors.weights(rows.select("row", "text"), "row", terms_of(c("text"))).select(c("id").alias("row"), "term", "w"))
-    n = rows.count()
-    df = weighed.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top"))
+    rows = docs.select(c(id_).cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("row"))
+    tf = vectors.counted(rows, ["row", "id"], terms_of(c("text")))
+    n, df = docs.count(), vectors.frequencies(tf)
+    raw = vectors.weight(c("tf"), c("df"), n)
+    lengths = kept(vectors.with_frequencies(tf.where("term IS NOT NULL"), df).groupBy("row").agg(F.sqrt(F.sum(raw * raw)).alias("length")))
     people = numbered(profiles.select(c(profile_id).cast("long").alias("profile_id"), "text"), "profile")
     told = vectors.counted(people.select("profile", "text"), ["profile"], terms_of(c("text"))).where("term IS NOT NULL")
-    own = told.join(df, "term").select("profile", "term", "df", "top", vectors.weight(c("tf"), c("df"), n).alias("raw"))
+    # of the documents' terms only those that some profile holds go on
+    asked = kept(told.select("term").distinct().join(df, "term"))
+    lists = tf.join(asked, "term").select("row", "id", "term", raw.alias("raw")).join(lengths, "row")
+    lists = kept(lists.select("row", "id", "term", (c("raw") / c("length")).alias("w")))
+    dropped(tf)
+    own = told.join(asked, "term").join(lists.groupBy("term").agg(F.max("w").alias("top")), "term").select("profile", "term", "df", "top", raw.alias("raw"))
     length = F.sqrt(F.sum(c("raw") * c("raw")).over(Window.partitionBy("profile")))
     # how much a term can add, and all from it on
     own = own.withColumn("pw", c("raw") / length).withColumn("most", c("pw") * c("top"))
     order = Window.partitionBy("profile").orderBy(F.desc("most"), "term")
     own = own.withColumn("k", F.row_number().over(order)).withColumn("rest", F.sum("most").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     own = kept(own)
-    lists = weighed.select("row", "term", "w")
     # a first look: the shortest prefix of terms whose lists hold enough documents gives a floor for the last place
     enough = Window.partitionBy("profile").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     looked = own.withColumn("before", F.coalesce(F.sum("df").over(enough), F.lit(0))).where(c("before") < FIRST_LOOK * most).select("profile", "term", "pw")
     partly = lists.join(looked, "term").groupBy("profile", "row").agg(F.sum(c("w") * c("pw")).alias("score"))
     tried = kept(_best(partly, most).select("profile", "row"))
-    floor = _best(_scores(tried, weighed, own), most).groupBy("profile").agg(F.when(F.count("*") == most, F.min("score")).alias("floor"))
+    floor = _best(_scores(tried, lists, own), most).groupBy("profile").agg(F.when(F.count("*") == most, F.min("score")).alias("floor"))
     floor = kept(own.select("profile").distinct().join(floor, "profile", "left").select("profile", F.coalesce("floor", F.lit(0.0)).alias("floor")))
     # every document that can reach the floor holds a term that is needed for it
     needed = own.join(floor, "profile").where(c("rest") >= c("floor") - SLACK).select("profile", "term", "pw")
@@ -65,7 +69,7 @@ def top_documents(docs: DataFrame, id_: str, profiles: DataFrame, profile_id: st
     open_ = kept(found.join(bounds, "profile").where(c("part") + c("after") >= c("floor") - SLACK).select("profile", "row"))
     if counts is not None:
         counts.update(joined=lists.join(needed, "term").count(), scored=open_.count(), pairs=n * people.count())
-    scores = _scores(open_, weighed, own).join(rows.select("row", "id"), "row")
+    scores = _scores(open_, lists, own)
     place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc(F.round("score", 9)), "id", "row"))
     best = scores.withColumn("place", place).where(c("place") <= most)
     return best.join(people.select("profile", "profile_id"), "profile").select(c("profile_id").alias("profile"), "place", "id", c("score").alias("cosine"))
