@@ -156,3 +156,14 @@ def test_sources_fail_alone(spark, tmp_path):
     assert none.count() == 0 and failed.first().reason == "no file"
     dates = spark.createDataFrame([("2024-06-01T10:00:00Z",), ("2024-06-01",), ("jun 1, 2024",), ("nothing",)], "d string").select(postings.posted_date(F.col("d"), F.lit(NOW)).cast("date").cast("string").alias("d"))
     assert [r.d for r in dates.collect()] == ["2024-06-01"] * 3 + [None]
+
+
+def test_unknown_skills_of_a_list(spark):
+    """Items of the section stay in order, labels are no skills, and neither are sentences."""
+    listed = "Programming Languages: Java, python, Zig\n- Tools & Platforms: Qdrant / Foo Bar | Docker\n* Languages, misc; Basel\nI wrote a long sentence about many things here\n(Ray) , x, 42, Java."
+    row = spark.range(1).select(resumes.skill_list(F.lit(listed), F.lit("Kafka and java and Zig")).alias("s")).first()
+    assert row.s == ["Java", "Python", "Docker", "Kafka", "Zig", "Qdrant", "Foo Bar", "Basel", "Ray"]
+    text = "Jane Doe\njane@x.com\n\nA builder of data systems who has for many years cared about plain code and about careful measurements.\n\nSkills\nTools: Zig, Java\n\nEducation\nB.Sc."
+    frame = spark.createDataFrame([(1, text), (2, None)], "id long, raw_text string")
+    got = {r.id: r for r in resumes.parse(frame, (2024, 6)).collect()}
+    assert got[1].skills == ["Java", "Zig"] and got[1].summary.startswith("A builder") and got[2].skills == []
