@@ -15,6 +15,8 @@ from . import latent, ranking, vectors
 
 #: The range of character-run cosines that counts as 0 to 100, and languages to suggest searches for, in this order.
 SIMILAR = (0.05, 0.55)
+#: The range of mean chunk cosines that counts as 0 to 100.
+EMBEDDED = (0.20, 0.60)
 LANGUAGES = ("Java", "Python", "JavaScript", "TypeScript", "Go", "Kotlin", "C#", "C++", "Ruby", "PHP", "Rust", "Scala", "Swift", "Dart")
 
 
@@ -81,10 +83,10 @@ def similarity(run_cosine: Column, latent_cosine: Column) -> Column:
     return 100 * scoring.rescale(F.coalesce(both, run_cosine), *SIMILAR)
 
 
-def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabulary: Mapping[str, skills.Alias] | None = None, components: int = latent.COMPONENTS) -> DataFrame:
+def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabulary: Mapping[str, skills.Alias] | None = None, components: int = latent.COMPONENTS, chunks: DataFrame | None = None, own_chunks: DataFrame | None = None) -> DataFrame:
     """The rows of postings (id, title, company, location, description, source, posted, years) with text and scores. Keywords are weighed as words and pairs, similarity as character runs and, from latent.LEAST documents on,
     in a latent space of words, each in one corpus of the profile and all postings; a text without a letter or digit scores 0 in both. Nulls are empty, each row is scored for itself whatever its id, an empty table gives no
-    rows."""
+    rows. With embeddings of the chunks of postings (id, embedding) and of the profile (embedding), these give the similarity, and a posting without chunks has none."""
     spark = postings.sparkSession
     c = F.col
     # texts are written once; all parts start from there and meet again by the row's number
@@ -92,14 +94,19 @@ def score_postings(postings: DataFrame, profile: Profile, now: Column, vocabular
     one = spark.createDataFrame([(profile.whole,)], "text string")
     texts = rows.select(c("_row").alias("row"), "text")
     words = vectors.cosines(texts, "row", one, lambda t: vectors.grams(vectors.tokens(t))).select(c("id").alias("_row"), c("cosine").alias("word_cosine"))
-    runs = vectors.cosines(texts, "row", one, vectors.char_grams).select(c("id").alias("_row"), c("cosine").alias("run_cosine"))
-    topics = latent.with_profile(texts, one, components=components).select(c("row").alias("_row"), "latent")
-    figures = kept(words.join(runs, "_row").join(topics, "_row", "left"))
+    if chunks is not None and own_chunks is not None:
+        near = vectors.best_chunk_mean(chunks.select(c("id").alias("job"), "embedding"), own_chunks).select(c("job").alias("id"), "similarity")
+        near = rows.select("_row", "id").join(near, "id", "left").select("_row", (100 * scoring.rescale(F.coalesce("similarity", F.lit(0.0)), *EMBEDDED)).alias("close"))
+    else:
+        runs = vectors.cosines(texts, "row", one, vectors.char_grams).select(c("id").alias("_row"), c("cosine").alias("run_cosine"))
+        topics = latent.with_profile(texts, one, components=components).select(c("row").alias("_row"), "latent")
+        near = runs.join(topics, "_row", "left").select("_row", similarity(c("run_cosine"), c("latent")).alias("close"))
+    figures = kept(words.join(near, "_row"))
     held = F.array(*map(F.lit, dict.fromkeys([*_held(one, vocabulary), *profile.extra_skills]))).cast("array<string>")
     facts = rows.join(figures, "_row").withColumns({"held": held, "named": skills.named(c("text"), vocabulary), "in_title": skills.named(c("title"), vocabulary)})
     facts = facts.withColumns({"asked_years": required_years(c("years"), c("title"), c("text")), "place": location.fit(c("title"), c("location"), c("description"), c("source"), profile.home, profile.cities)})
     raw = F.when(has_text(c("text")) & F.lit(bool(re.search("[A-Za-z0-9]", profile.whole))), scoring.clamp(c("word_cosine"), 0.0, 1.0)).otherwise(0.0)
-    close = F.when(has_text(c("text")), similarity(c("run_cosine"), c("latent"))).otherwise(0.0)
+    close = F.when(has_text(c("text")), c("close")).otherwise(0.0)
     covered = scoring.coverage(c("held"), c("named"))
     lacking = F.filter("in_title", lambda s: ~F.array_contains(skills.lower_all(c("held")), F.lower(s)))
     have_years = F.lit(float(profile.years))

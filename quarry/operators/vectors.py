@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,23 +98,49 @@ def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFram
     return tf.select("row", "id").distinct().join(sums, "row", "left").select("id", found.alias("cosine"))
 
 
-#: Chunks of a profile that a row meets at once.
-BLOCK = 256
+#: Chunks of profiles, and of documents, in a block: a product of two blocks is one task's smallest piece of work.
+BLOCK, ROWS = 256, 2_048
+
+
+def _products(pairs: DataFrame, schema: str) -> DataFrame:
+    """profile, of, job, best: for each chunk of a block of documents the best cosine with any chunk of each profile in a block of profiles, as products of matrices. Vectors without length are near to nothing."""
+
+    def unit(vectors: pa.Array) -> np.ndarray:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, chunks in zip(batch["rows"], batch["chunks"], strict=True):
+                left, right = rows.values, chunks.values
+                profiles = right.field("profile").dictionary_encode()
+                codes = profiles.indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                best = np.maximum.reduceat((unit(left.field("embedding")) @ unit(right.field("embedding")).T)[:, order], starts, axis=1)
+                each = pa.array(np.repeat(np.arange(len(left)), len(starts)))
+                yield pa.record_batch([profiles.dictionary.take(pa.array(np.tile(np.arange(len(starts)), len(left)))), left.field("of").take(each), left.field("job").take(each), pa.array(best.ravel())], ["profile", "of", "job", "best"])
 
+    return pairs.select("rows", "chunks").mapInArrow(run, schema)
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def best_chunk_means(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """profile, job, similarity of tables (job, embedding) and (profile, embedding), with embeddings of one length: of each chunk of a job, the best cosine with any chunk of the profile, averaged over the job. Chunks of both sides
+    are put into blocks, and each block of jobs meets each block of profiles once.
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    Rows with a null embedding are left out; repeated chunks count as often as they come; a table without chunks gives no rows."""
+    jobs, profiles = jobs.where("embedding IS NOT NULL").select("job", "embedding"), profiles.where("embedding IS NOT NULL").select("profile", "embedding")
+    wide, high = (max(1, -(-t.count() // n)) for t, n in ((profiles, BLOCK), (jobs, ROWS)))
+    dealt = lambda n: F.pmod(F.xxhash64("embedding", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    right = profiles.withColumn("j", dealt(wide)).groupBy("j").agg(F.collect_list(F.struct("profile", "embedding")).alias("chunks"))  # about BLOCK of them
+    left = jobs.withColumn("of", F.monotonically_increasing_id()).withColumn("i", dealt(high)).groupBy("i").agg(F.collect_list(F.struct("of", "job", "embedding")).alias("rows"))  # about ROWS
+    pairs = left.select("rows", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("j")).join(right, "j")
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((profiles, "profile"), (jobs, "job"))}
+    met = _products(pairs, f"profile {kinds['profile']}, of long, job {kinds['job']}, best double")
+    return met.groupBy("profile", "of", "job").agg(F.max("best").alias("best")).groupBy("profile", "job").agg(F.avg("best").alias("similarity"))
 
 
 def best_chunk_mean(jobs: DataFrame, profile: DataFrame) -> DataFrame:
-    """job, similarity: of each chunk of a job, the best cosine with any chunk of the one profile, averaged over the job. The profile's chunks are a query set, which every chunk of a job meets in blocks of about BLOCK."""
-    blocks = max(1, -(-profile.count() // BLOCK))
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
-    chunks = profile.select(unit(F.col("embedding")).alias("unit")).groupBy(F.pmod(F.xxhash64("unit"), F.lit(blocks)).alias("block")).agg(F.collect_list("unit").alias("chunks"))
-    own = jobs.select("job", F.monotonically_increasing_id().alias("of"), unit(F.col("embedding")).alias("unit"))
-    met = own.crossJoin(chunks).select("job", "of", F.array_max(F.transform("chunks", lambda c: dot(F.col("unit"), c))).alias("best"))
-    return met.groupBy("job", "of").agg(F.max("best").alias("best")).groupBy("job").agg(F.avg("best").alias("similarity"))
+    """job, similarity: best_chunk_means for the one profile whose chunks are given (embedding)."""
+    return best_chunk_means(jobs, profile.select(F.lit(0).alias("profile"), "embedding")).drop("profile")

@@ -218,3 +218,25 @@ def test_evaluation_grid(spark):
     assert evaluation.grid(frame.limit(0)).collect() == []
     bad = evaluation.grid(frame.withColumn("label", F.lit(0))).collect()
     assert {r.ndcg_at_10 for r in bad} == {0.0}
+
+
+def test_embeddings_in_blocks(spark, monkeypatch):
+    """Many profiles against many jobs, in small blocks, against all pairs; and the similarity that scores take from them."""
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    rng = np.random.default_rng(1)
+    chunk = lambda: [float(x) for x in rng.normal(size=4).astype(np.float32)]
+    jobs = [(f"j{k % 9}", chunk()) for k in range(40)] + [("j0", None), ("zero", [0.0] * 4)]
+    profiles = [(k % 5, chunk()) for k in range(16)]
+    got = {(r.profile, r.job): r.similarity for r in vectors.best_chunk_means(spark.createDataFrame(jobs, "job string, embedding array<float>"), spark.createDataFrame(profiles, "profile long, embedding array<float>")).collect()}
+    cosine = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1.0))
+    for p in range(5):
+        for j in {j for j, _ in jobs}:
+            own = [max(cosine(x, y) for q, y in profiles if q == p) for i, x in jobs if i == j and x]
+            assert got.pop((p, j)) == pytest.approx(sum(own) / len(own), abs=1e-9)
+    assert not got
+    some, none = spark.createDataFrame(jobs, "job string, embedding array<float>"), spark.createDataFrame([], "profile long, embedding array<float>")
+    assert vectors.best_chunk_means(some, none).collect() == [] and vectors.best_chunk_means(some.limit(0), none).collect() == []
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.6, 0.8]), (5, [0.4, 0.9165151])], "id long, embedding array<float>")
+    scored = {r.id: r.scores.semantic for r in matching.score_postings(spark.createDataFrame(ROWS, POSTING), PROFILE, F.lit(NOW), chunks=chunks, own_chunks=spark.createDataFrame([([1.0, 0.0],)], "embedding array<float>")).collect()}
+    assert scored == pytest.approx({1: 100.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 50.0}, abs=0.1)
