@@ -92,8 +92,11 @@ def stated_years(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).select("id", years.stated_years(F.col("description")).alias("stated"))
 
 
-@query(with_postings("""SELECT id, CASE WHEN location LIKE '%Germany' THEN 'local' WHEN location = 'Remote, Europe' THEN 'remote_open' WHEN location = 'Remote' THEN 'remote'
-  WHEN source = 'remoteok' AND location <> '' THEN 'restricted' WHEN source = 'remoteok' THEN 'remote' WHEN location = '' THEN 'unknown' ELSE 'elsewhere' END AS place FROM postings"""))
+VERDICT = """CASE WHEN location LIKE '%Germany' THEN 'local' WHEN location = 'Remote, Europe' THEN 'remote_open' WHEN location = 'Remote' THEN 'remote'
+  WHEN source = 'remoteok' AND location <> '' THEN 'restricted' WHEN source = 'remoteok' THEN 'remote' WHEN location = '' THEN 'unknown' ELSE 'elsewhere' END"""
+
+
+@query(with_postings(f"SELECT id, {VERDICT} AS place FROM postings"))
 def location_verdicts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return spread(postings(spark, d)).select("id", location.fit(c("title"), c("location"), c("description"), c("source"), "Germany")["status"].alias("place"))
@@ -303,6 +306,28 @@ def filtered_matches(spark: SparkSession, d: str) -> DataFrame:
     return s.where(ranking.match_filter("developer", min_score=25, max_years=8)).select("match_id")
 
 
+SAID = "CASE WHEN description LIKE '%java and kafka%' THEN ['Java', 'Kafka'] WHEN description LIKE '%python and sql%' THEN ['Python', 'SQL'] WHEN description LIKE '%sql and excel%' THEN ['SQL'] ELSE ['Kubernetes', 'Docker', 'Java'] END"
+HAY = "lower(concat_ws(' ', title, company, location, array_to_string(names, ' ')))"
+
+
+@query(SCORED + f", v AS (SELECT id, {SAID} AS names, {VERDICT} AS place FROM postings) SELECT match_id FROM scored JOIN v ON v.id = job_id WHERE coalesce(total, 0) >= 10 AND contains({HAY}, 'docker') AND contains({HAY}, 'developer') AND place NOT IN ('restricted', 'elsewhere') AND status <> 'hidden'")
+def takeable_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches whose posting names a skill in its text and a word in its title, in a place that one may work from."""
+    c = F.col
+    place = location.fit(c("title"), c("location"), c("description"), c("source"), "Germany")["status"]
+    judged = postings(spark, d).select(c("id").alias("job_id"), skills.named(c("description")).alias("required"), place.alias("place"))
+    return scored(spark, d).join(judged, "job_id").where(ranking.match_filter("docker developer", min_score=10, takeable=True)).select("match_id")
+
+
+@query(with_postings(f""", n AS (SELECT id, {SAID} AS names FROM postings), g AS (SELECT list_filter(names, lambda s: NOT list_contains({HAVE}, lower(s))) AS missing FROM matches JOIN n ON n.id = job_id)
+  SELECT skill, count(*) AS jobs, CAST(sum(alone) AS BIGINT) AS closes FROM (SELECT unnest(missing) AS skill, CASE WHEN len(missing) = 1 THEN 1 ELSE 0 END AS alone FROM g) x GROUP BY skill"""))
+def text_skills_to_learn(spark: SparkSession, d: str) -> DataFrame:
+    """Skills that the texts of matched postings name and the profile lacks."""
+    named = postings(spark, d).select(F.col("id").alias("job_id"), skills.named(F.col("description")).alias("names"))
+    have = F.array(*map(F.lit, ("java", "SQL", "Docker", "python")))
+    return ranking.skills_to_learn(matches(spark, d).join(named, "job_id").select(skills.gap(F.col("names"), have).alias("gap")).select("gap.missing"))
+
+
 @query(SCORED + "SELECT match_id, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY CASE status WHEN 'saved' THEN 0 WHEN 'applied' THEN 1 ELSE 2 END, total DESC, match_id) AS INTEGER) AS place FROM scored WHERE status IN ('saved', 'applied', 'rejected')")
 def tracker_order(spark: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("status") == "saved", 0).when(F.col("status") == "applied", 1).otherwise(2)
@@ -498,7 +523,6 @@ def scored_postings(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "scores.total", "scores.band", "scores.ats", "scores.semantic", "scores.experience", "scores.freshness", "scores.location_status", "scores.required_years", F.array_join("scores.missing_title_skills", ",").alias("missing_title_skills"))
 
 
-SAID = "CASE WHEN description LIKE '%java and kafka%' THEN ['Java', 'Kafka'] WHEN description LIKE '%python and sql%' THEN ['Python', 'SQL'] WHEN description LIKE '%sql and excel%' THEN ['SQL'] ELSE ['Kubernetes', 'Docker', 'Java'] END"
 FILLER = ", ".join(f"'{w}'" for w in sorted(matching.FILLER))
 
 
