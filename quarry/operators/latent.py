@@ -65,12 +65,17 @@ def _product(table: DataFrame, basis: DataFrame, width: int, forth: bool) -> Dat
                 made = _times(r, t, w, right, int(r.max()) + 1) if forth else _times(t, r, w, right, batch["n"][k].as_py())
                 yield pa.record_batch([pa.array([batch["key"][k].as_py()], pa.int64()), pa.array([made.tobytes()], pa.binary())], ["key", "m"])
 
-    def add(parts: pa.Table) -> pa.Table:
-        found = [_matrix(m.as_py(), width) for m in parts["m"]]
-        total = np.zeros((max(map(len, found)), width))
-        for m in found:
-            total[: len(m)] += m
-        return pa.table({"key": parts["key"][:1].cast(pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros((0, width))
+        for batch in batches:  # a block's products come a batch at a time
+            key = batch["key"][:1].cast(pa.int64())
+            for raw in batch["m"]:
+                m = _matrix(raw.as_py(), width)
+                if len(m) > len(total):
+                    total = np.concatenate([total, np.zeros((len(m) - len(total), width))])
+                total[: len(m)] += m
+        if key is not None:
+            yield pa.record_batch([key, pa.array([total.tobytes()], pa.binary())], ["key", "m"])
 
     joined = table.join(basis.withColumnRenamed("key", here), here).select(F.col(key).cast("long").alias("key"), "r", "t", "w", "m", F.col("n") if not forth else F.lit(0).alias("n"))
     return kept(joined.mapInArrow(multiply, "key long, m binary").groupBy("key").applyInArrow(add, "key long, m binary"))
