@@ -30,7 +30,7 @@ BYTE_PATH = os.environ.get("BYTE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json"
 #: Before a space that follows a letter, a digit or a visible ASCII sign, and has a word behind it.
 CUT = re.compile(r"(?<=[!-~\w])(?= +[!-~\w])")
 #: Stretches that a task remembers; beyond it starts anew, so its memory stays bounded.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Pairs of at least this part of all linked pairs of documents, so at most so many, are broadcast with their counts; all others are joined by a shuffle, in which none is frequent.
 PARTS = 100_000
 
