@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,36 @@ def tokens(text: Column, stop: frozenset[str] = STOP) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it, also within functions of elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def grams(words: Column) -> Column:
     """Words, then neighbouring pairs."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat_ws(" ", F.element_at(words, k.cast("int")), F.element_at(words, (k + 1).cast("int"))))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+    pairs = lambda w: F.slice(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.size(w) - 1)
+    return bound(words, lambda w: F.when(F.size(w) > 1, F.concat(w, pairs(w))).otherwise(w))
+
+
+def runs(values: Column, one: Callable[[Column, Column], Column], key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """one(first, n) for each run of values of equal keys, once the values are in order: terms of a text counted within its row, whatever the number of rows in a task."""
+
+    def told(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (key(F.element_at(s, k)) != key(F.get(s, k - 2))))
+        each = lambda at: F.transform(at, lambda k, i: one(F.element_at(s, k), (F.coalesce(F.get(at, i + 1), F.size(s) + 1) - k).cast("long")))
+        return F.when(F.size(s) > 0, bound(starts, each))
+
+    return bound(F.sort_array(values), told)
+
+
+def of_one_id(docs: DataFrame, id_: str, terms: Column) -> DataFrame:
+    """id_, terms: one row for each id, with the terms of all rows under it. Only rows whose id comes again are brought together."""
+    rows = docs.select(id_, terms.alias("terms"))
+    again = docs.groupBy(F.col(id_).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if again.isEmpty():
+        return rows
+    same = F.col(id_).eqNullSafe(F.col("_id"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").groupBy(id_).agg(F.flatten(F.collect_list("terms")).alias("terms")))
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -44,8 +70,9 @@ PARTS = 100_000
 
 
 def counted(docs: DataFrame, keys: list[str], terms: Column) -> DataFrame:
-    """keys, term, tf of each row of docs, kept; the keys must tell rows apart. A row without terms has one null term. Rows are dealt before they are cut into terms, so counting needs no shuffle of terms."""
-    return kept(docs.repartition(*keys).select(*keys, F.explode_outer(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+    """keys, term, tf of each row of docs, kept. A row without terms has one null term. Terms are counted within their row, so a task holds the terms of one row at a time and nothing is shuffled."""
+    each = runs(terms, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))
+    return kept(docs.select(*keys, F.explode_outer(each).alias("_t")).select(*keys, "_t.term", "_t.tf"))
 
 
 def frequencies(tf: DataFrame) -> DataFrame:
@@ -67,7 +94,7 @@ def weight(tf: Column, df: Column, n: int) -> Column:
 
 def weights(docs: DataFrame, id_: str, terms: Column, unit: bool = True) -> DataFrame:
     """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Rows under one id are one document."""
-    tf = counted(docs.withColumnRenamed(id_, "id"), ["id"], terms)
+    tf = counted(of_one_id(docs, id_, terms).withColumnRenamed(id_, "id"), ["id"], F.col("terms"))
     weighed = with_frequencies(tf, frequencies(tf)).select("id", "term", weight(F.col("tf"), F.col("df"), docs.count()).alias("raw"))
     if not unit:
         return weighed.withColumnRenamed("raw", "w")
