@@ -138,3 +138,10 @@ def test_learn_first_and_draftable(spark):
     assert [tuple(r) for r in views.learn_first(rows).collect()] == [("c", 2, 1), ("d", 1, 0)]
     m = spark.createDataFrame([(1, "new", 90.0), (2, "saved", 10.0), (3, "applied", 50.0), (4, "saved", None)], "match_id long, status string, total double")
     assert [r.match_id for r in views.draftable(m, 3).orderBy("place").collect()] == [2, 3, 1]
+
+
+def test_equal_spans_after_a_gap_count_once_in_any_order(spark):
+    day = date.fromisoformat
+    rows = [(p, day(a), day(b)) for p in range(200) for a, b in (("2020-01-01", "2020-02-01"), ("2021-01-01", "2022-01-01"), ("2021-01-01", "2022-01-01"))]
+    got = views.day_years(spark.createDataFrame(rows, "p long, a date, b date").repartition(7), "p", "a", "b").select("years").distinct().collect()
+    assert [r.years for r in got] == [1.1]
