@@ -69,6 +69,12 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 PARTS = 100_000
 
 
+def most_frequent(found: Column, most: int, last: Callable[[Column], Column] = lambda x: F.lit(False)) -> Column:
+    """The top-k report of found (struct of term and pos): struct(term, n, first) by count; of equal counts those that are `last` come last, then the earlier one first."""
+    each = runs(found, lambda x, n: F.struct((-n).alias("less"), last(x).alias("last"), x["pos"].alias("first"), x["term"].alias("term")), lambda x: x["term"])
+    return F.transform(F.slice(F.sort_array(each), 1, most), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).alias("n"), x["first"].alias("first")))
+
+
 def counted(docs: DataFrame, keys: list[str], terms: Column) -> DataFrame:
     """keys, term, tf of each row of docs, kept. A row without terms has one null term. Terms are counted within their row, so a task holds the terms of one row at a time and nothing is shuffled."""
     each = runs(terms, lambda term, n: F.struct(term.alias("term"), n.alias("tf")))

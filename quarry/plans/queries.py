@@ -447,10 +447,11 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term, generate_subscripts({TOKENS}, 1) AS pos FROM documents), g AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM t GROUP BY doc_id, term)
   SELECT doc_id, string_agg(term, ',' ORDER BY n DESC, first) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rk FROM g) x WHERE rk <= 20 GROUP BY doc_id""")
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(vectors.tokens(F.col("text"))).alias("pos", "term"))
-    g = t.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = g.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).where("rk <= 20")  # the report has 20 a document
-    return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "term"))), lambda x: x["term"]), ",").alias("keywords"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    words = F.transform(vectors.tokens(F.col("text")), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    best = vectors.most_frequent(F.col("terms"), 20)  # the report has 20 a document
+    line = vectors.bound(best, lambda b: F.when(F.size(b) > 0, F.array(F.array_join(F.transform(b, lambda x: x["term"]), ","))))
+    return vectors.of_one_id(docs, "doc_id", words).select("doc_id", F.explode(line).alias("keywords"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(ceil((n - 256) / 224.0), 0) + 1 END AS INTEGER) AS windows FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents) x")
