@@ -67,12 +67,11 @@ def draft_gap(named: Column, have: Column, raw: Column) -> Column:
 def keywords(docs: DataFrame, id_: str, text: str, stop: frozenset[str] = vectors.STOP, most: int = 20) -> DataFrame:
     """id_, place, term, n: the top-k report of each text's most frequent words of over two characters, none of them in `stop`, and of SHORT_KEYWORDS. Of equal counts long words come first, then the earlier one.
     Texts without any have no row; rows with one id are one text."""
-    found = docs.select(id_, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD), F.lit(0))).alias("pos", "word")).withColumn("term", F.lower("word"))
-    short = F.col("term").isin(*SHORT_KEYWORDS)
-    kept = found.where(short | ((F.length("term") > 2) & ~F.col("term").isin(*stop)))
-    counted = kept.groupBy(id_, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    place = F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("n"), short, "first"))
-    return counted.withColumn("place", place).where(F.col("place") <= most).select(id_, "place", "term", "n")
+    short = lambda x: x["term"].isin(*SHORT_KEYWORDS)
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD), F.lit(0)), lambda w, i: F.struct(F.lower(w).alias("term"), i.alias("pos")))
+    told = F.filter(words, lambda x: short(x) | ((F.length(x["term"]) > 2) & ~x["term"].isin(*stop)))
+    best = vectors.most_frequent(F.col("terms"), most, short)
+    return vectors.of_one_id(docs, id_, told).select(id_, F.posexplode(best).alias("place", "x")).select(id_, (F.col("place") + 1).alias("place"), "x.term", "x.n")
 
 
 def insights(postings: DataFrame, id_: str, text: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_rows_of_one_id_are_weighed_as_one(spark):
 def test_pairs_of_any_number_of_words(spark):
     rows = spark.createDataFrame([(None,), ("",), ("java",), ("java sql go",)], "text string").select(vectors.grams(vectors.tokens(F.col("text"))).alias("g"))
     assert [r.g for r in rows.collect()] == [[], [], ["java"], ["java", "sql", "go", "java sql", "sql go"]]
+
+
+@pytest.mark.parametrize("name", ["top_keywords", "document_keywords"])
+def test_keywords_leave_no_word_to_a_shuffle(spark, name):
+    from quarry.plans import queries, views  # noqa: F401 (they register their queries)
+
+    frame = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert frame.count() > 0 and "Aggregate" not in plan(frame) and "Window" not in plan(frame)
+    before = "\n".join(plan(frame).split("Repartition")[1:])
+    assert "regexp_extract_all" not in before  # no text is cut before it is dealt
+
+
+def test_keywords_of_rows_under_one_id(spark):
+    from quarry.operators import views
+
+    rows = spark.createDataFrame([(1, "kafka java java"), (1, "kafka kafka"), (2, "sql"), (None, "sql go"), (None, "go")], "id long, text string")
+    got = sorted((r.id or 0, r.place, r.term, r.n) for r in views.keywords(rows, "id", "text").collect())
+    assert got == [(0, 1, "go", 2), (0, 2, "sql", 1), (1, 1, "kafka", 3), (1, 2, "java", 2), (2, 1, "sql", 1)]
