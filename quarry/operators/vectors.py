@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept
+from ..scratch import kept, numbered
 
 #: Fixed pattern: a token starts with a letter, may hold digits and + # . / - inside, and ends with a letter, digit, + or #.
 TOKEN = r"[a-z](?:[a-z0-9+#./-]*[a-z0-9+#])?"
@@ -115,20 +116,85 @@ def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
     return w.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "term")
 
 
+#: Rows of a table (two to the power of that) whose hashed terms travel together, and bytes of text whose terms are weighed together.
+CHUNK, PART = 12, 36_000_000
+
+
+def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
+    """part, chunk, n, hashes, tf: the terms of each chunk of rows (row, text), as 64-bit hashes dealt over parts; n has how many of them each row of the chunk has, in the order of the rows' numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch["row"].to_numpy(), kind="stable")))
+            row, lists = batch["row"].to_numpy(), batch["hashes"]
+            h, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+            of = np.repeat(row, np.diff(ends, prepend=0))
+            first = np.flatnonzero((np.diff(h, prepend=0) != 0) | (np.diff(of, prepend=-2) != 0))  # hashes are in order within a row
+            tf, h, of = np.diff(first, append=len(h)).astype(np.int32), h[first], of[first]
+            part = (((h >> 33) + (1 << 30)) * parts) >> 31
+            for chunk in np.unique(row >> CHUNK):
+                lo, hi = np.searchsorted(of, (chunk << CHUNK, (chunk + 1) << CHUNK))
+                at, own = of[lo:hi] & ((1 << CHUNK) - 1), part[lo:hi]
+                wide = int(at.max(initial=0)) + 1
+                n = np.bincount(own * wide + at, minlength=parts * wide).astype(np.int32)
+                order = np.argsort(own.astype(np.uint16) if parts < 1 << 16 else own, kind="stable")
+                cuts = np.searchsorted(own[order], np.arange(parts + 1)).astype(np.int32)
+                lists_of = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[lo:hi][order])) for x in (h, tf)]
+                out = pa.record_batch([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, chunk)), pa.ListArray.from_arrays(pa.array((np.arange(parts + 1) * wide).astype(np.int32)), pa.array(n)), *lists_of], ["part", "chunk", "n", "hashes", "tf"])
+                yield out.filter(pa.array(np.diff(cuts) > 0))
+
+    hashed = F.sort_array(F.transform(terms_of(F.col("text")), lambda t: F.xxhash64(t)))
+    return rows.select("row", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("hashes")).mapInArrow(run, "part int, chunk long, n array<int>, hashes array<long>, tf array<int>")
+
+
+def _sums(dealt: DataFrame, n: int, profile: int) -> DataFrame:
+    """row, squares, dot of each row with a term: the sum of its weights' squares, and of their products with those of the row that is the profile (0 without a common term)."""
+
+    def weigh(table: pa.Table) -> pa.Table:
+        cells, h, tf = (table[c].combine_chunks() for c in ("n", "hashes", "tf"))
+        chunk, sizes = table["chunk"].to_numpy(), pc.list_value_length(cells).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(sizes.sum()), cells.flatten().to_numpy())  # rows of all chunks, one after the other
+        known, which, df = np.unique(h.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        raw = (1 + np.log(tf.flatten().to_numpy())) * (np.log((1 + n) / (1 + df)) + 1)[which]
+        theirs = np.zeros(len(known))
+        for k in np.flatnonzero(chunk == profile >> CHUNK):
+            own = of == starts[k] + (profile & ((1 << CHUNK) - 1))
+            theirs[which[own]] = raw[own]
+        sums = [np.bincount(of, x, sizes.sum()) for x in (raw * raw, raw * theirs[which])]
+        cuts = pa.array(np.append(starts, sizes.sum()).astype(np.int32))
+        return pa.table([table["chunk"], *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in sums)], ["chunk", "squares", "dot"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros((2, 1 << CHUNK)), 0
+        for batch in batches:  # a chunk's sums come a batch at a time
+            for k in range(batch.num_rows):
+                chunk = batch["chunk"][k].as_py()
+                for into, name in zip(total, ("squares", "dot"), strict=True):
+                    x = batch[name][k].values.to_numpy()
+                    into[: len(x)] += x
+        some = np.flatnonzero(total[0])
+        yield pa.record_batch([pa.array((chunk << CHUNK) + some), pa.array(total[0][some]), pa.array(total[1][some])], ["row", "squares", "dot"])
+
+    parts = dealt.groupBy("part").applyInArrow(weigh, "chunk long, squares array<double>, dot array<double>")
+    return parts.groupBy("chunk").applyInArrow(add, "row long, squares double, dot double")
+
+
 def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFrame:
     """id, cosine of each row with the one text of profile (text), all weighed in one corpus of the rows and the profile. Each row is a document of its own: ids may repeat, be null or any number, and each row gets its own
-    result. A row without a term of the profile's, null texts among them, gets 0; so do all for a profile without terms or of no row. An empty table gives no rows."""
-    rows = docs.select(F.col(id_).cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("row"))
-    tf = counted(rows, ["row", "id"], terms_of(F.col("text")))
-    df = frequencies(tf)
-    own = kept(profile.limit(1).select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("own")))  # one text's terms; the joins are planned by their size
-    n = docs.count() + 1
-    joined = with_frequencies(tf.where("term IS NOT NULL"), df).join(own, "term", "left").withColumn("df", F.col("df") + F.col("own").isNotNull().cast("int"))
-    raw, theirs = weight(F.col("tf"), F.col("df"), n), weight(F.col("own"), F.col("df"), n)
-    sums = joined.groupBy("row").agg(F.sum(raw * raw).alias("squares"), F.sum(raw * theirs).alias("dot"))
-    profile_squares = own.join(df, "term", "left").select(weight(F.col("own"), 1 + F.coalesce("df", F.lit(0)), n).alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0
-    found = F.coalesce(F.col("dot") / F.sqrt(F.col("squares") * F.lit(float(profile_squares))), F.lit(0.0)) if profile_squares else F.lit(0.0)
-    return tf.select("row", "id").distinct().join(sums, "row", "left").select("id", found.alias("cosine"))
+    result. A row without a term of the profile's, null texts among them, gets 0; so do all for a profile without terms or of no row. An empty table gives no rows.
+
+    Terms travel once, as hashes of 64 bits in arrays of a part for a chunk of rows, and sums come back in arrays too. Two terms of one hash would count as one: among a billion different terms 0.03 such pairs are expected."""
+    rows = numbered(docs.select(F.col(id_).cast("long").alias("id"), "text"))
+    n, size, most = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.max("row")).first()
+    # the profile is a row of a chunk of its own
+    own = ((most or 0) >> CHUNK) + 1 << CHUNK
+    both = rows.select("row", "text").unionByName(profile.limit(1).select(F.lit(own).alias("row"), "text"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // PART))
+    sums = kept(_sums(_dealt(both, terms_of, parts), n + 1, own))
+    mine = sums.where(F.col("row") == own).select("squares").first()
+    found = F.coalesce(F.col("dot") / F.sqrt(F.col("squares") * F.lit(float(mine[0]))), F.lit(0.0)) if mine else F.lit(0.0)
+    return rows.select("row", "id").join(sums, "row", "left").select("id", found.alias("cosine"))
 
 
 #: Chunks of profiles, and of documents, in a block: a product of two blocks is one task's smallest piece of work.

@@ -421,9 +421,8 @@ def keyword_cosines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def keyword_pair_cosines(spark: SparkSession, d: str) -> DataFrame:
     """keyword_cosines over words and neighbouring pairs, as the reference weighs them. It has no SQL; a test holds it against brute force."""
-    words = lambda docs, *ids: docs.select(*ids, vectors.tokens(F.col("text")).alias("text"))
-    profile = words(table(spark, d, "benchmark").where("item_id = 0"))
-    c = vectors.cosines(words(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id"), "doc_id", profile, vectors.grams)
+    profile = table(spark, d, "benchmark").where("item_id = 0").select("text")
+    c = vectors.cosines(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", profile, lambda t: vectors.grams(vectors.tokens(t)))
     return c.select("id", F.round("cosine", 6).alias("cosine"), F.round(scoring.calibrate(F.col("cosine")), 4).alias("keywords"))
 
 

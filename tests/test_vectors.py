@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -56,3 +57,21 @@ def test_keywords_of_rows_under_one_id(spark):
     rows = spark.createDataFrame([(1, "kafka java java"), (1, "kafka kafka"), (2, "sql"), (None, "sql go"), (None, "go")], "id long, text string")
     got = sorted((r.id or 0, r.place, r.term, r.n) for r in views.keywords(rows, "id", "text").collect())
     assert got == [(0, 1, "go", 2), (0, 2, "sql", 1), (1, 1, "kafka", 3), (1, 2, "java", 2), (2, 1, "sql", 1)]
+
+
+def test_cosines_over_many_chunks_and_parts(spark, written, monkeypatch):
+    rng = random.Random(5)
+    words = ["java", "kafka", "sql", "golang", "rust", "scala"]
+    rows = [(rng.choice([1, 2, None, -1]), f"{' '.join(rng.choices(words, k=rng.randrange(9)))} word{i}" if i % 7 else None) for i in range(60)]
+    corpus = [t or "" for _, t in rows] + ["java and kafka java"]
+    counts = [Counter(w for w in t.split() if w not in vectors.STOP) for t in corpus]
+    df = Counter(w for c in counts for w in c)
+    weights = [{w: (1 + math.log(n)) * (math.log((1 + len(counts)) / (1 + df[w])) + 1) for w, n in c.items()} for c in counts]
+    length = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
+    want = sorted((i or 0, round(sum(x * weights[-1].get(t, 0) for t, x in w.items()) / (n * length[-1] or 1), 9)) for (i, _), w, n in zip(rows, weights, length))
+    monkeypatch.setattr(vectors, "CHUNK", 2)
+    monkeypatch.setattr(vectors, "PART", 40)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = vectors.cosines(docs, "id", spark.createDataFrame([(corpus[-1],)], "text string"), vectors.tokens)
+    assert sorted((r.id or 0, round(r.cosine, 9)) for r in got.collect()) == want
+    assert written and not any("explode" in plan(f) for f in written)  # no row for each term, written or shuffled
