@@ -75,3 +75,10 @@ def test_cosines_over_many_chunks_and_parts(spark, written, monkeypatch):
     got = vectors.cosines(docs, "id", spark.createDataFrame([(corpus[-1],)], "text string"), vectors.tokens)
     assert sorted((r.id or 0, round(r.cosine, 9)) for r in got.collect()) == want
     assert written and not any("explode" in plan(f) for f in written)  # no row for each term, written or shuffled
+
+
+def test_takeable_matches_judge_each_posting_once(spark):
+    from quarry.plans import queries
+
+    told = plan(queries.QUERIES["takeable_matches"](spark, "/root/testdata/sf0.001"))
+    assert "RLIKE" not in told and "regexp_extract_all" not in told  # places and skills are read, not worked out by match
