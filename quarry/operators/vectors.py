@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept, numbered
+from ..scratch import dropped, kept, numbered
 
 #: Fixed pattern: a token starts with a letter, may hold digits and + # . / - inside, and ends with a letter, digit, + or #.
 TOKEN = r"[a-z](?:[a-z0-9+#./-]*[a-z0-9+#])?"
@@ -68,6 +68,8 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 #: Terms of more than this part of all documents' terms, so fewer than so many, are broadcast with their frequencies; all others, of which none is frequent, are joined by a shuffle.
 PARTS = 100_000
+#: Pairs of a row and a term that a task sorts at a time, of about 100 bytes each: shuffles of pairs have as many parts as that takes, whatever the session's number of parts or the size that it joins them to.
+PAIRS = 1_000_000
 
 
 def most_frequent(found: Column, most: int, last: Callable[[Column], Column] = lambda x: F.lit(False)) -> Column:
@@ -87,12 +89,23 @@ def frequencies(tf: DataFrame) -> DataFrame:
     return kept(tf.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
 
 
+def _shares(pairs: DataFrame) -> int:
+    """How many parts a shuffle of a kept table of pairs has."""
+    return max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS))
+
+
+def split_frequencies(df: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The frequent terms, to be broadcast (fewer than PARTS rows: their df add up to no more than all terms of documents); the rare ones in parts for a join by term; how many documents a rare one is in at most; and how many
+    parts there are."""
+    total = df.agg(F.sum("df")).first()[0] or 0
+    often, parts = F.col("df") * PARTS > total, max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PAIRS))
+    return F.broadcast(df.where(often)), df.where(~often).repartition(parts, "term"), total // PARTS, parts
+
+
 def with_frequencies(tf: DataFrame, df: DataFrame) -> DataFrame:
     """The counted terms with their df."""
-    total = df.agg(F.sum("df")).first()[0] or 0
-    often = F.col("df") * PARTS > total
-    frequent = F.broadcast(df.where(often))  # fewer than PARTS rows: their df add up to no more than the total
-    return tf.join(frequent, "term").unionByName(tf.join(frequent, "term", "left_anti").join(df.where(~often), "term"))
+    frequent, rare, _, parts = split_frequencies(df)
+    return tf.join(frequent, "term").unionByName(tf.join(frequent, "term", "left_anti").repartition(parts, "term").join(rare, "term"))
 
 
 def weight(tf: Column, df: Column, n: int) -> Column:
@@ -100,18 +113,46 @@ def weight(tf: Column, df: Column, n: int) -> Column:
 
 
 def weights(docs: DataFrame, id_: str, terms: Column, unit: bool = True) -> DataFrame:
-    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Rows under one id are one document."""
+    """id, term, w: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), with unit divided by the document's length. Rows under one id are one document, and in one part of the result."""
     tf = counted(of_one_id(docs, id_, terms).withColumnRenamed(id_, "id"), ["id"], F.col("terms"))
-    weighed = with_frequencies(tf, frequencies(tf)).select("id", "term", weight(F.col("tf"), F.col("df"), docs.count()).alias("raw"))
+    weighed = with_frequencies(tf, frequencies(tf)).select("id", "term", weight(F.col("tf"), F.col("df"), docs.count()).alias("w"))
+    weighed = weighed.repartition(_shares(tf), "id")
     if not unit:
-        return weighed.withColumnRenamed("raw", "w")
-    length = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return weighed.join(length, "id").select("id", "term", (F.col("raw") / F.col("length")).alias("w"))
+        return weighed
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weighed.select("id", "term", (F.col("w") / length).alias("w"))
+
+
+def _hopeful(known: DataFrame, n: int, rare: int, most: int) -> DataFrame:
+    """The rows of known (id, term, tf, df), df null for terms of at most `rare` documents, that may be among the `most` heaviest of their id: those as heavy at best as so many rows of the id, next to them in a batch, are at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tf, df = batch["tf"].to_numpy(), batch["df"].to_numpy(zero_copy_only=False)
+            least, best = ((1 + np.log(tf)) * (np.log((1 + n) / (1 + np.where(np.isnan(df), unknown, df))) + 1) for unknown in (max(rare, 1), 1))
+            ids = batch["id"]
+            of = np.cumsum(pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False))
+            of = np.append(np.zeros(min(len(ids), 1), of.dtype), of)
+            order = np.lexsort((-least, of))
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            last = starts + most - 1
+            full = last < np.append(starts[1:], len(of))
+            floor = np.full(len(starts), -np.inf)
+            floor[full] = least[order][last[full]]
+            yield batch.filter(pa.array(best >= floor[of] - 1e-6))
+
+    return known.select("id", "term", "tf", F.col("df").cast("double")).mapInArrow(run, f"id {known.schema['id'].dataType.simpleString()}, term string, tf long, df double")
 
 
 def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
-    """id, place, term: the top-k report of each document's terms by weight, of equal weights in alphabetical order."""
-    w = weights(docs, id_, terms, unit=False)
+    """id, place, term: the top-k report of each document's terms by weight, of equal weights in alphabetical order. Terms that bounds on weights rule out within a task go no further."""
+    tf = counted(of_one_id(docs, id_, terms).withColumnRenamed(id_, "id"), ["id"], F.col("terms"))
+    df, n = frequencies(tf), docs.count()
+    frequent, rare, at_most, parts = split_frequencies(df)
+    hopeful = kept(_hopeful(tf.where("term IS NOT NULL").join(frequent, "term", "left"), n, at_most, most))
+    dropped(tf)
+    found = hopeful.where("df IS NULL").drop("df").repartition(parts, "term").join(rare, "term").unionByName(hopeful.where("df IS NOT NULL"))
+    w = found.select("id", "term", weight(F.col("tf"), F.col("df"), n).alias("w")).repartition(_shares(hopeful), "id")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("w", 9)), "term"))
     return w.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "term")
 

@@ -82,3 +82,32 @@ def test_takeable_matches_judge_each_posting_once(spark):
 
     told = plan(queries.QUERIES["takeable_matches"](spark, "/root/testdata/sf0.001"))
     assert "RLIKE" not in told and "regexp_extract_all" not in told  # places and skills are read, not worked out by match
+
+
+def many_terms(rng, rows=60):
+    return [(k // 2 if k % 7 else None, " ".join(f"w{'abcdefghij'[int(rng.paretovariate(0.5)) % 10]}{int(rng.paretovariate(0.4)) % 3000}" for _ in range(rng.randrange(80))) or None) for k in range(rows)]
+
+
+@pytest.mark.parametrize("parts", [100_000, 50])  # all terms frequent; most of them rare
+def test_heaviest_terms_after_bounds(spark, monkeypatch, parts):
+    monkeypatch.setattr(vectors, "PARTS", parts)
+    monkeypatch.setattr(vectors, "PAIRS", 100, raising=False)
+    rows = many_terms(random.Random(8))
+    counts = {}
+    for i, t in rows:
+        counts.setdefault(i, Counter()).update((t or "").split())
+    df = Counter(w for c in counts.values() for w in c)
+    heavy = {i: sorted((-round((1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1), 9), w) for w, n in c.items())[:5] for i, c in counts.items()}
+    got = vectors.heaviest(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", vectors.tokens(F.col("text")), 5)
+    assert sorted((r.id or -1, r.place, r.term) for r in got.collect()) == sorted((-1 if i is None else i or -1, k, w) for i, ws in heavy.items() for k, (_, w) in enumerate(ws, 1))
+
+
+def test_tasks_sort_few_pairs(spark, monkeypatch, written):
+    monkeypatch.setattr(vectors, "PAIRS", 100, raising=False)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(many_terms(random.Random(4)))], "id long, text string")
+    sizes = lambda frame: [n for _, n in frame.groupBy(F.spark_partition_id()).count().collect()]
+    w = vectors.weights(docs, "id", vectors.tokens(F.col("text")))
+    pairs = written[0].count()
+    assert w.count() == written[0].where("term IS NOT NULL").count() and len(sizes(w)) > pairs / 100 / 2 and max(sizes(w)) < pairs / 4
+    told = plan(vectors.heaviest(docs, "id", vectors.tokens(F.col("text")), 3))
+    assert "Window" in told and "Window" not in told[told.index("RepartitionByExpression [id") :]  # nothing is sorted before its shuffle
