@@ -14,14 +14,32 @@ from . import vectors
 
 #: Candidates of a profile that its first look takes, by the terms that add most; rounding that bounds are relaxed by.
 FIRST_LOOK, SLACK = 50, 1e-9
+#: Rows of a table up to which it is broadcast.
+FEW = 250_000
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    """How many parts a shuffle of so many rows has."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // vectors.PAIRS))
 
 
 def _scores(pairs: DataFrame, lists: DataFrame, own: DataFrame) -> DataFrame:
     """profile, row, id, score of the pairs (profile, row), over all terms that both hold."""
-    met = pairs.join(lists, "row").join(own.select("profile", "term", "pw"), ["profile", "term"])
+    total, few = pairs.count(), own.count() <= FEW
+    parts, terms = _parts(pairs, max(total, lists.count())), own.select("profile", "term", "pw")
+    met = lists.join(F.broadcast(pairs), "row") if total <= FEW else pairs.repartition(parts, "row").join(lists.repartition(parts, "row"), "row")
+    on = ["profile", "term"]
+    met = met.join(F.broadcast(terms), on) if few else met.join(terms, on).repartition(parts, "row")
     return met.groupBy("profile", "row", "id").agg(F.sum(F.col("w") * F.col("pw")).alias("score"))
 
 
+def _met(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of lists whose term is among the kept terms (profile, term, df), once for each profile, in parts by row. Few terms are broadcast, so that rows are dealt before there is one for each profile."""
+    met, total = terms.agg(F.sum("df"), F.count("*")).first()
+    parts, terms = _parts(lists, met or 0), terms.drop("df")
+    return lists.repartition(parts, "row").join(F.broadcast(terms), "term") if total <= FEW else lists.join(terms, "term").repartition(parts, "row")
+
+
 def _best(scores: DataFrame, most: int) -> DataFrame:
     """The top-k report: place by score, then by row."""
     place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc(F.round("score", 9)), "row"))
@@ -44,7 +62,10 @@ def top_documents(docs: DataFrame, id_: str, profiles: DataFrame, profile_id: st
     told = vectors.counted(people.select("profile", "text"), ["profile"], terms_of(c("text"))).where("term IS NOT NULL")
     # of the documents' terms only those that some profile holds go on
     asked = kept(told.select("term").distinct().join(df, "term"))
-    lists = tf.join(asked, "term").select("row", "id", "term", raw.alias("raw")).join(lengths, "row")
+    size = asked.agg(F.sum("df")).first()[0] or 0
+    asked_few, parts = asked.count() <= FEW, _parts(docs, size)
+    lists = tf.join(F.broadcast(asked) if asked_few else asked, "term").select("row", "id", "term", raw.alias("raw"))
+    lists = lists.join(F.broadcast(lengths), "row") if n <= FEW else lists.repartition(parts, "row").join(lengths.repartition(parts, "row"), "row")
     lists = kept(lists.select("row", "id", "term", (c("raw") / c("length")).alias("w")))
     dropped(tf)
     own = told.join(asked, "term").join(lists.groupBy("term").agg(F.max("w").alias("top")), "term").select("profile", "term", "df", "top", raw.alias("raw"))
@@ -56,17 +77,17 @@ def top_documents(docs: DataFrame, id_: str, profiles: DataFrame, profile_id: st
     own = kept(own)
     # a first look: the shortest prefix of terms whose lists hold enough documents gives a floor for the last place
     enough = Window.partitionBy("profile").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    looked = own.withColumn("before", F.coalesce(F.sum("df").over(enough), F.lit(0))).where(c("before") < FIRST_LOOK * most).select("profile", "term", "pw")
-    partly = lists.join(looked, "term").groupBy("profile", "row").agg(F.sum(c("w") * c("pw")).alias("score"))
+    looked = kept(own.withColumn("before", F.coalesce(F.sum("df").over(enough), F.lit(0))).where(c("before") < FIRST_LOOK * most).select("profile", "term", "pw", "df"))
+    partly = _met(lists, looked).groupBy("profile", "row").agg(F.sum(c("w") * c("pw")).alias("score"))
     tried = kept(_best(partly, most).select("profile", "row"))
     floor = _best(_scores(tried, lists, own), most).groupBy("profile").agg(F.when(F.count("*") == most, F.min("score")).alias("floor"))
-    floor = kept(own.select("profile").distinct().join(floor, "profile", "left").select("profile", F.coalesce("floor", F.lit(0.0)).alias("floor")))
-    # every document that can reach the floor holds a term that is needed for it
-    needed = own.join(floor, "profile").where(c("rest") >= c("floor") - SLACK).select("profile", "term", "pw")
-    after = own.join(floor, "profile").where(c("rest") < c("floor") - SLACK).groupBy("profile").agg(F.max("rest").alias("after"))
-    found = lists.join(needed, "term").groupBy("profile", "row").agg(F.sum(c("w") * c("pw")).alias("part"))
-    bounds = floor.join(after, "profile", "left").select("profile", "floor", F.coalesce("after", F.lit(0.0)).alias("after"))
-    open_ = kept(found.join(bounds, "profile").where(c("part") + c("after") >= c("floor") - SLACK).select("profile", "row"))
+    floor = own.select("profile").distinct().join(floor, "profile", "left").select("profile", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    # every document that can reach the floor holds a term that is needed for it, and over these terms no less than the floor without the terms after
+    needs = c("rest") >= c("floor") - SLACK
+    after = F.coalesce(F.max(F.when(~needs, c("rest"))).over(Window.partitionBy("profile")), F.lit(0.0))
+    needed = kept(own.join(floor, "profile").withColumn("least", c("floor") - SLACK - after).where(needs).select("profile", "term", "pw", "df", "least"))
+    found = _met(lists, needed).groupBy("profile", "row").agg(F.sum(c("w") * c("pw")).alias("part"), F.max("least").alias("least"))
+    open_ = kept(found.where(c("part") >= c("least")).select("profile", "row"))
     if counts is not None:
         counts.update(joined=lists.join(needed, "term").count(), scored=open_.count(), pairs=n * people.count())
     scores = _scores(open_, lists, own)

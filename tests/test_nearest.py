@@ -53,3 +53,19 @@ def test_pruning(spark):
     nearest.top_documents(docs, "doc_id", items, "item_id", vectors.tokens, 3, counts).collect()
     terms = docs.select(F.explode(vectors.tokens(F.col("text"))).alias("t"), "doc_id").distinct().count()
     assert counts["scored"] < counts["pairs"] / 2 and counts["joined"] < items.count() * terms / 50, (counts, terms)
+
+
+@pytest.mark.parametrize("few", [0, 60, 250_000])  # nothing is broadcast; some is; all is
+def test_tasks_hold_few_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(nearest, "FEW", few, raising=False)
+    monkeypatch.setattr(vectors, "PAIRS", 100, raising=False)
+    written, whole = [], nearest.kept
+    monkeypatch.setattr(nearest, "kept", lambda frame: written.append(frame) or whole(frame))
+    rng = random.Random(12)
+    text = lambda most: " ".join(f"w{'abcdefgh'[int(rng.paretovariate(0.5)) % 8]}{'xyz'[rng.randrange(3)]}" for _ in range(rng.randrange(1, most)))
+    rows, profiles = [(k, text(25)) for k in range(200)], [(k, text(6)) for k in range(20)]
+    got = nearest.top_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", spark.createDataFrame(profiles, "item long, text string"), "item", vectors.tokens, 4).collect()
+    assert sorted(repr((r.profile, r.place, r.id, round(r.cosine, 6))) for r in got) == brute(rows, profiles, 4)
+    pairs = next(f for f in reversed(written) if f.columns == ["profile", "row"])  # of all profiles with documents that can reach the floor
+    sizes = [n for _, n in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 3, sizes
