@@ -87,7 +87,9 @@ def rescored_matches(spark: SparkSession, d: str) -> DataFrame:
 def day_years(spark: SparkSession, d: str) -> DataFrame:
     first = F.trunc("o_orderdate", "month")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), first.alias("a"), F.add_months(first, (F.col("o_orderkey") % 9).cast("int")).alias("b"))
-    return views.day_years(o, "person", "a", "b")
+    years = views.day_years(o, "person", "a", "b").withColumnRenamed("person", "_person")
+    # a person without a dated order has a row too, without years
+    return o.select("person").distinct().join(years, F.col("person").eqNullSafe(F.col("_person")), "left").select("person", "years")
 
 
 @query(with_postings("SELECT id FROM postings WHERE location LIKE '%Germany' OR location LIKE 'Remote%' OR location LIKE 'Bengaluru%'"))

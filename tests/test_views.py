@@ -2,10 +2,13 @@
 
 from datetime import date
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import profiles, views
+from quarry.plans.queries import SQL
+from quarry.plans.views import day_years
 from quarry.sources import boards, postings
 
 
@@ -145,3 +148,12 @@ def test_equal_spans_after_a_gap_count_once_in_any_order(spark):
     rows = [(p, day(a), day(b)) for p in range(200) for a, b in (("2020-01-01", "2020-02-01"), ("2021-01-01", "2022-01-01"), ("2021-01-01", "2022-01-01"))]
     got = views.day_years(spark.createDataFrame(rows, "p long, a date, b date").repartition(7), "p", "a", "b").select("years").distinct().collect()
     assert [r.years for r in got] == [1.1]
+
+
+def test_day_years_of_undated_orders_match_the_sql(spark, tmp_path):
+    rows = "(1, 1, NULL), (2, 2, TIMESTAMP '2000-05-31 10:00:00'), (3, 2, NULL), (NULL, 3, TIMESTAMP '2000-05-31'), (4, NULL, TIMESTAMP '1999-02-03'), (5, 4, TIMESTAMP '1999-02-03'), (9, 5, TIMESTAMP '1999-02-03')"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE TABLE orders AS SELECT k::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, d AS o_orderdate FROM (VALUES {rows}) t(k, c, d)")
+    duck.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in day_years(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(duck.execute(SQL["day_years"]).fetchall(), key=repr) and (1, None) in got
