@@ -157,54 +157,81 @@ def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
     return w.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "term")
 
 
-#: Rows of a table (two to the power of that) whose hashed terms travel together, and bytes of text whose terms are weighed together.
+#: Rows of a table (two to the power of that, 14 at most) whose hashed terms travel together, and bytes of text whose terms are weighed in one part.
 CHUNK, PART = 12, 36_000_000
 
 
 def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
-    """part, chunk, n, hashes, tf: the terms of each chunk of rows (row, text), as 64-bit hashes dealt over parts; n has how many of them each row of the chunk has, in the order of the rows' numbers."""
+    """part, entries, first, hashes, n, at, tf: the terms of a piece of rows (row, text), rows of one chunk that a task has at once, dealt over parts by their 64-bit hashes. A piece goes by its first row and has two rows in a
+    part: its distinct hashes, in order, with the number of its rows that each is in; and the entries, in the hashes' order: the row's place in the chunk, and how often the term is there."""
+
+    def lists(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [pa.nulls(parts, pa.list_(t)) for t in (pa.int64(), pa.int16(), pa.int16(), pa.int32())]
         for batch in batches:
             batch = batch.take(pa.array(np.argsort(batch["row"].to_numpy(), kind="stable")))
-            row, lists = batch["row"].to_numpy(), batch["hashes"]
-            h, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
-            of = np.repeat(row, np.diff(ends, prepend=0))
-            first = np.flatnonzero((np.diff(h, prepend=0) != 0) | (np.diff(of, prepend=-2) != 0))  # hashes are in order within a row
-            tf, h, of = np.diff(first, append=len(h)).astype(np.int32), h[first], of[first]
-            part = (((h >> 33) + (1 << 30)) * parts) >> 31
-            for chunk in np.unique(row >> CHUNK):
-                lo, hi = np.searchsorted(of, (chunk << CHUNK, (chunk + 1) << CHUNK))
-                at, own = of[lo:hi] & ((1 << CHUNK) - 1), part[lo:hi]
-                wide = int(at.max(initial=0)) + 1
-                n = np.bincount(own * wide + at, minlength=parts * wide).astype(np.int32)
-                order = np.argsort(own.astype(np.uint16) if parts < 1 << 16 else own, kind="stable")
-                cuts = np.searchsorted(own[order], np.arange(parts + 1)).astype(np.int32)
-                lists_of = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[lo:hi][order])) for x in (h, tf)]
-                out = pa.record_batch([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, chunk)), pa.ListArray.from_arrays(pa.array((np.arange(parts + 1) * wide).astype(np.int32)), pa.array(n)), *lists_of], ["part", "chunk", "n", "hashes", "tf"])
-                yield out.filter(pa.array(np.diff(cuts) > 0))
+            chunks = batch["row"].to_numpy() >> CHUNK
+            for chunk in np.unique(chunks):
+                lo, hi = np.searchsorted(chunks, (chunk, chunk + 1))
+                row, found = batch["row"][lo:hi].to_numpy(), batch["hashes"][lo:hi]
+                h = found.flatten().to_numpy()
+                if not len(h):
+                    continue
+                at = np.repeat((row & ((1 << CHUNK) - 1)).astype(np.int16), pc.list_value_length(found).to_numpy())
+                starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])))  # hashes are in order within a row
+                tf = np.diff(starts, append=len(h)).astype(np.int32)
+                order = np.argsort(h[starts], kind="stable")
+                h, at, tf = h[starts][order], at[starts][order], tf[order]
+                starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                known, ends = h[starts], np.append(starts, len(h))
+                cuts = np.searchsorted((((known >> 33) + (1 << 30)) * parts) >> 31, np.arange(parts + 1))
+                some, part, first = pa.array(np.diff(cuts) > 0), pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, row[0]))
+                for entries, values in ((False, lists(cuts, known, np.diff(ends).astype(np.int16)) + none[2:]), (True, none[:2] + lists(ends[cuts], at, tf))):
+                    yield pa.record_batch([part, pa.array(np.full(parts, entries)), first, *values], ["part", "entries", "first", "hashes", "n", "at", "tf"]).filter(some)
 
     hashed = F.sort_array(F.transform(terms_of(F.col("text")), lambda t: F.xxhash64(t)))
-    return rows.select("row", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("hashes")).mapInArrow(run, "part int, chunk long, n array<int>, hashes array<long>, tf array<int>")
-
-
-def _sums(dealt: DataFrame, n: int, profile: int) -> DataFrame:
-    """row, squares, dot of each row with a term: the sum of its weights' squares, and of their products with those of the row that is the profile (0 without a common term)."""
-
-    def weigh(table: pa.Table) -> pa.Table:
-        cells, h, tf = (table[c].combine_chunks() for c in ("n", "hashes", "tf"))
-        chunk, sizes = table["chunk"].to_numpy(), pc.list_value_length(cells).to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(sizes.sum()), cells.flatten().to_numpy())  # rows of all chunks, one after the other
-        known, which, df = np.unique(h.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        raw = (1 + np.log(tf.flatten().to_numpy())) * (np.log((1 + n) / (1 + df)) + 1)[which]
-        theirs = np.zeros(len(known))
-        for k in np.flatnonzero(chunk == profile >> CHUNK):
-            own = of == starts[k] + (profile & ((1 << CHUNK) - 1))
-            theirs[which[own]] = raw[own]
-        sums = [np.bincount(of, x, sizes.sum()) for x in (raw * raw, raw * theirs[which])]
-        cuts = pa.array(np.append(starts, sizes.sum()).astype(np.int32))
-        return pa.table([table["chunk"], *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in sums)], ["chunk", "squares", "dot"])
+    return rows.select("row", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("hashes")).mapInArrow(run, "part int, entries boolean, first long, hashes array<long>, n array<short>, at array<short>, tf array<int>")
+
+
+def _known(hashes: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of all distinct hashes each hash of the pieces is, and how many rows each distinct one is in."""
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    which = np.empty(len(h), np.int32)
+    which[order] = np.cumsum(np.append(False, h[1:] != h[:-1]), dtype=np.int32)
+    return which, np.bincount(which, np.concatenate(sizes))
+
+
+def _sums(dealt: DataFrame, n: int, profile: int, parts: int) -> DataFrame:
+    """row, squares, dot of each row with a term: the sum of its weights' squares, and of their products with those of the row that is the profile (0 without a common term). The profile's number is less than all others.
+
+    A task reads a part's distinct hashes first and its entries after them, a piece at a time: it holds no more than the hashes, of which a frequent term has one for each piece."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, hashes, sizes, idf = None, [], [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch["part"][k].as_py() != part:
+                    part, hashes, sizes, idf = batch["part"][k].as_py(), [], [], None
+                if not batch["entries"][k].as_py():
+                    hashes.append(batch["hashes"][k].values.to_numpy().copy())
+                    sizes.append(batch["n"][k].values.to_numpy().copy())
+                    continue
+                if idf is None:
+                    which, df = _known(hashes, sizes)
+                    idf, theirs, piece, at = np.log((1 + n) / (1 + df)) + 1, np.zeros(len(df)), 0, 0
+                    hashes = []
+                of, to = which[at : at + len(sizes[piece])], batch["at"][k].values.to_numpy()
+                raw = (1 + np.log(batch["tf"][k].values.to_numpy())) * np.repeat(idf[of], sizes[piece])
+                first = batch["first"][k].as_py()
+                if first == profile:
+                    theirs[of] = raw
+                sums = [pa.array([np.bincount(to, x)], pa.list_(pa.float64())) for x in (raw * raw, raw * np.repeat(theirs[of], sizes[piece]))]
+                yield pa.record_batch([pa.array([first >> CHUNK]), *sums], ["chunk", "squares", "dot"])
+                piece, at = piece + 1, at + len(of)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, chunk = np.zeros((2, 1 << CHUNK)), 0
@@ -217,22 +244,22 @@ def _sums(dealt: DataFrame, n: int, profile: int) -> DataFrame:
         some = np.flatnonzero(total[0])
         yield pa.record_batch([pa.array((chunk << CHUNK) + some), pa.array(total[0][some]), pa.array(total[1][some])], ["row", "squares", "dot"])
 
-    parts = dealt.groupBy("part").applyInArrow(weigh, "chunk long, squares array<double>, dot array<double>")
-    return parts.groupBy("chunk").applyInArrow(add, "row long, squares double, dot double")
+    in_order = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "entries", "first")
+    weighed = in_order.mapInArrow(weigh, "chunk long, squares array<double>, dot array<double>")
+    return weighed.groupBy("chunk").applyInArrow(add, "row long, squares double, dot double")
 
 
 def cosines(docs: DataFrame, id_: str, profile: DataFrame, terms_of) -> DataFrame:
     """id, cosine of each row with the one text of profile (text), all weighed in one corpus of the rows and the profile. Each row is a document of its own: ids may repeat, be null or any number, and each row gets its own
     result. A row without a term of the profile's, null texts among them, gets 0; so do all for a profile without terms or of no row. An empty table gives no rows.
 
-    Terms travel once, as hashes of 64 bits in arrays of a part for a chunk of rows, and sums come back in arrays too. Two terms of one hash would count as one: among a billion different terms 0.03 such pairs are expected."""
+    Terms travel once, in arrays of a part for a chunk of rows: a hash of 64 bits for all of the chunk, and its rows; sums come back in arrays too. Two terms of one hash would count as one: among a billion different terms 0.03 such pairs are expected."""
     rows = numbered(docs.select(F.col(id_).cast("long").alias("id"), "text"))
-    n, size, most = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.max("row")).first()
-    # the profile is a row of a chunk of its own
-    own = ((most or 0) >> CHUNK) + 1 << CHUNK
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    own = -1 << CHUNK  # the profile is a row of a chunk of its own, before all others
     both = rows.select("row", "text").unionByName(profile.limit(1).select(F.lit(own).alias("row"), "text"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // PART))
-    sums = kept(_sums(_dealt(both, terms_of, parts), n + 1, own))
+    sums = kept(_sums(_dealt(both, terms_of, parts), n + 1, own, parts))
     mine = sums.where(F.col("row") == own).select("squares").first()
     found = F.coalesce(F.col("dot") / F.sqrt(F.col("squares") * F.lit(float(mine[0]))), F.lit(0.0)) if mine else F.lit(0.0)
     return rows.select("row", "id").join(sums, "row", "left").select("id", found.alias("cosine"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import vectors
+from quarry.scratch import numbered
 
 
 def plan(frame):
@@ -77,6 +78,21 @@ def test_cosines_over_many_chunks_and_parts(spark, written, monkeypatch):
     assert written and not any("explode" in plan(f) for f in written)  # no row for each term, written or shuffled
 
 
+def test_a_term_of_all_rows_travels_once_for_a_piece(spark, written, monkeypatch):
+    """A task that weighs holds distinct hashes, not the entries of its rows: these it reads one piece after the other."""
+    monkeypatch.setattr(vectors, "CHUNK", 6)
+    rows = numbered(spark.createDataFrame([(k % 5, f"java kafka java sql {'rare' * (k == 7)}") for k in range(1000)], "id long, text string").repartition(2))
+    dealt = vectors._dealt(rows, lambda t: vectors.tokens(t), 3).collect()
+    pieces = {r["first"] for r in dealt}
+    assert sum(len(r["hashes"] or []) for r in dealt) == 3 * len(pieces) + 1 and len(pieces) < 40
+    assert sum(len(r["at"] or []) for r in dealt) == 3001 == sum(sum(r["n"] or []) for r in dealt)
+    written.clear()
+    got = vectors.cosines(rows.select("id", "text"), "id", spark.createDataFrame([("java java kafka sql",)], "text string"), vectors.tokens)
+    assert sorted(round(r.cosine, 6) for r in got.collect())[1:] == [1.0] * 999
+    sums = next(plan(f) for f in written if "FlatMapGroupsInArrow" in plan(f))
+    assert "FlatMapGroupsInArrow [part" not in sums and "Sort [part" in sums  # no task gathers a part's rows
+
+
 def test_takeable_matches_judge_each_posting_once(spark):
     from quarry.plans import queries
 
