@@ -33,8 +33,15 @@ def blocks(weights: DataFrame, terms: int) -> tuple[DataFrame, DataFrame]:
     known = weights.select("term").distinct().withColumn("tb", of)
     known = kept(known.withColumn("t", (F.row_number().over(Window.partitionBy("tb").orderBy("term")) - 1).cast("int")))
     entries = weights.join(known, "term").withColumn("rb", F.floor(F.col("row") / BLOCK_ROWS)).withColumn("r", (F.col("row") % BLOCK_ROWS).cast("int"))
-    made = entries.groupBy("rb", "tb").agg(F.sort_array(F.collect_list(F.struct("r", "t", "w"))).alias("e"))  # at most BLOCK_ROWS rows' terms of one block
-    return kept(made.select("rb", "tb", F.col("e.r").alias("r"), F.col("e.t").alias("t"), F.col("e.w").alias("w"))), kept(known.groupBy("tb").agg(F.count("*").alias("n")))
+
+    def gathered(block: pa.Table) -> pa.Table:
+        order = np.lexsort([block[c].to_numpy() for c in ("t", "r")])
+        lists = {c: pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(block[c].to_numpy()[order])) for c in ("r", "t", "w")}
+        return pa.table({"rb": block["rb"][:1], "tb": block["tb"][:1], **lists})
+
+    # a task holds one block, at most BLOCK_ROWS rows' terms of one block of terms: lists that grow for many blocks at once are not counted as Spark's memory
+    made = entries.select("rb", "tb", "r", "t", "w").groupBy("rb", "tb").applyInArrow(gathered, "rb long, tb int, r array<int>, t array<int>, w array<double>")
+    return kept(made, wide=True), kept(known.groupBy("tb").agg(F.count("*").alias("n")))
 
 
 def _matrix(raw: bytes, width: int) -> np.ndarray:
@@ -78,7 +85,7 @@ def _product(table: DataFrame, basis: DataFrame, width: int, forth: bool) -> Dat
             yield pa.record_batch([key, pa.array([total.tobytes()], pa.binary())], ["key", "m"])
 
     joined = table.join(basis.withColumnRenamed("key", here), here).select(F.col(key).cast("long").alias("key"), "r", "t", "w", "m", F.col("n") if not forth else F.lit(0).alias("n"))
-    return kept(joined.mapInArrow(multiply, "key long, m binary").groupBy("key").applyInArrow(add, "key long, m binary"))
+    return kept(joined.mapInArrow(multiply, "key long, m binary").groupBy("key").applyInArrow(add, "key long, m binary"), wide=True)
 
 
 def _gram(basis: DataFrame, width: int) -> np.ndarray:
@@ -131,12 +138,12 @@ def latent(weights: DataFrame, components: int, rounds: int = 50) -> tuple[DataF
             for tb, n in zip(batch["tb"].to_pylist(), batch["n"].to_pylist(), strict=True):
                 yield pa.record_batch([pa.array([tb], pa.int64()), pa.array([np.random.default_rng(tb).standard_normal((n, width)).tobytes()], pa.binary())], ["key", "m"])
 
-    table = kept(table.join(F.broadcast(sizes), "tb"))  # a row for each block of terms
-    basis = kept(sizes.mapInArrow(drawn, "key long, m binary"))
+    table = kept(table.join(F.broadcast(sizes), "tb"), wide=True)  # a row for each block of terms
+    basis = kept(sizes.mapInArrow(drawn, "key long, m binary"), wide=True)
     before = np.zeros(0)
     for _ in range(rounds):
         ready = _square_root(_gram(basis, width))
-        basis, old, width = kept(_turned(basis, width, ready)), basis, ready.shape[1]
+        basis, old, width = kept(_turned(basis, width, ready), wide=True), basis, ready.shape[1]
         dropped(old)
         forth = _product(table, basis, width, True)
         values, directions = np.linalg.eigh(_gram(forth, width))
@@ -153,7 +160,7 @@ def latent(weights: DataFrame, components: int, rounds: int = 50) -> tuple[DataF
 def similarities(weights: DataFrame, profile_row: int, components: int) -> DataFrame:
     """row, latent: the cosine, between 0 and 1, of each row with the profile's row in the latent space."""
     coordinates, width, _ = latent(weights, components)
-    coordinates = kept(coordinates)
+    coordinates = kept(coordinates, wide=True)
     at = coordinates.where(F.col("key") == profile_row // BLOCK_ROWS).first()
     own = _matrix(at["m"], width)[profile_row % BLOCK_ROWS] if at and len(at["m"]) // (8 * width) > profile_row % BLOCK_ROWS else np.zeros(width)
 

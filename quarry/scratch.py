@@ -25,10 +25,14 @@ def _path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The table as written and read again; it goes when the driver ends."""
+#: How to write rows of megabytes: without these a writer and a reader hold a hundred of them at a time, whatever their size.
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
+
+
+def kept(df: DataFrame, wide: bool = False) -> DataFrame:
+    """The table as written and read again; it goes when the driver ends. Rows of a `wide` table have megabytes each."""
     spark, at = df.sparkSession, f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**WIDE if wide else {}).parquet(at)
     path, files = _path(spark, at)
     files.deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)

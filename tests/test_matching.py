@@ -7,12 +7,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import skills
 from quarry.operators import evaluation, latent, matching, vectors
-from quarry.scratch import numbered
+from quarry.scratch import kept, numbered
 
 NOW = dt.datetime(2024, 6, 30, tzinfo=dt.timezone.utc)
 POSTING = "id long, title string, company string, location string, description string, source string, posted timestamp, years double, url string"
@@ -176,6 +178,18 @@ def test_latent_similarity_matches_a_dense_decomposition(spark, monkeypatch, com
     assert [got[of[t]] for t in texts] == pytest.approx(expected.tolist(), abs=1e-5)
 
 
+def test_blocks_and_wide_rows_are_held_a_few_at_a_time(spark, monkeypatch):
+    frames, whole = [], latent.kept
+    monkeypatch.setattr(latent, "kept", lambda frame, **how: frames.append((frame, how)) or whole(frame, **how))
+    rows = numbered(spark.createDataFrame([(t,) for t in topical(40)], "text string"))
+    assert len(latent.with_profile(rows, spark.createDataFrame([(topical()[3],)], "text string"), components=4).collect()) == 40
+    assert all("collect_list" not in f._jdf.queryExecution().optimizedPlan().toString() for f, _ in frames)
+    assert all(how.get("wide") for f, how in frames if {"m", "w"} & set(f.columns) and "term" not in f.columns)
+    megabytes = spark.range(0, 40, 1, 1).mapInArrow(lambda batches: (pa.record_batch([pa.array([np.random.default_rng(0).bytes(1 << 20)])], ["m"]) for b in batches for _ in range(b.num_rows)), "m binary")
+    written = pq.ParquetFile(kept(megabytes, wide=True).inputFiles()[0].removeprefix("file://")).metadata
+    assert written.num_rows == 40 and max(written.row_group(k).num_rows for k in range(written.num_row_groups)) < 20
+
+
 def test_latent_space_needs_enough_documents(spark):
     one = spark.createDataFrame([("java kafka",)], "text string")
     few = numbered(spark.createDataFrame([("java kafka",)] * 5, "text string"))
