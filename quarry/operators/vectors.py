@@ -171,7 +171,9 @@ def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [pa.nulls(parts, pa.list_(t)) for t in (pa.int64(), pa.int16(), pa.int16(), pa.int32())]
         for batch in batches:
-            batch = batch.take(pa.array(np.argsort(batch["row"].to_numpy(), kind="stable")))
+            numbers = batch["row"].to_numpy()
+            if np.any(numbers[1:] < numbers[:-1]):  # never, as long as a table is read as it was written
+                batch = batch.take(pa.array(np.argsort(numbers, kind="stable")))
             chunks = batch["row"].to_numpy() >> CHUNK
             for chunk in np.unique(chunks):
                 lo, hi = np.searchsorted(chunks, (chunk, chunk + 1))
@@ -180,10 +182,11 @@ def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
                 if not len(h):
                     continue
                 at = np.repeat((row & ((1 << CHUNK) - 1)).astype(np.int16), pc.list_value_length(found).to_numpy())
-                starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])))  # hashes are in order within a row
-                tf = np.diff(starts, append=len(h)).astype(np.int32)
-                order = np.argsort(h[starts], kind="stable")
-                h, at, tf = h[starts][order], at[starts][order], tf[order]
+                starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))).astype(np.int32)  # hashes are in order within a row
+                tf, h, at = np.diff(starts, append=np.int32(len(h))), h[starts], at[starts]
+                order = np.argsort(h, kind="stable")
+                h, at, tf = h[order], at[order], tf[order]
+                del order
                 starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 known, ends = h[starts], np.append(starts, len(h))
                 cuts = np.searchsorted((((known >> 33) + (1 << 30)) * parts) >> 31, np.arange(parts + 1))
