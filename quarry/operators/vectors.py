@@ -157,12 +157,12 @@ def heaviest(docs: DataFrame, id_: str, terms: Column, most: int) -> DataFrame:
     return w.withColumn("place", place).where(F.col("place") <= most).select("id", "place", "term")
 
 
-#: Rows of a table (two to the power of that, 14 at most) whose hashed terms travel together, and bytes of text whose terms are weighed in one part.
-CHUNK, PART = 12, 36_000_000
+#: Rows of a table (two to the power of that, 14 at most) whose hashed terms travel together, about how many of these at most, and bytes of text whose terms are weighed in one part.
+CHUNK, HASHES, PART = 12, 1_000_000, 36_000_000
 
 
 def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
-    """part, entries, first, hashes, n, at, tf: the terms of a piece of rows (row, text), rows of one chunk that a task has at once, dealt over parts by their 64-bit hashes. A piece goes by its first row and has two rows in a
+    """part, entries, first, hashes, n, at, tf: the terms of a piece of rows (row, text), some next to each other in one chunk, dealt over parts by their 64-bit hashes. A piece goes by its first row and has two rows in a
     part: its distinct hashes, in order, with the number of its rows that each is in; and the entries, in the hashes' order: the row's place in the chunk, and how often the term is there."""
 
     def lists(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
@@ -174,9 +174,9 @@ def _dealt(rows: DataFrame, terms_of, parts: int) -> DataFrame:
             numbers = batch["row"].to_numpy()
             if np.any(numbers[1:] < numbers[:-1]):  # never, as long as a table is read as it was written
                 batch = batch.take(pa.array(np.argsort(numbers, kind="stable")))
-            chunks = batch["row"].to_numpy() >> CHUNK
-            for chunk in np.unique(chunks):
-                lo, hi = np.searchsorted(chunks, (chunk, chunk + 1))
+            chunks, until = batch["row"].to_numpy() >> CHUNK, np.cumsum(pc.list_value_length(batch["hashes"]).to_numpy()) // HASHES
+            cuts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (until[1:] != until[:-1])))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(chunks)), strict=True):
                 row, found = batch["row"][lo:hi].to_numpy(), batch["hashes"][lo:hi]
                 h = found.flatten().to_numpy()
                 if not len(h):

@@ -93,6 +93,23 @@ def test_a_term_of_all_rows_travels_once_for_a_piece(spark, written, monkeypatch
     assert "FlatMapGroupsInArrow [part" not in sums and "Sort [part" in sums  # no task gathers a part's rows
 
 
+def test_long_texts_travel_in_more_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HASHES", 30, raising=False)
+    rows = numbered(spark.createDataFrame([(k, " ".join(f"w{k * j % 17}" for j in range(k % 12))) for k in range(50)] + [(50, None), (51, " ".join(f"v{j}" for j in range(90)))], "id long, text string").coalesce(1))
+    dealt = vectors._dealt(rows, vectors.tokens, 2).collect()
+    held = Counter()
+    for r in dealt:
+        held[r["first"]] += sum(r["n"] or [])
+    assert len(held) > 5 and max(held.values()) <= 30 + 90
+    texts = [r.text or "" for r in rows.orderBy("id").collect()]
+    counts = [Counter(t.split()) for t in [*texts, "w1 w2 w2 v3"]]
+    df = Counter(w for c in counts for w in c)
+    weights = [{w: (1 + math.log(n)) * (math.log((1 + len(counts)) / (1 + df[w])) + 1) for w, n in c.items()} for c in counts]
+    length = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
+    got = vectors.cosines(rows.select("id", "text"), "id", spark.createDataFrame([("w1 w2 w2 v3",)], "text string"), vectors.tokens).orderBy("id").collect()
+    assert [r.cosine for r in got] == pytest.approx([sum(x * weights[-1].get(t, 0) for t, x in w.items()) / (n * length[-1] or 1) for w, n in zip(weights[:-1], length)])
+
+
 def test_takeable_matches_judge_each_posting_once(spark):
     from quarry.plans import queries
 
